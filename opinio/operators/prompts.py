@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,6 +122,11 @@ def prompt_table(
     )
 
 
+def _per_token(per_thousand: float) -> Column:
+    """Exact price of one token, so that rounding the cost never meets a binary tie."""
+    return F.lit(Decimal(str(per_thousand)) / 1000).cast("decimal(12,8)")
+
+
 def token_estimate(
     df: DataFrame, prompt: str = "prompt", system_prompt: str = "", response_tokens: int = RESPONSE_TOKENS
 ) -> DataFrame:
@@ -130,8 +136,8 @@ def token_estimate(
             F.struct(
                 F.lit(m).alias("model"),
                 F.lit(limit).alias("model_limit"),
-                F.lit(cost_in).alias("cost_in"),
-                F.lit(cost_out).alias("cost_out"),
+                _per_token(cost_in).alias("cost_in"),
+                _per_token(cost_out).alias("cost_out"),
             )
             for m, (limit, cost_in, cost_out) in MODELS.items()
         ]
@@ -139,9 +145,7 @@ def token_estimate(
     tokens = F.floor(F.length(prompt) / CHARACTERS_PER_TOKEN).cast("int")
     system = len(system_prompt) // CHARACTERS_PER_TOKEN
     total = F.col("prompt_tokens") + system + response_tokens
-    cost = (F.col("prompt_tokens") + system) / 1000 * F.col("cost_in") + F.lit(
-        response_tokens / 1000
-    ) * F.col("cost_out")
+    cost = (F.col("prompt_tokens") + system) * F.col("cost_in") + F.lit(response_tokens) * F.col("cost_out")
     return (
         df.withColumn("prompt_tokens", tokens)
         .select("*", F.inline(table))
@@ -151,7 +155,7 @@ def token_estimate(
             "status",
             F.when(F.col("total_tokens") > F.col("model_limit"), "Exceeds limit").otherwise("Within limit"),
         )
-        .withColumn("estimated_cost", F.round(cost, 4))
+        .withColumn("estimated_cost", F.round(cost, 4).cast("double"))
         .drop("cost_in", "cost_out", prompt)
     )
 

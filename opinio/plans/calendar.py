@@ -204,7 +204,7 @@ def boolean_rates(spark, sf):
 @query(
     "R1_array_functions",
     f"""select doc_id, array_to_string(w[1:3], ' ') as lead, len(list_filter(w, lambda t: length(t) > 5)) as n_long,
-          array_to_string(list_transform(w, lambda t: upper(t))[1:2], ' ') as shouted, list_contains(w, 'the') as has_the
+          array_to_string(list_transform(w, lambda t: concat('#', t))[1:2], ' ') as tagged, list_contains(w, 'the') as has_the
         from (select doc_id, {terms_sql('text')} as w from documents)""",
 )
 def array_functions(spark, sf):
@@ -214,7 +214,7 @@ def array_functions(spark, sf):
         "doc_id",
         F.array_join(F.slice(w, 1, 3), " ").alias("lead"),
         F.size(F.filter(w, lambda t: F.length(t) > 5)).alias("n_long"),
-        F.array_join(F.slice(F.transform(w, lambda t: F.upper(t)), 1, 2), " ").alias("shouted"),
+        F.array_join(F.slice(F.transform(w, lambda t: F.concat(F.lit("#"), t)), 1, 2), " ").alias("tagged"),
         F.array_contains(w, "the").alias("has_the"),
     )
 

@@ -80,17 +80,17 @@ def prompt_table(spark, sf):
     return sample_prompts(spark, sf)
 
 
-MODELS = ", ".join(f"('{m}', {limit}, {a}, {b})" for m, (limit, a, b) in prompts.MODELS.items())
+MODELS = ", ".join(f"('{m}', {limit}, {a / 1000:.8f}, {b / 1000:.8f})" for m, (limit, a, b) in prompts.MODELS.items())
 
 
 def _estimate_sql(source: str, key: str) -> str:
     return f"""select {key}, prompt_tokens, model, model_limit, total_tokens,
         round(100.0 * total_tokens / model_limit, 1) as pct_of_limit,
         case when total_tokens > model_limit then 'Exceeds limit' else 'Within limit' end as status,
-        round(cast(prompt_tokens as double) / 1000 * cost_in + cast(1.8 as double) * cost_out, 4) as estimated_cost
+        cast(round(prompt_tokens * cost_in + 1800 * cost_out, 4) as double) as estimated_cost
       from (select *, prompt_tokens + 1800 as total_tokens from (
         select {key}, length(prompt) // 4 as prompt_tokens from {source}),
-        (select model, model_limit, cast(a as double) as cost_in, cast(b as double) as cost_out
+        (select model, model_limit, cast(a as decimal(12,8)) as cost_in, cast(b as decimal(12,8)) as cost_out
          from (values {MODELS}) as m(model, model_limit, a, b)))"""
 
 
