@@ -8,12 +8,8 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The white-space code points of Unicode-aware matching, written so that
-# the class means the same in every regular-expression dialect used here.
-WHITE = (
-    r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+# White space as Unicode-aware matching sees it, and word characters.
+WHITE = r"\p{IsWhite_Space}\x1c-\x1f"
 WORD = r"\p{L}\p{N}_"
 
 TAG = r"<[^>\n]*>"
@@ -22,7 +18,8 @@ LINK = rf"(?:http|www)[^{WHITE}]+"
 # long unbroken runs stay linear.
 MAIL = rf"(?<![^{WHITE}])[^{WHITE}][^{WHITE}@]*+@[^{WHITE}]+"
 NOT_PLAIN = rf"[^{WORD}{WHITE}]|\p{{Nd}}"
-BLANKS = rf"[{WHITE}]+"
+# Every run of white space but the single blank, which is what nearly all of them are.
+BLANKS = rf"[{WHITE}&&[^ ]][{WHITE}]*| [{WHITE}]+"
 TERM = rf"[{WORD}]{{2,}}"
 
 # Contractions that split into two tokens.
@@ -112,7 +109,9 @@ def basic_clean(c: Column | str) -> Column:
 
 def words(c: Column | str) -> Column:
     """White-space words of any text; null and blank give an empty array."""
-    return F.filter(F.split(F.coalesce(_col(c), F.lit("")), BLANKS), lambda w: F.length(w) > 0)
+    line = squeeze(F.coalesce(_col(c), F.lit("")))
+    # One plain blank between words: the split needs no regular expression.
+    return F.array_remove(F.split(line, " "), "")
 
 
 def tokenize(c: Column | str) -> Column:

@@ -68,74 +68,84 @@ def _rating_rules(cube: DataFrame) -> list[DataFrame]:
     ]
 
 
-def _share_rules(cube: DataFrame) -> list[DataFrame]:
-    out = []
-    for rule, share in (("most_positive", "positive"), ("most_negative", "negative")):
-        top = top_k(cube, 1, F.desc(share), F.asc("version")).filter(F.col(share) >= STRONG_SENTIMENT)
-        version, value, n = F.col("version"), F.col(share), F.col("n")
-        out.append(_rule(top, rule, version, value, n, version, _one(value), n))
-    return out
+def _finding(rule: str, holds: Column, subject: Column, value: Column, n: Column, *args: Column) -> Column:
+    return F.struct(
+        F.lit(rule).alias("rule"),
+        subject.cast("string").alias("subject"),
+        value.cast("double").alias("value"),
+        n.cast("bigint").alias("n"),
+        F.format_string(TEXTS[rule], *args).alias("finding"),
+        F.coalesce(holds, F.lit(False)).alias("_holds"),
+    )
 
 
-def _response_rules(cube: DataFrame) -> list[DataFrame]:
-    version, value, n = F.col("version"), F.col("response_rate"), F.col("n")
-    args = (version, _one(value), F.col("responded"), n)
-    high = top_k(cube, 1, F.desc("response_rate"), F.asc("version")).filter(value > HIGH_RESPONSE)
-    low = top_k(cube, 1, F.asc("response_rate"), F.asc("version")).filter(value < LOW_RESPONSE)
-    return [
-        _rule(high, "high_response", version, value, n, *args),
-        _rule(low, "low_response", version, value, n, *args),
-    ]
+def _held(df: DataFrame, found: list[Column]) -> DataFrame:
+    """The findings of a one-row frame whose condition holds, one row each."""
+    return df.select(F.inline(F.array(*found))).filter("_holds").drop("_holds")
+
+
+def _first(measure: str, highest: bool, *kept: str) -> Column:
+    """The row at one end of a measure, ties by the first kept column, as an aggregate."""
+    order = -F.col(measure) if highest else F.col(measure)
+    row = F.struct(order.alias("order"), *kept, F.col(measure).alias("value"))
+    return F.min(F.when(F.col(measure).isNotNull(), row))
+
+
+def _top_version_rules(cube: DataFrame) -> DataFrame:
+    """Sentiment and reply-rate extremes, all from one aggregate of the cube."""
+    ends = (
+        ("most_positive", "positive", True, lambda v: v >= STRONG_SENTIMENT),
+        ("most_negative", "negative", True, lambda v: v >= STRONG_SENTIMENT),
+        ("high_response", "response_rate", True, lambda v: v > HIGH_RESPONSE),
+        ("low_response", "response_rate", False, lambda v: v < LOW_RESPONSE),
+    )
+    picked = cube.agg(*[_first(m, high, "version", "n", "responded").alias(r) for r, m, high, _ in ends])
+    found = []
+    for rule, measure, _, holds in ends:
+        row = F.col(rule)
+        version, value, n = row["version"], row["value"], row["n"]
+        counts = (row["responded"], n) if measure == "response_rate" else (n,)
+        found.append(_finding(rule, holds(value), version, value, n, version, _one(value), *counts))
+    return _held(picked, found)
 
 
-def _major_rules(majors: DataFrame) -> list[DataFrame]:
+def _major_rules(majors: DataFrame) -> DataFrame:
     """Rules over the chain of major versions, one row per major."""
     w = Window.orderBy("major_version")
-    ends = majors.agg(
+    steps = majors.withColumns(
+        {
+            "previous": F.lag("major_version").over(w),
+            "change": F.col("avg_rating") - F.lag("avg_rating").over(w),
+        }
+    )
+    chain = steps.agg(
         F.count(F.lit(1)).alias("majors"),
+        F.sum("n").alias("n"),
         F.min(F.struct("major_version", "avg_rating")).alias("a"),
         F.max(F.struct("major_version", "avg_rating")).alias("b"),
-        F.sum("n").alias("n"),
+        _first("change", True, "major_version", "previous", "n").alias("gain"),
+        _first("change", False, "major_version", "previous", "n").alias("drop"),
     ).filter(F.col("majors") >= MIN_MAJORS)
     change = F.col("b.avg_rating") - F.col("a.avg_rating")
-    out = []
+    found = []
     for rule, holds in (("improvement", change >= RATING_MOVE), ("decline", change <= -RATING_MOVE)):
-        out.append(
-            _rule(
-                ends.filter(holds),
+        ends = [x for e in ("a", "b") for x in (_one(f"{e}.avg_rating"), F.col(f"{e}.major_version").cast("string"))]
+        found.append(_finding(rule, holds, F.lit("all"), change, F.col("n"), *ends))
+    for rule, name, sign in (("biggest_gain", "gain", 1), ("biggest_drop", "drop", -1)):
+        row = F.col(name)
+        found.append(
+            _finding(
                 rule,
-                F.lit("all"),
-                change,
-                F.col("n"),
-                _one("a.avg_rating"),
-                F.col("a.major_version").cast("string"),
-                _one("b.avg_rating"),
-                F.col("b.major_version").cast("string"),
+                row["value"] * sign >= RATING_MOVE,
+                row["major_version"],
+                row["value"],
+                row["n"],
+                row["previous"].cast("string"),
+                row["major_version"].cast("string"),
+                _one(F.abs(row["value"])),
             )
         )
-    steps = (
-        majors.withColumn("previous", F.lag("major_version").over(w))
-        .withColumn("change", F.col("avg_rating") - F.lag("avg_rating").over(w))
-        .withColumn("majors", F.count(F.lit(1)).over(Window.partitionBy()))
-        .filter((F.col("majors") >= MIN_MAJORS) & F.col("change").isNotNull())
-    )
-    for rule, order, holds in (
-        ("biggest_gain", F.desc("change"), F.col("change") >= RATING_MOVE),
-        ("biggest_drop", F.asc("change"), F.col("change") <= -RATING_MOVE),
-    ):
-        out.append(
-            _rule(
-                top_k(steps, 1, order, F.asc("major_version")).filter(holds),
-                rule,
-                F.col("major_version"),
-                F.col("change"),
-                F.col("n"),
-                F.col("previous").cast("string"),
-                F.col("major_version").cast("string"),
-                _one(F.abs("change")),
-            )
-        )
-    return out
+    return _held(chain, found)
 
 
 def _topic_rules(df: DataFrame, cube: DataFrame) -> list[DataFrame]:
@@ -194,9 +204,8 @@ def key_findings(df: DataFrame, min_reviews: int = MIN_REVIEWS) -> DataFrame:
     )
     frames = [
         *_rating_rules(cube),
-        *_major_rules(majors),
-        *_share_rules(cube),
-        *_response_rules(cube),
+        _major_rules(majors),
+        _top_version_rules(cube),
         _rule(
             reply,
             "negative_first",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from opinio.functions import text
 from opinio.functions.rates import percent
 from opinio.operators.ranking import top_k
+from opinio.operators.tokens import one_per_row
 
 # Vocabulary limits.
 MAX_FEATURES = 10_000
@@ -20,7 +21,7 @@ MAX_DF = 0.85
 def word_frequency(df: DataFrame, column: str = "normalized_text", k: int = 15) -> DataFrame:
     """The ``k`` most frequent white-space words over all rows."""
     counts = (
-        df.select(F.explode(text.words(column)).alias("word"))
+        one_per_row(df, text.words(column), "word")
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -28,15 +29,14 @@ def word_frequency(df: DataFrame, column: str = "normalized_text", k: int = 15)
 
 
 def document_terms(df: DataFrame, key: str, column: str, stops: Iterable[str] = ()) -> DataFrame:
-    """``(key, term, tf)``. Terms are shuffled once, by document.
+    """``(key, term, tf)``. Texts are laid out by document before they are taken apart.
 
-    Grouping by (document, term) and any window over a document then work on that same
-    layout, so no later step of the feature pipeline moves the term rows again.
+    That one shuffle moves whole texts, which are smaller than their term rows; counting
+    terms per document and any window over a document then work on the same layout.
     """
     kept = text.remove_stopwords(text.terms(column), stops, exact=True)
     return (
-        df.select(F.col(key), F.explode(kept).alias("term"))
-        .repartition(key)
+        one_per_row(df.select(key, column).repartition(key), kept, "term", key)
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -103,7 +103,7 @@ def keywords(
     )
     top = top_k(scored, k, F.desc(F.round("score", 6)), F.asc("term"))
     frequency = (
-        df.select(F.explode(text.words(column)).alias("term"))
+        one_per_row(df, text.words(column), "term")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("frequency"))
     )

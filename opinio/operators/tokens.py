@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opinio.session import keep
+
 #: Tables up to this many rows are sent to every executor; larger ones are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -14,33 +16,40 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def one_per_row(df: DataFrame, array: Column | str, name: str, *kept: str) -> DataFrame:
+    """One row per array entry with the kept columns.
+
+    A plain explode makes the optimizer test the array for emptiness at the scan, which
+    works a costly text expression out twice; the outer form and a filter do not.
+    """
+    array = F.col(array) if isinstance(array, str) else array
+    rows = df.select(*kept, F.explode_outer(array).alias(name))
+    return rows.filter(F.col(name).isNotNull())
+
+
 def explode_tokens(df: DataFrame, key: str, tokens: str) -> DataFrame:
-    """One row ``(key, pos, token)`` per token."""
-    return df.select(F.col(key), F.posexplode(F.col(tokens)).alias("pos", "token"))
+    """``(key, pos, token)`` rows; a document without tokens gives one row of nulls.
 
+    Documents are laid out by key before they are taken apart, so putting them together
+    again needs no shuffle of token rows.
+    """
+    rows = df.select(key, tokens).repartition(key)
+    return rows.select(F.col(key), F.posexplode_outer(tokens).alias("pos", "token"))
 
-def regroup_tokens(df: DataFrame, key: str, name: str = "tokens") -> DataFrame:
-    """Token rows of one document back to its array, in order."""
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "token")))
-    return df.groupBy(key).agg(F.transform(ordered, lambda t: t["token"]).alias(name))
 
+def regroup_tokens(rows: DataFrame, key: str, token: Column, name: str) -> DataFrame:
+    """``(key, name)`` with the tokens of each document in order. The key must be unique."""
+    # One document's tokens; the null entry of an empty one is not collected.
+    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", token.alias("token")))
+    ordered = F.sort_array(F.collect_list(entry))
+    return rows.groupBy(key).agg(F.transform(ordered, lambda t: t["token"]).alias(name))
 
-def replace_tokens(df: DataFrame, key: str, tokens: str, mapping: DataFrame, name: str) -> DataFrame:
-    """Map every token through ``(token, replacement)``; unmapped tokens stay.
 
-    Returns ``(key, name)``; a document without tokens keeps an empty array.
-    """
-    mapped = (
-        explode_tokens(df, key, tokens)
-        .join(broadcast_if_small(mapping.select("token", "replacement")), "token", "left")
-        .select(key, "pos", F.coalesce("replacement", "token").alias("token"))
-    )
-    empty = F.array().cast("array<string>")
-    return (
-        df.select(key)
-        .join(regroup_tokens(mapped, key, name), key, "left")
-        .withColumn(name, F.coalesce(F.col(name), empty))
-    )
+def replace_tokens(df: DataFrame, key: str, tokens: str, mapping: DataFrame, name: str) -> DataFrame:
+    """Map every token through ``(token, replacement)``; unmapped tokens stay."""
+    table = broadcast_if_small(keep(mapping.select("token", "replacement")))
+    rows = explode_tokens(df, key, tokens).join(table, "token", "left")
+    return regroup_tokens(rows, key, F.coalesce("replacement", "token"), name)
 
 
 def lemmatize_tokens(df: DataFrame, key: str, tokens: str, lemmas: DataFrame) -> DataFrame:
@@ -118,7 +127,15 @@ _STEP_4 = (
 
 
 def _without(w: Column, suffix: str) -> Column:
-    return F.regexp_replace(w, f"{suffix}$", "")
+    """The word less a suffix it is known to end in."""
+    return F.left(w, F.length(w) - len(suffix))
+
+
+def _ends(w: Column, *suffixes: str) -> Column:
+    out = F.lit(False)
+    for suffix in suffixes:
+        out = out | w.endswith(suffix)
+    return out
 
 
 def _suffix_step(w: Column, table: tuple[tuple[str, str], ...], condition: str) -> Column:
@@ -133,42 +150,45 @@ def _suffix_step(w: Column, table: tuple[tuple[str, str], ...], condition: str)
     return out.otherwise(w)
 
 
-def stem_table(tokens: DataFrame, column: str = "token") -> DataFrame:
-    """``(token, stem)`` for every distinct token, all inside the JVM.
+def with_stem(df: DataFrame, token: str = "token") -> DataFrame:
+    """Add ``stem``, all inside the JVM and without moving a row.
 
     Words of one or two letters are left alone. Stepwise columns keep each step's input
     a plain reference, so the plan stays small.
     """
     w = F.col("stem")
-    df = tokens.select(F.col(column).alias("token")).distinct().withColumn("stem", F.lower("token"))
+    df = df.withColumn("stem", F.lower(token))
 
     # Step 1a: plurals.
     df = df.withColumn(
         "stem",
-        F.when(w.rlike("(?:ss|i)es$"), F.regexp_replace(w, "es$", ""))
-        .when(w.rlike("[^s]s$"), F.regexp_replace(w, "s$", ""))
+        F.when(_ends(w, "sses", "ies"), _without(w, "es"))
+        .when(w.endswith("s") & ~w.endswith("ss") & (F.length(w) > 1), _without(w, "s"))
         .otherwise(w),
     )
     # Step 1b: past tense and gerund.
-    bare = F.regexp_replace(w, "(?:ed|ing)$", "")
-    df = df.withColumn("_cut", w.rlike("(?:ed|ing)$") & ~w.endswith("eed") & bare.rlike(_HAS_VOWEL))
+    bare = F.when(w.endswith("ed"), _without(w, "ed")).when(w.endswith("ing"), _without(w, "ing"))
+    cut = _ends(w, "ed", "ing") & ~w.endswith("eed")
+    df = df.withColumn("_bare", F.when(cut, bare))
+    df = df.withColumn("_cut", F.coalesce(F.col("_bare").rlike(_HAS_VOWEL), F.lit(False)))
+    eed = F.when(_without(w, "eed").rlike(_MEASURE_1), _without(w, "d")).otherwise(w)
     df = df.withColumn(
-        "stem",
-        F.when(w.endswith("eed"), F.when(_without(w, "eed").rlike(_MEASURE_1), _without(w, "d")).otherwise(w))
-        .when(F.col("_cut"), bare)
-        .otherwise(w),
+        "stem", F.when(w.endswith("eed"), eed).when(F.col("_cut"), F.col("_bare")).otherwise(w)
     )
     df = df.withColumn(
         "stem",
         F.when(~F.col("_cut"), w)
-        .when(w.rlike("(?:at|bl|iz)$") | (w.rlike(_MEASURE_EXACT_1) & w.rlike(_SHORT) & ~w.rlike(_DOUBLE)), F.concat(w, F.lit("e")))
-        .when(w.rlike(_DOUBLE), F.regexp_replace(w, ".$", ""))
+        .when(_ends(w, "at", "bl", "iz"), F.concat(w, F.lit("e")))
+        .when(w.rlike(_DOUBLE), F.left(w, F.length(w) - 1))
+        .when(w.rlike(_SHORT) & w.rlike(_MEASURE_EXACT_1), F.concat(w, F.lit("e")))
         .otherwise(w),
     )
     # Step 1c: final y.
     df = df.withColumn(
         "stem",
-        F.when(w.endswith("y") & _without(w, "y").rlike(_HAS_VOWEL), F.regexp_replace(w, "y$", "i")).otherwise(w),
+        F.when(
+            w.endswith("y") & _without(w, "y").rlike(_HAS_VOWEL), F.concat(_without(w, "y"), F.lit("i"))
+        ).otherwise(w),
     )
     df = df.withColumn("stem", _suffix_step(w, _STEP_2, _MEASURE_1))
     df = df.withColumn("stem", _suffix_step(w, _STEP_3, _MEASURE_1))
@@ -176,7 +196,9 @@ def stem_table(tokens: DataFrame, column: str = "token") -> DataFrame:
     out = None
     for suffix in sorted(_STEP_4, key=lambda s: -len(s)):
         stem = _without(w, suffix)
-        fits = stem.rlike(_MEASURE_2) if suffix != "ion" else stem.rlike(_MEASURE_2) & stem.rlike("[st]$")
+        fits = stem.rlike(_MEASURE_2)
+        if suffix == "ion":
+            fits = _ends(stem, "s", "t") & fits
         done = F.when(fits, stem).otherwise(w)
         out = F.when(w.endswith(suffix), done) if out is None else out.when(w.endswith(suffix), done)
     df = df.withColumn("stem", out.otherwise(w))
@@ -194,11 +216,12 @@ def stem_table(tokens: DataFrame, column: str = "token") -> DataFrame:
         "stem",
         F.when(w.endswith("ll") & _without(w, "l").rlike(_MEASURE_2), _without(w, "l")).otherwise(w),
     )
-    return df.select("token", F.when(F.length("token") <= 2, F.col("token")).otherwise(w).alias("stem"))
+    stem = F.when(F.length(token) <= 2, F.col(token)).otherwise(w)
+    return df.withColumn("stem", stem).drop("_cut", "_bare")
 
 
 def stem_tokens(df: DataFrame, key: str, tokens: str) -> DataFrame:
-    """Stem every token: stems are worked out once per distinct token, then joined."""
-    stems = stem_table(df.select(F.explode(tokens).alias("token")))
-    mapping = stems.withColumnRenamed("stem", "replacement")
+    """``(key, stems)``: stems are worked out once per distinct token, then joined."""
+    distinct = one_per_row(df, tokens, "token").distinct()
+    mapping = with_stem(distinct).withColumnRenamed("stem", "replacement")
     return replace_tokens(df, key, tokens, mapping, "stems")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinio.functions import rates, text
-from opinio.session import configure
+from opinio.session import configure, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,8 +36,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: Tables of long texts, whose rows cost far more to process than to move.
+TEXT_TABLES = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,27 +126,36 @@ def english_stop_words() -> tuple[str, ...]:
     return tuple(sorted({w.strip() for w in content.splitlines() if w.strip()}))
 
 
+# The same character classes in the checker's dialect, code point by code point.
+WHITE_SQL = (
+    r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+BLANKS_SQL = rf"[{WHITE_SQL}]+"
+NOT_PLAIN_SQL = rf"[^{text.WORD}{WHITE_SQL}]|\p{{Nd}}"
+
+
 def replace_sql(c: str, pattern: str, by: str = "") -> str:
     return f"regexp_replace({c}, '{pattern}', '{by}', 'g')"
 
 
 def squeeze_sql(c: str) -> str:
-    return f"trim({replace_sql(c, text.BLANKS, ' ')})"
+    return f"trim({replace_sql(c, BLANKS_SQL, ' ')})"
 
 
 def basic_sql(c: str) -> str:
-    return squeeze_sql(replace_sql(f"lower(coalesce({c}, ''))", text.NOT_PLAIN))
+    return squeeze_sql(replace_sql(f"lower(coalesce({c}, ''))", NOT_PLAIN_SQL))
 
 
 def clean_sql(c: str) -> str:
     out = f"lower(coalesce({c}, ''))"
-    for pattern in (text.TAG, text.LINK, rf"[^{text.WHITE}]+@[^{text.WHITE}]+"):
+    for pattern in (text.TAG, rf"(?:http|www)[^{WHITE_SQL}]+", rf"[^{WHITE_SQL}]+@[^{WHITE_SQL}]+"):
         out = replace_sql(out, pattern)
-    return squeeze_sql(replace_sql(out, text.NOT_PLAIN))
+    return squeeze_sql(replace_sql(out, NOT_PLAIN_SQL))
 
 
 def words_sql(c: str) -> str:
-    return f"list_filter(regexp_split_to_array(coalesce({c}, ''), '{text.BLANKS}'), lambda w: length(w) > 0)"
+    return f"list_filter(regexp_split_to_array(coalesce({c}, ''), '{BLANKS_SQL}'), lambda w: length(w) > 0)"
 
 
 def tokens_sql(c: str) -> str:

@@ -90,7 +90,7 @@ def lemma_rule(column):
 )
 def lemmatize(spark, sf):
     docs = documents(spark, sf).select("doc_id", text.words(text.clean_text("text")).alias("tokens"))
-    forms = docs.select(F.explode("tokens").alias("form")).distinct()
+    forms = tokens.one_per_row(docs, "tokens", "form").distinct()
     table_ = forms.select("form", lemma_rule("form").alias("lemma")).filter("form <> lemma")
     rows = tokens.lemmatize_tokens(docs, "doc_id", "tokens", table_)
     return rows.select("doc_id", F.array_join("lemmas", " ").alias("lemmas"))
@@ -239,7 +239,7 @@ def rating_sentiment(spark, sf):
     f"select doc_id, w as word, count(*) as n from (select doc_id, unnest({words_sql('text')}) as w from documents) group by 1, 2",
 )
 def word_rows(spark, sf):
-    rows = documents(spark, sf).select("doc_id", F.explode(text.words("text")).alias("word"))
+    rows = tokens.one_per_row(documents(spark, sf), text.words("text"), "word", "doc_id")
     return rows.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
 
 

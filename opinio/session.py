@@ -62,3 +62,12 @@ def settle(df: DataFrame) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """Cache with spill to disk; lost blocks are recomputed from lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a small scan.
+
+    A scan with as many partitions as cores, which any large one has, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
