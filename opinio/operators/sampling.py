@@ -121,7 +121,7 @@ def cluster_sample(
             parts.append(top_k(ordered, quota, F.asc("_h"), F.asc(key)).drop("_h"))
             continue
         k = min(CLUSTERS[1], max(CLUSTERS[0], quota))
-        vectors, _ = tfidf_vectors(rows, key, column, stops, size=CLUSTER_TERMS, min_df=1, max_df=1.0)
+        vectors, _ = tfidf_vectors(rows, key, column, stops, size=CLUSTER_TERMS, min_df=1, max_df=None)
         vectors = keep(vectors)
         assigned = best_kmeans(vectors, k, starts, seed).transform(vectors).select(key, "cluster")
         ids = keep(ordered.select(key, "_h").join(assigned, key, "left").fillna({"cluster": -1}))
