@@ -52,13 +52,19 @@ def top_categories(df: DataFrame, column: str, k: int) -> DataFrame:
     )
 
 
-def dataset_summary(df: DataFrame, versions: str | None = "version") -> DataFrame:
-    """One row: totals, rating map, mean, date range, version map, text sizes.
+def dataset_summary(df: DataFrame) -> DataFrame:
+    """One row from one pass: totals, rating map, mean, date range, text sizes.
 
-    Rating and version counts come from their own aggregates, so nothing but final
-    counts meets in one row; the maps hold one entry per distinct value.
+    Version counts are a table of their own, :func:`category_counts` by version, since
+    their number grows with the data.
     """
-    base = df.agg(
+    length = text.text_length("text")
+    sizes = [
+        F.round(F.avg(length), 1).alias("avg_length"),
+        F.max(length).alias("max_length"),
+        F.count_if(length == 0).alias("empty_reviews"),
+    ]
+    return df.agg(
         F.count(F.lit(1)).alias("total_reviews"),
         F.round(F.avg("rating"), 2).alias("average_rating"),
         F.date_format(F.min("date"), "yyyy-MM-dd").alias("first_date"),
@@ -68,30 +74,14 @@ def dataset_summary(df: DataFrame, versions: str | None = "version") -> DataFram
             F.array(*[F.lit(r) for r in RATINGS]),
             F.array(*[F.count_if(F.col("rating") == r) for r in RATINGS]),
         ).alias("rating_counts"),
-        *(
-            [
-                F.round(F.avg(text.text_length("text")), 1).alias("avg_length"),
-                F.max(text.text_length("text")).alias("max_length"),
-                F.count_if(text.text_length("text") == 0).alias("empty_reviews"),
-            ]
-            if "text" in df.columns
-            else []
-        ),
+        *(sizes if "text" in df.columns else []),
     )
-    if versions and versions in df.columns:
-        counts = df.filter(F.col(versions).isNotNull()).groupBy(versions).agg(
-            F.count(F.lit(1)).alias("n")
-        )
-        entries = F.sort_array(F.collect_list(F.struct(versions, "n")))
-        base = base.withColumn("version_counts", counts.agg(F.map_from_entries(entries)).scalar())
-    return base
 
 
 def summary_values(df: DataFrame) -> DataFrame:
     """The scalar part of :func:`dataset_summary` with one count column per rating."""
     wide = [F.col("rating_counts")[r].alias(f"rating_{r}") for r in RATINGS]
-    summary = dataset_summary(df, versions=None)
-    return summary.select("*", *wide).drop("rating_counts")
+    return dataset_summary(df).select("*", *wide).drop("rating_counts")
 
 
 def data_info(df: DataFrame, k: int = 5) -> DataFrame:

@@ -96,7 +96,7 @@ def prompt_table(
 
     A sample larger than a prompt can hold is refused rather than gathered.
     """
-    if sample.limit(PROMPT_REVIEWS + 1).count() > PROMPT_REVIEWS:
+    if sample.count() > PROMPT_REVIEWS:
         raise ValueError("draw a sample before building prompts")
     texts = instructions or INSTRUCTIONS
     lines = sample.select("position", (plain_line() if line is None else line).alias("line"))

@@ -12,8 +12,8 @@ BROADCAST_ROWS = 500_000
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting at most ``limit + 1`` rows of the table."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """Hint a broadcast only after counting the table; above the limit Spark decides."""
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def one_per_row(df: DataFrame, array: Column | str, name: str, *kept: str) -> DataFrame:

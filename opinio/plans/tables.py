@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from opinio.functions import text, versions
@@ -53,8 +52,7 @@ def dataset_summary(spark, sf):
     with_views("select version, count(*) as n from reviews group by version"),
 )
 def version_counts(spark, sf):
-    summary = distributions.dataset_summary(reviews(spark, sf))
-    return summary.select(F.explode("version_counts").alias("version", "n"))
+    return distributions.category_counts(reviews(spark, sf), "version")
 
 
 @query(
@@ -803,16 +801,10 @@ def aligned_counts(spark, sf):
 # --- O: order, limit, sets, reshaping ------------------------------------------------
 
 
-@query(
-    "O1_sorted_positions",
-    with_views(
-        """select version, n, row_number() over (order by n desc, version) as position from (
-             select version, count(*) as n from reviews group by version)"""
-    ),
-)
-def sorted_positions(spark, sf):
-    counts = distributions.category_counts(reviews(spark, sf), "version")
-    return counts.withColumn("position", F.row_number().over(Window.orderBy(F.desc("n"), F.asc("version"))))
+@query("O1_sorted_reviews", with_views("select review_id, date, rating from reviews order by rating desc, date desc, review_id"))
+def sorted_reviews(spark, sf):
+    rows = reviews(spark, sf).select("review_id", "date", "rating")
+    return rows.orderBy(F.desc("rating"), F.desc("date"), F.asc("review_id"))
 
 
 @query(
