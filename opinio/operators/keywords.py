@@ -28,6 +28,12 @@ def word_frequency(df: DataFrame, column: str = "normalized_text", k: int = 15)
     return top_k(counts, k, F.desc("n"), F.asc("word"))
 
 
+def laid_out(df: DataFrame, key: str, column: str) -> DataFrame:
+    """Texts shuffled by document. Every branch of a query that starts here shares the
+    one shuffle, and with it the work of preparing the text."""
+    return df.select(key, column).repartition(key)
+
+
 def document_terms(df: DataFrame, key: str, column: str, stops: Iterable[str] = ()) -> DataFrame:
     """``(key, term, tf)``. Texts are laid out by document before they are taken apart.
 
@@ -36,7 +42,7 @@ def document_terms(df: DataFrame, key: str, column: str, stops: Iterable[str] =
     """
     kept = text.remove_stopwords(text.terms(column), stops, exact=True)
     return (
-        one_per_row(df.select(key, column).repartition(key), kept, "term", key)
+        one_per_row(laid_out(df, key, column), kept, "term", key)
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -103,7 +109,7 @@ def keywords(
     )
     top = top_k(scored, k, F.desc(F.round("score", 6)), F.asc("term"))
     frequency = (
-        one_per_row(df, text.words(column), "term")
+        one_per_row(laid_out(df, key, column), text.words(column), "term")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("frequency"))
     )

@@ -144,18 +144,25 @@ def sentiment_share_by_period(df: DataFrame, period: str = "month", date: str =
 
 
 def versions_over_time(df: DataFrame, k: int = 5, period: str = "month", date: str = "date") -> DataFrame:
-    """Reviews per version and period for the ``k`` most reviewed versions overall."""
-    top = (
+    """Reviews per version and period for the ``k`` most reviewed versions overall.
+
+    The ranking counts undated reviews too, so they are counted under a null period and
+    left out at the end; both branches share one scan.
+    """
+    if dict(df.dtypes)[date] == "string":
+        df = df.withColumn(date, F.try_to_timestamp(date))
+    counts = (
         df.filter(F.col("version").isNotNull())
-        .groupBy("version")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("version", dates.period_key(date, period).alias("period"))
+        # The dated count, not the period, decides below: it cannot be pushed into a scan.
+        .agg(F.count(F.lit(1)).alias("everything"), F.count(date).alias("n"))
     )
+    totals = counts.groupBy("version").agg(F.sum("everything").alias("total"))
     # k rows: safe to broadcast whatever the table size.
-    top = F.broadcast(top_k(top, k, F.desc("n"), F.asc("version")).select("version"))
+    top = F.broadcast(top_k(totals, k, F.desc("total"), F.asc("version")).select("version"))
     return (
-        dated(df, date)
-        .groupBy("version", dates.period_key(date, period).alias("period"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(top, "version", "left_semi")
+        counts.join(top, "version")
+        .filter(F.col("n") > 0)
+        .select("version", "period", "n")
         .orderBy("version", "period")
     )

@@ -111,8 +111,10 @@ def rating_histogram_top_versions(df: DataFrame, k: int = 5) -> DataFrame:
     """Reviews per (version, rating) of the ``k`` most reviewed versions."""
     counts = df.filter(F.col("version").isNotNull()).groupBy("version", "rating").agg(rows().alias("n"))
     totals = counts.groupBy("version").agg(F.sum("n").alias("total"))
+    # k rows to broadcast. An inner join on the unique version stays above the counts,
+    # so both branches share one scan; a semi join would be pushed down into a second.
     top = F.broadcast(top_k(totals, k, F.desc("total"), F.asc("version")).select("version"))
-    return counts.join(top, "version", "left_semi").orderBy("version", "rating")
+    return counts.join(top, "version").orderBy("version", "rating")
 
 
 def segment_distribution(
