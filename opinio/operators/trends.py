@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from opinio.functions import dates
 from opinio.functions.rates import RATINGS, SENTIMENTS, percent
 from opinio.operators.ranking import top_k
+from opinio.session import keep
 
 
 def dated(df: DataFrame, date: str = "date") -> DataFrame:
@@ -146,23 +147,21 @@ def sentiment_share_by_period(df: DataFrame, period: str = "month", date: str =
 def versions_over_time(df: DataFrame, k: int = 5, period: str = "month", date: str = "date") -> DataFrame:
     """Reviews per version and period for the ``k`` most reviewed versions overall.
 
-    The ranking counts undated reviews too, so they are counted under a null period and
-    left out at the end; both branches share one scan.
+    The ranking counts undated reviews too. Both steps read the kept counts, so the
+    reviews are scanned once.
     """
     if dict(df.dtypes)[date] == "string":
         df = df.withColumn(date, F.try_to_timestamp(date))
-    counts = (
+    counts = keep(
         df.filter(F.col("version").isNotNull())
         .groupBy("version", dates.period_key(date, period).alias("period"))
-        # The dated count, not the period, decides below: it cannot be pushed into a scan.
-        .agg(F.count(F.lit(1)).alias("everything"), F.count(date).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    totals = counts.groupBy("version").agg(F.sum("everything").alias("total"))
+    totals = counts.groupBy("version").agg(F.sum("n").alias("total"))
     # k rows: safe to broadcast whatever the table size.
     top = F.broadcast(top_k(totals, k, F.desc("total"), F.asc("version")).select("version"))
     return (
-        counts.join(top, "version")
-        .filter(F.col("n") > 0)
-        .select("version", "period", "n")
+        counts.filter(F.col("period").isNotNull())
+        .join(top, "version", "left_semi")
         .orderBy("version", "period")
     )

@@ -9,6 +9,7 @@ from opinio.functions import rates, versions
 from opinio.functions.rates import SENTIMENTS, percent
 from opinio.operators.distributions import rating_distribution
 from opinio.operators.ranking import top_k, top_n_per_key
+from opinio.session import keep
 
 def rows() -> Column:
     return F.count(F.lit(1))
@@ -112,7 +113,7 @@ def rating_histogram_top_versions(df: DataFrame, k: int = 5) -> DataFrame:
     counts = df.filter(F.col("version").isNotNull()).groupBy("version", "rating").agg(rows().alias("n"))
     totals = counts.groupBy("version").agg(F.sum("n").alias("total"))
     # k rows to broadcast. An inner join on the unique version stays above the counts,
-    # so both branches share one scan; a semi join would be pushed down into a second.
+    # so both branches share one scan; a semi join would be pushed below them.
     top = F.broadcast(top_k(totals, k, F.desc("total"), F.asc("version")).select("version"))
     return counts.join(top, "version").orderBy("version", "rating")
 
@@ -202,7 +203,8 @@ def best_and_worst(df: DataFrame, k: int = 3, min_reviews: int = 10) -> DataFram
 
 def sentiment_extremes(df: DataFrame, k: int = 5, min_reviews: int = 10) -> DataFrame:
     """Versions with the highest positive and the highest negative share."""
-    cube = review_cube(df.select("version", "rating", "sentiment"), "version")
+    # Both ends read the kept cube, so the reviews are scanned once.
+    cube = keep(review_cube(df.select("version", "rating", "sentiment"), "version"))
     parts = [
         extremes(cube, s, k, highest=True, min_reviews=min_reviews).select(
             F.lit(s).alias("side"), "version", F.col(s).alias("pct"), "n"
