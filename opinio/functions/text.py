@@ -134,6 +134,11 @@ def stop_words(language: str = "english") -> tuple[str, ...]:
     return tuple(sorted(set(StopWordsRemover.loadDefaultStopWords(language))))
 
 
+def chosen_stops(stops: Iterable[str] | None) -> list[str]:
+    """The given words, or the English list where none are given."""
+    return list(stop_words() if stops is None else stops)
+
+
 def remove_stopwords(tokens: Column | str, stops: Iterable[str], exact: bool = False) -> Column:
     """Drop stop words, comparing the lower-cased token unless ``exact``."""
     stops = list(stops)

@@ -56,7 +56,7 @@ def preprocess(
 ) -> DataFrame:
     """Add ``cleaned_text`` and ``normalized_text`` (and ``tokens``) in narrow steps."""
     require(df, column)
-    stops = text.stop_words() if stops is None else stops
+    stops = text.chosen_stops(stops)
     out = df.withColumn("cleaned_text", text.clean_text(column))
     out = out.withColumn("normalized_text", text.normalize_text("cleaned_text", stops, lemmas))
     if include_tokens:

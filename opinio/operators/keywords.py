@@ -34,13 +34,13 @@ def laid_out(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.select(key, column).repartition(key)
 
 
-def document_terms(df: DataFrame, key: str, column: str, stops: Iterable[str] = ()) -> DataFrame:
+def document_terms(df: DataFrame, key: str, column: str, stops: Iterable[str] | None = None) -> DataFrame:
     """``(key, term, tf)``. Texts are laid out by document before they are taken apart.
 
     That one shuffle moves whole texts, which are smaller than their term rows; counting
     terms per document and any window over a document then work on the same layout.
     """
-    kept = text.remove_stopwords(text.terms(column), stops, exact=True)
+    kept = text.remove_stopwords(text.terms(column), text.chosen_stops(stops), exact=True)
     return (
         one_per_row(laid_out(df, key, column), kept, "term", key)
         .groupBy(key, "term")
@@ -68,7 +68,7 @@ def tfidf(
     df: DataFrame,
     key: str,
     column: str,
-    stops: Iterable[str] = (),
+    stops: Iterable[str] | None = None,
     max_features: int = MAX_FEATURES,
     min_df: int = MIN_DF,
     max_df: float = MAX_DF,
@@ -94,7 +94,7 @@ def keywords(
     key: str,
     column: str,
     k: int = 20,
-    stops: Iterable[str] = (),
+    stops: Iterable[str] | None = None,
     **limits,
 ) -> DataFrame:
     """Top ``k`` terms by summed TF-IDF weight with frequency and document share.
