@@ -71,9 +71,6 @@ def remove_stopwords(spark, sf):
     return documents(spark, sf).select("doc_id", F.array_join(kept, " ").alias("kept"))
 
 
-FORMS = "select form, lemma from (select distinct unnest({words}) as form from documents)"
-
-
 def lemma_rule(column):
     """Lemma table derived from the corpus: plural forms in -s map to their base."""
     return F.when(

@@ -48,17 +48,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, cutting its lineage.
-
-    Used between the steps of iterative jobs: a lost executor then costs a re-read,
-    not a re-run of every earlier step.
-    """
-    path = scratch_path(df.sparkSession, "settled")
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def keep(df: DataFrame) -> DataFrame:
     """Cache with spill to disk; lost blocks are recomputed from lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
