@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
 from collections.abc import Callable
-from functools import cache
 
-import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,14 +111,9 @@ def literals(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
-@cache
 def english_stop_words() -> tuple[str, ...]:
-    """The list Spark ships, read from its jar so that no session is needed."""
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-    (jar,) = glob.glob(os.path.join(jars, "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as archive:
-        content = archive.read("org/apache/spark/ml/feature/stopwords/english.txt").decode()
-    return tuple(sorted({w.strip() for w in content.splitlines() if w.strip()}))
+    """The English list, as both the plans and their SQL use it."""
+    return text.stop_words("english")
 
 
 # The same character classes in the checker's dialect, code point by code point.

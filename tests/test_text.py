@@ -1,4 +1,5 @@
 import pytest
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
 from opinio.functions import text
@@ -158,3 +159,7 @@ def test_json_recovery(spark):
         (None, "No JSON found in response"),
         (None, "Invalid JSON in response"),
     ]
+
+
+def test_english_stop_words_are_those_spark_ships(spark):
+    assert set(text.stop_words()) == set(StopWordsRemover.loadDefaultStopWords("english"))
