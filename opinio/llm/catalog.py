@@ -1,8 +1,8 @@
 """All queries of the corpus operators."""
 
-from opinio.llm import mixing
+from opinio.llm import mixing, packing
 from opinio.llm.common import QUERIES, SQL
 
-MODULES = (mixing,)
+MODULES = (mixing, packing)
 
 __all__ = ["MODULES", "QUERIES", "SQL"]

@@ -17,12 +17,26 @@ SQL: dict[str, str] = {}
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Texts differ in length by many orders, so Arrow batches are bounded by bytes as well.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """The session with the settings these operators rely on."""
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
+    return configure(spark)
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under a name, with its check where SQL can express it."""
 
     def add(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(configure(spark), sf_dir)
+            return fn(prepare(spark), sf_dir)
 
         QUERIES[name] = run
         if sql is not None:
