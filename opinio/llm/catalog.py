@@ -1,8 +1,8 @@
 """All queries of the corpus operators."""
 
-from opinio.llm import mixing, packing
+from opinio.llm import mixing, packing, simhash
 from opinio.llm.common import QUERIES, SQL
 
-MODULES = (mixing, packing)
+MODULES = (mixing, packing, simhash)
 
 __all__ = ["MODULES", "QUERIES", "SQL"]
