@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -16,6 +17,8 @@ SESSION_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 #: Fallback work folder, used only where the session names none (local runs, tests).
 _LOCAL_WORK_DIR: str | None = None
 
@@ -24,6 +27,11 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the operators rely on."""
     for key, value in SESSION_CONF.items():
         spark.conf.set(key, value)
+    # Python workers import this package by name from where the driver has it, unless it
+    # is installed.
+    known = spark.sparkContext.environment
+    if PACKAGE_ROOT not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, [PACKAGE_ROOT, known.get("PYTHONPATH", "")]))
     return spark
 
 
