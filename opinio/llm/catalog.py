@@ -1,8 +1,8 @@
 """All queries of the corpus operators."""
 
-from opinio.llm import mixing, packing, privacy, quantized, simhash, toxicity, urls
+from opinio.llm import mixing, multiset, packing, privacy, quantized, simhash, toxicity, urls
 from opinio.llm.common import QUERIES, SQL
 
-MODULES = (mixing, packing, privacy, quantized, simhash, toxicity, urls)
+MODULES = (mixing, multiset, packing, privacy, quantized, simhash, toxicity, urls)
 
 __all__ = ["MODULES", "QUERIES", "SQL"]
