@@ -231,6 +231,36 @@ def taken(plan: Mix) -> DataFrame:
     )
 
 
+def mixed_documents(docs: DataFrame, plan: Mix) -> DataFrame:
+    """``docs`` as often as ``plan``, made from them, takes them, with the words it takes.
+
+    A document comes once for each time it is taken whole. One that the end of the mix
+    cuts comes once more with its first words, joined by blanks; ``n_chars``, where ``docs``
+    has it, is that of the cut text. Documents that are not taken do not come.
+    """
+    rows = docs.withColumns(
+        {"_size": word_count("text"), "_skey": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))}
+    )
+    keys = ["doc_id", "_skey", "_size", "_copy"]
+    repeated = (plan.documents.agg(F.max("copy")).first()[0] or 1) > 1
+    same = Window.partitionBy("doc_id", "_skey", "_size").orderBy("text")
+    rows = rows.withColumn("_copy", F.row_number().over(same).cast("long") if repeated else F.lit(1).cast("long"))
+    words = plan.pieces.groupBy("doc_id", "skey", "size", "copy").agg(F.sum("words").alias("_taken"))
+    words = words.select(F.col("doc_id").alias("_id"), *[F.col(c).alias(f"_{c}_") for c in ("skey", "size", "copy")], "_taken")
+    same_id = F.col("doc_id").eqNullSafe(F.col("_id"))
+    met = rows.join(words, [same_id, *[F.col(k) == F.col(f"{k}_") for k in keys[1:]]])
+    whole = F.floor(F.col("_taken") / F.col("_size")).cast("int")
+    rest = (F.col("_taken") % F.col("_size")).cast("int")
+    times = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    out = met.withColumn("_cut", F.explode(times))
+    begin = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.greatest("_cut", F.lit(0))), " ")
+    out = out.withColumn("text", F.when(F.col("_cut") < 0, F.col("text")).otherwise(begin))
+    if "n_chars" in docs.columns:
+        n = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("_cut") < 0, F.col("n_chars")).otherwise(n))
+    return out.select(*docs.columns)
+
+
 SEED = "mix"
 
 _SQL = f"""
