@@ -177,13 +177,16 @@ def linked(prints: DataFrame, bits: int = 4) -> DataFrame:
 
 
 def classes(prints: DataFrame, bits: int = 4) -> DataFrame:
-    """``(fp, component_id)`` for a frame ``(doc_id, fp)``: the smallest doc_id reachable."""
+    """``(fp, root, component_id)`` for a frame ``(doc_id, fp)``.
+
+    ``root`` is the component's smallest fingerprint, ``component_id`` its smallest doc_id.
+    """
     ids = work_table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = work_table(components(linked(ids.select("fp"), bits)), "simhash-roots")
     named = ids.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     named = named.withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(least, "root").select("fp", "component_id")
+    return named.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, bits: int = 4, words: int = 4) -> DataFrame:
@@ -204,13 +207,15 @@ def one_of_each(docs: DataFrame, bits: int = 4, words: int = 4) -> DataFrame:
 
     Null ids come last; of rows with that id, the first by text, then any of equal ones.
     """
-    prints = work_table(docs.withColumn("_fp", fingerprint("text", words)), "simhash-texts")
-    named = classes(prints.select("doc_id", F.col("_fp").alias("fp")), bits).withColumnRenamed("fp", "_fp")
-    rows = prints.join(named, "_fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    rows = rows.withColumn("_root", F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), "_fp")))
-    first = rows.groupBy("_root").agg(F.min(F.struct("text", "_fp")).alias("_first"))
-    kept = rows.join(first, "_root").filter(F.struct("text", "_fp").eqNullSafe(F.col("_first")))
-    return kept.dropDuplicates(["_root"]).select(*docs.columns)
+    whole = docs.select(
+        F.struct(*docs.columns).alias("_doc"), F.col("doc_id"), F.col("text"), fingerprint("text", words).alias("fp")
+    )
+    whole = work_table(whole, "simhash-texts")
+    named = classes(whole.select("doc_id", "fp"), bits)
+    rows = whole.join(named, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    least = rows.groupBy("root").agg(F.min(F.struct("text", "fp")).alias("least"))
+    kept = rows.join(least, "root").filter(F.struct("text", "fp").eqNullSafe(F.col("least")))
+    return kept.dropDuplicates(["root"]).select("_doc.*")
 
 
 @query("op5_simhash")

@@ -142,9 +142,9 @@ def features(text: Column | str, units: tuple[tuple[str, float], ...]) -> Column
     return run(text)
 
 
-def fold(doc_id: Column | str) -> Column:
+def fold(doc_id: Column) -> Column:
     """Fifth of the rows a row belongs to; rows of fifth 0 are never learned from."""
-    return F.crc32(F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"), F.lit(""))) % 5
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5
 
 
 def labelled(labels: DataFrame, most: int = LABELLED) -> DataFrame:
@@ -155,7 +155,7 @@ def labelled(labels: DataFrame, most: int = LABELLED) -> DataFrame:
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(
         F.max((F.col("toxic") > 0).cast("int")).alias("label")
     )
-    known = known.withColumn("fold", fold("doc_id")).filter("fold <> 0")
+    known = known.withColumn("fold", fold(F.col("doc_id"))).filter("fold <> 0")
     n = known.count()
     share = min(1.0, most / n) if n else 1.0
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)
@@ -218,9 +218,13 @@ def scores(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFram
         features("text", units).alias("features"), "label", (F.col("fold") == 4).alias("calibrate")
     )
     model = fit(work_table(rest, "toxic-features"))
-    scored = model.score(docs.withColumn("features", features("text", units)))
-    return scored.withColumns(
-        {"held_out": fold("doc_id") == 0, "predicted": (F.col("score") >= 0.5).cast("int")}
+    # In a struct, no column of theirs meets one that scoring adds.
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), features("text", units).alias("features"))
+    return model.score(whole).select(
+        "_doc.*",
+        (fold(F.col("_doc.doc_id")) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
 
 
