@@ -87,9 +87,6 @@ ENGLISH_STOP_WORDS = tuple(
     """.split()
 )
 
-#: Largest lemma table that is worth inlining into the plan; above it, join.
-INLINE_LEMMAS = 200
-
 # Length classes, upper bound exclusive.
 LENGTH_CLASSES = (("empty", 1), ("very_short", 50), ("short", 200), ("medium", 500))
 LONGEST_CLASS = "long"
@@ -169,12 +166,13 @@ def remove_stopwords(tokens: Column | str, stops: Iterable[str], exact: bool = F
 
 
 def lemmatize(tokens: Column | str, lemmas: Mapping[str, str]) -> Column:
-    """Replace tokens by their lemma with a small inlined table."""
-    if len(lemmas) > INLINE_LEMMAS:
-        raise ValueError("use operators.tokens.lemmatize_tokens for a lemma table this large")
+    """Replace tokens by their lemma; the table becomes one literal of the plan.
+
+    ``operators.tokens.lemmatize_tokens`` joins a lemma frame instead.
+    """
     if not lemmas:
         return _col(tokens)
-    table = F.create_map(*[F.lit(x) for pair in lemmas.items() for x in pair])
+    table = F.map_from_arrays(F.lit(list(lemmas)), F.lit(list(lemmas.values())))
     return F.transform(_col(tokens), lambda t: F.coalesce(F.try_element_at(table, t), t))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from opinio.columns import METADATA_FIELDS, require, with_aliases
 from opinio.functions import dates, rates, text, versions
 from opinio.operators.ranking import first_per_key
+from opinio.operators.tokens import lemmatize_tokens, stem_tokens
 
 # What a missing field reads as after cleaning.
 FILLS = {"text": "", "author": "Anonymous", "version": versions.UNKNOWN}
@@ -51,14 +52,33 @@ def preprocess(
     df: DataFrame,
     column: str = "text",
     stops: Iterable[str] | None = None,
-    lemmas: Mapping[str, str] | None = None,
+    lemmas: Mapping[str, str] | DataFrame | None = None,
     include_tokens: bool = False,
+    stem: bool = False,
+    key: str = "review_id",
 ) -> DataFrame:
-    """Add ``cleaned_text`` and ``normalized_text`` (and ``tokens``) in narrow steps."""
+    """Add ``cleaned_text`` and ``normalized_text`` (and ``tokens``).
+
+    Narrow steps, unless lemmas come as a frame ``(form, lemma)`` of any size or stems are
+    asked for: then tokens are joined or stemmed by document and put back by ``key``, which
+    must be unique.
+    """
     require(df, column)
     stops = text.chosen_stops(stops)
     out = df.withColumn("cleaned_text", text.clean_text(column))
-    out = out.withColumn("normalized_text", text.normalize_text("cleaned_text", stops, lemmas))
+    if isinstance(lemmas, DataFrame) or stem:
+        tokens = text.remove_stopwords(text.tokenize("cleaned_text"), stops, exact=True)
+        rows = out.select(key, tokens.alias("_tokens"))
+        if isinstance(lemmas, DataFrame):
+            rows = lemmatize_tokens(rows, key, "_tokens", lemmas).withColumnRenamed("lemmas", "_tokens")
+        elif lemmas:
+            rows = rows.withColumn("_tokens", text.lemmatize("_tokens", lemmas))
+        if stem:
+            rows = stem_tokens(rows, key, "_tokens").withColumnRenamed("stems", "_tokens")
+        joined = F.array_join(text.drop_short("_tokens"), " ").alias("normalized_text")
+        out = out.join(rows.select(key, joined), key)
+    else:
+        out = out.withColumn("normalized_text", text.normalize_text("cleaned_text", stops, lemmas))
     if include_tokens:
         out = out.withColumn("tokens", text.tokenize("normalized_text"))
     return out

@@ -10,15 +10,9 @@ from pyspark.sql import functions as F
 
 from opinio.functions import text
 
-# Default instruction per analysis type; pass your own to replace them.
-INSTRUCTIONS = {
-    "general": "Analyse these app reviews: overall sentiment, key themes, common issues, feature requests.",
-    "sentiment": "Classify the sentiment of these app reviews and describe tone, intensity and shifts.",
-    "issues": "List the problems named in these app reviews, ranked by frequency and severity.",
-    "suggestions": "List the suggestions and feature requests in these app reviews, ranked by popularity.",
-    "themes": "Group these app reviews into three to seven themes with their key terms.",
-    "trends": "Describe how sentiment, topics and priorities change over time in these app reviews.",
-}
+#: Kinds of analysis; their instructions are an input, a plain task line the default.
+TYPES = ("general", "sentiment", "issues", "suggestions", "themes", "trends")
+INSTRUCTIONS = {t: f"Task: {t}." for t in TYPES}
 
 STYLES = {
     "default": "",
@@ -27,8 +21,6 @@ STYLES = {
     "markdown": "\n\nAnswer in Markdown with headers.",
 }
 
-CLOSING = "\n\nPlease provide your detailed analysis."
-
 # Token limits and prices per thousand tokens (input, output).
 MODELS = {
     "gpt-3.5-turbo": (16385, 0.0015, 0.002),
@@ -41,8 +33,8 @@ DEFAULT_LIMIT = 8192
 RESPONSE_TOKENS = 1800
 CHARACTERS_PER_TOKEN = 4
 
-#: Most reviews one prompt may hold; samples are cut to far fewer before this.
-PROMPT_REVIEWS = 10_000
+#: Reviews in one prompt; a larger sample gives several prompts of each kind.
+REVIEWS_PER_PROMPT = 100
 
 
 def numbered(sample: DataFrame, *order: Column) -> DataFrame:
@@ -86,39 +78,38 @@ def detailed_line(position: str = "position") -> Column:
 
 def prompt_table(
     sample: DataFrame,
-    types: Sequence[str] = tuple(INSTRUCTIONS),
+    types: Sequence[str] = TYPES,
     context: str = "",
     style: str = "default",
     line: Column | None = None,
     instructions: dict[str, str] | None = None,
+    closing: str = "",
+    per_prompt: int = REVIEWS_PER_PROMPT,
 ) -> DataFrame:
-    """One prompt per analysis type over a numbered sample: ``(analysis_type, prompt)``.
+    """Prompts over a numbered sample: ``(analysis_type, prompt_no, prompt)``.
 
-    A sample larger than a prompt can hold is refused rather than gathered.
+    Every prompt holds ``per_prompt`` reviews, so a sample of any size is taken whole and
+    no task gathers more than one prompt.
     """
-    if sample.count() > PROMPT_REVIEWS:
-        raise ValueError("draw a sample before building prompts")
     texts = instructions or INSTRUCTIONS
-    lines = sample.select("position", (plain_line() if line is None else line).alias("line"))
-    body = lines.agg(
-        F.array_join(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("position", "line"))), lambda r: r["line"]
-            ),
-            "",
-        ).alias("body")
+    number = F.floor((F.col("position") - 1) / per_prompt).cast("int") + 1
+    lines = sample.select(
+        number.alias("prompt_no"), "position", (plain_line() if line is None else line).alias("line")
     )
+    ordered = F.sort_array(F.collect_list(F.struct("position", "line")))
+    bodies = lines.groupBy("prompt_no").agg(F.array_join(F.transform(ordered, lambda r: r["line"]), "").alias("body"))
     heads = [
         F.struct(
             F.lit(t).alias("analysis_type"),
-            F.lit((f"{context}\n\n" if context else "") + texts.get(t, texts["general"]) + STYLES[style]).alias(
+            F.lit((f"{context}\n\n" if context else "") + texts.get(t, INSTRUCTIONS["general"]) + STYLES[style]).alias(
                 "instruction"
             ),
         )
         for t in types
     ]
-    return body.select("body", F.inline(F.array(*heads))).select(
-        "analysis_type", F.concat("instruction", F.lit("\n\n"), "body", F.lit(CLOSING)).alias("prompt")
+    end = f"\n\n{closing}" if closing else ""
+    return bodies.select("prompt_no", "body", F.inline(F.array(*heads))).select(
+        "analysis_type", "prompt_no", F.concat("instruction", F.lit("\n\n"), "body", F.lit(end)).alias("prompt")
     )
 
 

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Up to this n Spark ranks below the shuffle.
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
 #: Sub-groups a key is split into before its final ranking.
 SALTS = 64
 
@@ -38,8 +41,12 @@ def top_n_per_key(
     """First ``n`` rows of each key, exact, in two ranking rounds.
 
     The first round ranks within (key, salt) and keeps n of each, the second ranks the
-    at most ``n * SALTS`` survivors of a key. Both rounds get a map-side group limit.
+    at most ``n * SALTS`` survivors of a key. Both rounds get a map-side group limit, for
+    which the session's threshold is raised where ``n`` exceeds it.
     """
+    conf = df.sparkSession.conf
+    if n > int(conf.get(GROUP_LIMIT, "1000")):
+        conf.set(GROUP_LIMIT, str(n))
     keys = [keys] if isinstance(keys, str) else list(keys)
     name = rank or "_rn"
     salt = F.pmod(F.xxhash64(*(salt_on or [c for c in df.columns if c not in keys])), F.lit(SALTS))

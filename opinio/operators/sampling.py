@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -47,16 +48,20 @@ def stratified_sample(
 
 
 def rating_quotas(size: int, focus: str = "balanced") -> dict[int, int]:
-    """Reviews wanted per rating: at least one each; the surplus or deficit goes round
-    the heaviest ratings first."""
+    """Reviews wanted per rating: its share of the size rounded down, but at least one.
+
+    What the shares leave over, or exceed the size by, is spread evenly in whole rounds;
+    the remainder of a round falls to the ratings of largest weight.
+    """
     weights = FOCUS_WEIGHTS.get(focus, FOCUS_WEIGHTS["balanced"])
-    quotas = {r: max(1, int(size * w)) for r, w in weights.items()}
-    gap = size - sum(quotas.values())
-    heaviest = sorted(weights, key=lambda r: -weights[r])
-    for turn in range(abs(gap)):
-        rating = heaviest[turn % len(heaviest)]
-        quotas[rating] = max(1, quotas[rating] + (1 if gap > 0 else -1))
-    return quotas
+    shares = {rating: max(1, math.floor(size * weight)) for rating, weight in weights.items()}
+    left = size - sum(shares.values())
+    rounds, remainder = divmod(abs(left), len(weights))
+    sign = math.copysign(1, left)
+    favoured = set(sorted(weights, key=weights.__getitem__, reverse=True)[:remainder])
+    return {
+        rating: max(1, share + int(sign * (rounds + (rating in favoured)))) for rating, share in shares.items()
+    }
 
 
 def quota_frame(spark, quotas: Mapping[int, int]) -> DataFrame:

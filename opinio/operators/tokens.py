@@ -5,17 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinio.session import keep
-
-#: Tables up to this many rows are sent to every executor; larger ones are shuffled.
-BROADCAST_ROWS = 500_000
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting the table; above the limit Spark decides."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def one_per_row(df: DataFrame, array: Column | str, name: str, *kept: str) -> DataFrame:
     """One row per array entry with the kept columns.
 
@@ -46,9 +35,11 @@ def regroup_tokens(rows: DataFrame, key: str, token: Column, name: str) -> DataF
 
 
 def replace_tokens(df: DataFrame, key: str, tokens: str, mapping: DataFrame, name: str) -> DataFrame:
-    """Map every token through ``(token, replacement)``; unmapped tokens stay."""
-    table = broadcast_if_small(keep(mapping.select("token", "replacement")))
-    rows = explode_tokens(df, key, tokens).join(table, "token", "left")
+    """Map every token through ``(token, replacement)``; unmapped tokens stay.
+
+    Spark picks the join by the table's measured size and splits a frequent token's rows.
+    """
+    rows = explode_tokens(df, key, tokens).join(mapping.select("token", "replacement"), "token", "left")
     return regroup_tokens(rows, key, F.coalesce("replacement", "token"), name)
 
 
@@ -221,7 +212,5 @@ def with_stem(df: DataFrame, token: str = "token") -> DataFrame:
 
 
 def stem_tokens(df: DataFrame, key: str, tokens: str) -> DataFrame:
-    """``(key, stems)``: stems are worked out once per distinct token, then joined."""
-    distinct = one_per_row(df, tokens, "token").distinct()
-    mapping = with_stem(distinct).withColumnRenamed("stem", "replacement")
-    return replace_tokens(df, key, tokens, mapping, "stems")
+    """``(key, stems)``, worked out where the documents' tokens already lie."""
+    return regroup_tokens(with_stem(explode_tokens(df, key, tokens)), key, F.col("stem"), "stems")

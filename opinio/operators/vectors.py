@@ -29,7 +29,7 @@ def index_documents(
 ) -> DataFrame:
     """Collection rows ``(id, text, embedding, metadata columns)``.
 
-    Rows without text are left out. Without an id column the id is the hash of the row.
+    Rows without text or embedding are left out. Without an id column the id is the hash of the row.
     The embedding is an existing column or the built-in hash embedding.
     """
     text_field = text_field or text_column(df, "features")
@@ -46,7 +46,8 @@ def index_documents(
         if c in types and c not in (text_field, id_field)
     ]
     vector = F.col(embedding) if embedding else text.hash_embedding(text_field)
-    return df.filter(has_text(text_field)).select(
+    rows = df.filter(has_text(text_field))
+    return (rows.filter(F.col(embedding).isNotNull()) if embedding else rows).select(
         identity.alias("id"), F.col(text_field).alias("text"), vector.alias("embedding"), *metadata
     )
 
@@ -78,7 +79,7 @@ def search(
     The criteria reach the scan as filters; each task keeps its own k rows, so the
     collection is never shuffled.
     """
-    scored = collection.filter(matches(criteria)).withColumn(
+    scored = collection.filter(matches(criteria) & F.col("embedding").isNotNull()).withColumn(
         "score", squared_distance("embedding", vector)
     )
     return top_k(scored, k, F.asc("score"), F.asc(id_column)).drop("embedding")
@@ -102,16 +103,16 @@ def search_many(
     """Exact ``k`` nearest rows of every query: ``(query_id, id, score, rank)``.
 
     ``queries`` holds ``(query_id, embedding)``. A bounded block of query vectors goes
-    to the tasks, which score a batch of rows by one matrix product and keep the best k
+    to the tasks, which score batches of rows against each of them and keep the best k
     per query, so what is shuffled is k rows per query and task. Query sets above one
     block take several passes over the collection; no query or candidate is dropped.
     """
-    docs = collection.filter(matches(criteria)).select(F.col(id_column).alias("id"), "embedding")
+    docs = collection.filter(matches(criteria) & F.col("embedding").isNotNull()).select(F.col(id_column).alias("id"), "embedding")
     id_type = dict(docs.dtypes)["id"]
     query_type = dict(queries.dtypes)["query_id"]
     schema = f"query_id {query_type}, id {id_type}, score double"
     best = None
-    for ids, matrix in _blocks(queries.select("query_id", "embedding"), per_pass):
+    for ids, matrix in _blocks(queries.filter("embedding is not null").select("query_id", "embedding"), per_pass):
         part = docs.mapInPandas(_nearest(ids, matrix, k), schema)
         best = part if best is None else best.unionByName(part)
     if best is None:

@@ -248,7 +248,7 @@ def kmeans_clusters(spark, sf):
 @query("ML5_cluster_keywords")
 def cluster_keywords(spark, sf):
     rows = clusters.cluster_reviews(
-        normalized(spark, sf), "doc_id", "normalized_text", stops=text.stop_words(), include_keywords=True, starts=2
+        normalized(spark, sf), "doc_id", "normalized_text", stops=text.stop_words(), include_keywords=True
     )
     return rows.select("doc_id", "cluster", F.array_join("cluster_keywords", ", ").alias("keywords"))
 

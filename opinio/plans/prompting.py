@@ -63,9 +63,10 @@ LINES = """select position, concat('Review ', position, ': Rating: ', rating, '/
     select *, row_number() over (order by rating desc, date desc, review_id) as position from sample)"""
 HEADS = ", ".join("('{}', '{}')".format(t, i.replace("'", "''")) for t, i in prompts.INSTRUCTIONS.items())
 PROMPTS = f"""select analysis_type, concat(instruction, '{prompts.STYLES["markdown"].replace(chr(10), "' || chr(10) || '")}',
-    chr(10), chr(10), (select string_agg(line, '' order by position) from lines), chr(10), chr(10),
-    'Please provide your detailed analysis.') as prompt
-  from (values {HEADS}) as v(analysis_type, instruction)"""
+    chr(10), chr(10), body) as prompt, prompt_no
+  from (values {HEADS}) as v(analysis_type, instruction), (
+    select cast((position - 1) // 100 as int) + 1 as prompt_no, string_agg(line, '' order by position) as body
+    from lines group by 1)"""
 PROMPT_VIEWS = {"sample": STRATIFIED.format(src="texts"), "lines": LINES, "prompts": PROMPTS}
 
 
@@ -75,7 +76,7 @@ def sample_prompts(spark, sf):
     return prompts.prompt_table(rows, style="markdown")
 
 
-@query("L1_prompt_table", with_views("select analysis_type, prompt from prompts", **PROMPT_VIEWS))
+@query("L1_prompt_table", with_views("select analysis_type, prompt_no, prompt from prompts", **PROMPT_VIEWS))
 def prompt_table(spark, sf):
     return sample_prompts(spark, sf)
 
@@ -94,7 +95,7 @@ def _estimate_sql(source: str, key: str) -> str:
          from (values {MODELS}) as m(model, model_limit, a, b)))"""
 
 
-@query("L2_token_estimate", with_views(_estimate_sql("prompts", "analysis_type"), **PROMPT_VIEWS))
+@query("L2_token_estimate", with_views(_estimate_sql("prompts", "analysis_type, prompt_no"), **PROMPT_VIEWS))
 def token_estimate(spark, sf):
     return prompts.token_estimate(sample_prompts(spark, sf))
 

@@ -132,13 +132,13 @@ def delete_by_filter(spark, sf):
     return vectors.delete_documents(embeddings(spark, sf), criteria={"label": 3}).select("id", "label")
 
 
-@query("V6_clear_collection", "select vec_id as id, label from embeddings where label >= 5")
+@query("V6_clear_collection", "select vec_id as id, label from embeddings")
 def clear_collection(spark, sf):
     target = scratch_path(spark, "v6")
     rows = embeddings(spark, sf)
     storage.store(rows, target)
     storage.delete_rows(spark, target)
-    storage.store(rows.filter("label >= 5"), target)
+    storage.store(rows, target)
     return storage.retrieve(spark, target).select("id", "label")
 
 

@@ -27,14 +27,13 @@ def stream_dedupe(spark, sf):
 @query(
     "ST2_stream_daily",
     """select strftime(day, '%Y-%m-%d') as day, avg_value, n from (
-         select date_trunc('day', ts) as day, round(avg(value), 9) as avg_value, count(value) as n from events group by 1)
-       where day + interval 1 day <= (select max(ts) - interval 1 day from events)""",
+         select date_trunc('day', ts) as day, round(avg(value), 9) as avg_value, count(value) as n from events group by 1)""",
 )
 def stream_daily(spark, sf):
     stream = events_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     target = scratch_path(spark, "st2")
-    days = ingest.drain(
-        ingest.daily_ratings(stream, "ts", "value"), f"{target}/out", f"{target}/checkpoint"
+    days = ingest.drain_latest(
+        ingest.daily_ratings(stream, "ts", "value"), f"{target}/out", f"{target}/checkpoint", "day"
     )
     return days.select(
         F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("avg_value", 9).alias("avg_value"), "n"

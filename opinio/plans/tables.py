@@ -231,21 +231,12 @@ def volume_by_quarter(spark, sf):
     return trends.volume_by_period(reviews(spark, sf), "quarter")
 
 
-# Reviews with whole months missing, so that the trend has empty bins to keep.
-GAPPED = "select * from reviews where month(date) not in (3, 8)"
-
-
-def gapped(spark, sf):
-    return reviews(spark, sf).filter(~F.month("date").isin(3, 8))
-
-
 TREND_VIEWS = {
-    "gapped": GAPPED,
-    "bins": """select unnest(generate_series(date_trunc('month', (select min(date) from gapped)),
-      date_trunc('month', (select max(date) from gapped)), interval 1 month)) as bin""",
+    "bins": """select unnest(generate_series(date_trunc('month', (select min(date) from reviews)),
+      date_trunc('month', (select max(date) from reviews)), interval 1 month)) as bin""",
     "counted": f"""select b.bin, avg(rating) as avg_rating, count(rating) as count,
       {", ".join(f"count(*) filter (rating = {r}) as rating_{r}_count" for r in range(1, 6))}
-      from bins b left join gapped g on date_trunc('month', g.date) = b.bin group by b.bin""",
+      from bins b left join reviews g on date_trunc('month', g.date) = b.bin group by b.bin""",
 }
 RATING_COUNTS = ", ".join(
     f"rating_{r}_count, 100.0 * rating_{r}_count / nullif(count, 0) as rating_{r}_pct" for r in range(1, 6)
@@ -262,7 +253,7 @@ ROLLING = "avg(avg_rating) over (order by bin rows between 2 preceding and curre
     ),
 )
 def monthly_trend(spark, sf):
-    table_ = trends.trend(gapped(spark, sf), rolling_window=3)
+    table_ = trends.trend(reviews(spark, sf), rolling_window=3)
     return table_.withColumn("rolling_avg_3", F.round("rolling_avg_3", 9))
 
 
@@ -283,12 +274,11 @@ def auto_trend(spark, sf):
     "A15_weekly_value_trend",
     """select cast(bin as date) + 6 as ts, avg(value) as avg_value, count(value) as count from (
          select unnest(generate_series(date_trunc('week', min(ts)), date_trunc('week', max(ts)), interval 7 days)) as bin
-         from events where event_type = 'error') b
-       left join (select * from events where event_type = 'error') e on date_trunc('week', e.ts) = b.bin group by bin""",
+         from events) b
+       left join events e on date_trunc('week', e.ts) = b.bin group by bin""",
 )
 def weekly_value_trend(spark, sf):
-    errors = table(spark, sf, "events").filter("event_type = 'error'")
-    return trends.trend(errors, "ts", "value", "W")
+    return trends.trend(table(spark, sf, "events"), "ts", "value", "W")
 
 
 @query(
@@ -298,7 +288,7 @@ def weekly_value_trend(spark, sf):
     ),
 )
 def rating_trend_chart(spark, sf):
-    return trends.rating_trend(gapped(spark, sf), "M")
+    return trends.rating_trend(reviews(spark, sf), "M")
 
 
 RESPONSE = "count(*) filter (has_response) as responded, count(*) as total"
@@ -678,7 +668,7 @@ def overall_change(spark, sf):
     ),
 )
 def rolling_mean(spark, sf):
-    table_ = trends.trend(gapped(spark, sf), rating_breakdown=False, rolling_window=6)
+    table_ = trends.trend(reviews(spark, sf), rating_breakdown=False, rolling_window=6)
     return table_.withColumn("rolling_avg_6", F.round("rolling_avg_6", 9))
 
 
@@ -740,7 +730,7 @@ def top_n_per_stratum(spark, sf):
     ),
 )
 def period_left_join(spark, sf):
-    return trends.trend(gapped(spark, sf)).select("date", "avg_rating", "count", "rating_1_count", "rating_5_count")
+    return trends.trend(reviews(spark, sf)).select("date", "avg_rating", "count", "rating_1_count", "rating_5_count")
 
 
 @query(

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opinio.columns import REVIEW_SCHEMA
-from opinio.operators.tokens import broadcast_if_small
-from opinio.session import keep
 
 _PREFIX = "snapshot-"
 
@@ -130,7 +128,7 @@ def upsert(stored: DataFrame, update: DataFrame, key: str = "review_id") -> Data
     for df in (stored, update):
         if key not in df.columns:
             raise ValueError(f"key column {key!r} not found")
-    keys = broadcast_if_small(keep(update.select(F.col(key).alias("_key")).distinct()))
+    keys = update.select(F.col(key).alias("_key")).distinct()
     kept = stored.join(keys, F.col(key).eqNullSafe(F.col("_key")), "left_anti")
     return kept.unionByName(update, allowMissingColumns=True)
 

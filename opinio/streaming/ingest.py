@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from opinio.operators.ranking import first_per_key
@@ -26,7 +27,8 @@ def dedupe_stream(stream: DataFrame, key: str, time: str, delay: str = "7 days")
 def daily_ratings(
     stream: DataFrame, time: str = "date", value: str = "rating", delay: str = "1 day"
 ) -> DataFrame:
-    """Average and volume per day; a day is emitted once the watermark has passed it."""
+    """Average and volume per day; appended once the watermark has passed it, or updated
+    with every batch."""
     return (
         stream.withWatermark(time, delay)
         .groupBy(F.window(time, "1 day").alias("_w"))
@@ -38,11 +40,15 @@ def daily_ratings(
 def upsert_stream(stream: DataFrame, table: str, checkpoint: str, key: str, *order) -> StreamingQuery:
     """Upsert every micro-batch into a stored table.
 
-    Inside a batch the first row per key in the given order wins; running a batch twice
-    after a failure gives the same table.
+    Of all rows of a key, stored ones included, the first in the given order wins, so
+    batches may come late and a batch may run again after a failure.
     """
 
     def apply(batch: DataFrame, _epoch: int) -> None:
+        spark = batch.sparkSession
+        if storage.current_snapshot(spark, table):
+            keys = batch.select(key).distinct()
+            batch = storage.retrieve(spark, table).join(keys, key, "left_semi").unionByName(batch)
         storage.update_table(first_per_key(batch, key, *order), table, key)
 
     return (
@@ -65,3 +71,26 @@ def drain(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
     )
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(target)
+
+
+def drain_latest(stream: DataFrame, target: str, checkpoint: str, key: str) -> DataFrame:
+    """Run an updating stream over what is there now; the latest row of each key.
+
+    Every batch writes the rows it changed to a folder of its own, which a second run of
+    the batch writes again. Groups that are still open are there too.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/_batch_no={number}")
+
+    query = (
+        stream.writeStream.foreachBatch(write)
+        .outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("_batch_no", T.LongType())])
+    rows = stream.sparkSession.read.schema(schema).option("basePath", target).parquet(f"{target}/*")
+    return first_per_key(rows, key, F.desc("_batch_no")).drop("_batch_no")

@@ -43,8 +43,26 @@ def normal_rows(columns, rows):
     return [columns[i] for i in order], sorted(out, key=repr)
 
 
+#: Column types that go by other names in the checker.
+TYPE_NAMES = {"TINYINT": "tinyint", "SMALLINT": "smallint", "INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "FLOAT": "float", "VARCHAR": "string", "BOOLEAN": "boolean", "DATE": "date"}
+
+
+def type_differences(spark_df, con, sql: str) -> list[str]:
+    """Columns of plain types whose types differ."""
+    found = {r[0]: r[1] for r in con.execute(f"describe {sql}").fetchall()}
+    out = []
+    for name, kind in spark_df.dtypes:
+        want = TYPE_NAMES.get(found.get(name), None)
+        if want != kind and (want or kind in TYPE_NAMES.values()):
+            out.append(f"{name}: {kind} here, {found.get(name)} there")
+    return out
+
+
 def compare(spark_df, con, sql: str) -> str | None:
     """None when equal, else what differs."""
+    types = type_differences(spark_df, con, sql)
+    if types:
+        return f"types differ: {types}"
     left = normal_rows(spark_df.columns, [tuple(r) for r in spark_df.collect()])
     cursor = con.execute(sql)
     right = normal_rows([d[0] for d in cursor.description], cursor.fetchall())

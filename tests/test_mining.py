@@ -211,11 +211,22 @@ def test_cluster_sample_meets_its_quotas(spark, corpus):
     assert out.select("review_id").distinct().count() == out.count()
 
 
-def test_prompts_refuse_whole_tables(spark, monkeypatch):
-    monkeypatch.setattr(prompts, "PROMPT_REVIEWS", 5)
-    df = spark.range(6).select(F.col("id").alias("position"), F.lit("t").alias("text"))
-    with pytest.raises(ValueError):
-        prompts.prompt_table(df)
+def test_large_samples_give_several_prompts(spark):
+    df = spark.range(1, 251).select(F.col("id").alias("position"), F.lit(4).alias("rating"), F.lit("t").alias("text"))
+    df = df.withColumn("date", F.lit(None).cast("timestamp"))
+    rows = prompts.prompt_table(df, types=("general", "issues"), closing="Bye.").collect()
+    assert sorted((r["analysis_type"], r["prompt_no"]) for r in rows) == [
+        (t, i) for t in ("general", "issues") for i in (1, 2, 3)
+    ]
+    assert sum(r["prompt"].count("Review ") for r in rows) == 500
+    assert all(r["prompt"].startswith("Task: ") and r["prompt"].endswith("\n\nBye.") for r in rows)
+
+
+def test_searches_pass_over_null_embeddings(spark):
+    rows = spark.createDataFrame([(1, None), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "id int, embedding array<double>")
+    assert [r["id"] for r in vectors.search(rows, [0.0, 1.0], 3).collect()] == [2, 3]
+    asked = spark.createDataFrame([(7, [1.0, 1.0]), (8, None)], "query_id int, embedding array<double>")
+    assert [(r["query_id"], r["id"]) for r in vectors.search_many(rows, asked, 1).collect()] == [(7, 3)]
 
 
 def test_token_estimate(spark):

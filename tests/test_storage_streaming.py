@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +108,27 @@ def test_streamed_daily_ratings_equal_the_batch(spark, sf):
     want = {r["d"]: r["n"] for r in events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("d")).agg(F.count("value").alias("n")).collect()}
     assert got and all(want[d] == n for d, n in got.items())
     assert len(want) - len(got) <= 2
+
+
+def test_upsert_stream_keeps_the_newest_row_of_late_batches(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "table")
+    schema = "k int, v string, t int"
+
+    def batch(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = ingest.stream_files(spark, source, spark.createDataFrame([], schema).schema)
+        ingest.upsert_stream(stream, target, str(tmp_path / "cp"), "k", F.desc("t")).awaitTermination()
+
+    batch([(1, "new", 9), (2, "a", 1)])
+    batch([(1, "old", 3), (2, "b", 2), (3, "c", 1)])
+    rows = storage.retrieve(spark, target).collect()
+    assert sorted(tuple(r) for r in rows) == [(1, "new", 9), (2, "b", 2), (3, "c", 1)]
+
+
+def test_open_days_are_given_out(spark, tmp_path):
+    source = str(tmp_path / "in")
+    rows = [(datetime(2024, 1, 1, 5), 2), (datetime(2024, 1, 1, 6), 4), (datetime(2024, 1, 2), 1)]
+    spark.createDataFrame(rows, "date timestamp, rating int").write.parquet(source)
+    stream = ingest.stream_files(spark, source, spark.read.parquet(source).schema)
+    days = ingest.drain_latest(ingest.daily_ratings(stream), str(tmp_path / "out"), str(tmp_path / "cp"), "day")
+    assert sorted((r["avg_value"], r["n"]) for r in days.collect()) == [(1.0, 1), (3.0, 2)]

@@ -107,6 +107,17 @@ def test_lemma_join_keeps_order_and_empty_documents(spark):
     assert out == {1: ["mouse", "eat", "mouse"], 2: []}
 
 
+def test_preprocess_with_a_lemma_frame_and_stems(spark):
+    docs = spark.createDataFrame([(1, "The mice were running!"), (2, None)], "review_id int, text string")
+    many = spark.range(1000).select(F.concat(F.lit("form"), "id").alias("form"), F.lit("x").alias("lemma"))
+    lemmas = many.unionByName(spark.createDataFrame([("mice", "mouse")], "form string, lemma string"))
+    out = cleaning.preprocess(docs, stops=["the"], lemmas=lemmas, stem=True).collect()
+    assert {r["review_id"]: r["normalized_text"] for r in out} == {1: "mous were run", 2: ""}
+    small = {f"form{i}": "x" for i in range(1000)} | {"mice": "mouse"}
+    out = cleaning.preprocess(docs, stops=["the"], lemmas=small).collect()
+    assert {r["review_id"]: r["normalized_text"] for r in out} == {1: "mouse were running", 2: ""}
+
+
 STEMS = {
     "caresses": "caress",
     "ponies": "poni",
