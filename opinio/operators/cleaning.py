@@ -120,10 +120,10 @@ def column_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def enough_dates(df: DataFrame, date: str = "date", least: float = 0.5) -> bool:
-    """Whether at least half of the rows carry a date, so time tables make sense."""
-    row = df.agg(F.count(date).alias("valid"), F.count(F.lit(1)).alias("n")).first()
-    return row["n"] > 0 and row["valid"] / row["n"] >= least
+def date_validity(df: DataFrame, date: str = "date", least: float = 0.5) -> DataFrame:
+    """One row ``(valid, n, enough)``: whether enough rows carry a date for time tables."""
+    n, valid = F.count(F.lit(1)), F.count(date)
+    return df.agg(valid.alias("valid"), n.alias("n"), ((n > 0) & (valid >= least * n)).alias("enough"))
 
 
 def metadata(df: DataFrame, fields: Sequence[str] = METADATA_FIELDS, skip: Sequence[str] = ()) -> DataFrame:

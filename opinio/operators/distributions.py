@@ -140,6 +140,12 @@ def topic_distribution(df: DataFrame, labels: DataFrame | None = None, k: int =
     )
 
 
+def observed_counts(spark, *seen) -> DataFrame:
+    """``(stage, rows)`` of observations whose job has run, in the given order."""
+    rows = [(name, observation.get["rows"]) for name, observation in seen]
+    return spark.createDataFrame(rows, "stage string, rows long")
+
+
 def stage_counts(df: DataFrame, name: str):
     """Count rows as they pass, without a job of its own.
 
@@ -150,12 +156,3 @@ def stage_counts(df: DataFrame, name: str):
 
     seen = Observation(name)
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
-
-
-def rate_by(df: DataFrame, key: str, flag: Column) -> DataFrame:
-    """Rate (percent), positives and total of a flag per key."""
-    return df.groupBy(key).agg(
-        (rates.rate(flag) * 100).alias("rate"),
-        F.count_if(flag).alias("positives"),
-        F.count(F.lit(1)).alias("total"),
-    )

@@ -113,15 +113,24 @@ def prompt_table(
     )
 
 
-def _per_token(per_thousand: float) -> Column:
+def _per_token(per_thousand: float | None) -> Column:
     """Exact price of one token, so that rounding the cost never meets a binary tie."""
+    if per_thousand is None:
+        return F.lit(None).cast("decimal(12,8)")
     return F.lit(Decimal(str(per_thousand)) / 1000).cast("decimal(12,8)")
 
 
 def token_estimate(
-    df: DataFrame, prompt: str = "prompt", system_prompt: str = "", response_tokens: int = RESPONSE_TOKENS
+    df: DataFrame,
+    prompt: str = "prompt",
+    system_prompt: str = "",
+    response_tokens: int = RESPONSE_TOKENS,
+    models: Sequence[str] = tuple(MODELS),
 ) -> DataFrame:
-    """Token count and cost of every prompt for every priced model."""
+    """Token count and cost of every prompt for every model.
+
+    A model without a price has the default limit and no cost.
+    """
     table = F.array(
         *[
             F.struct(
@@ -130,7 +139,8 @@ def token_estimate(
                 _per_token(cost_in).alias("cost_in"),
                 _per_token(cost_out).alias("cost_out"),
             )
-            for m, (limit, cost_in, cost_out) in MODELS.items()
+            for m in models
+            for limit, cost_in, cost_out in [MODELS.get(m, (DEFAULT_LIMIT, None, None))]
         ]
     )
     tokens = F.floor(F.length(prompt) / CHARACTERS_PER_TOKEN).cast("int")

@@ -336,11 +336,6 @@ def compare_subset(df: DataFrame, subset: Column) -> DataFrame:
     )
 
 
-def compare_subset_ratings(df: DataFrame, subset: Column) -> DataFrame:
-    """Per-rating counts and shares of a subset, with its mean."""
-    return rating_distribution(df.filter(subset))
-
-
 def sentiment_flag(df: DataFrame) -> DataFrame:
     """Add rating-derived sentiment where no sentiment column exists yet."""
     if "sentiment" in df.columns:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from opinio.columns import METADATA_FIELDS, has_text, text_column
 from opinio.functions import rates, text, versions
 from opinio.operators import cleaning, trends
-from opinio.plans.base import query, review_texts, rated, reviews, squeeze_sql, table, with_views
+from opinio.plans.base import basic_sql, query, review_texts, rated, reviews, squeeze_sql, table, with_views
 
 
 @query(
@@ -144,10 +144,10 @@ def version_range(spark, sf):
 
 @query(
     "P9_text_column_choice",
-    "select doc_id, length(text) as chosen_length, 'text' as chosen from documents",
+    f"select doc_id, length({basic_sql('text')}) as chosen_length, 'cleaned_text' as chosen from documents",
 )
 def text_column_choice(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = table(spark, sf, "documents").withColumn("cleaned_text", text.basic_clean("text"))
     name = text_column(docs, "features")
     return docs.select("doc_id", F.length(name).alias("chosen_length"), F.lit(name).alias("chosen"))
 
@@ -162,8 +162,19 @@ def text_column_choice(spark, sf):
 )
 def non_empty_text(spark, sf):
     rows = sparse_reviews(spark, sf).select("review_id", "text")
-    measured = rows.filter(has_text("text")).select("review_id", F.length("text").alias("measured"))
-    return rows.select("review_id").join(measured, "review_id", "left")
+    return rows.select("review_id", F.when(has_text("text"), F.length("text")).alias("measured"))
+
+
+@query(
+    "P11_date_validity",
+    with_views(
+        """select count(date) as valid, count(*) as n, count(*) > 0 and count(date) >= 0.5 * count(*) as enough
+           from sparse""",
+        sparse=SPARSE,
+    ),
+)
+def date_validity(spark, sf):
+    return cleaning.date_validity(sparse_reviews(spark, sf))
 
 
 @query(

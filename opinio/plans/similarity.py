@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from opinio.functions import rates
 from opinio.operators import vectors
-from opinio.plans.base import query, rated, review_texts, table, with_views
+from opinio.plans.base import query, review_texts, table, with_views
 from opinio.session import scratch_path
 from opinio.sources import storage
 
@@ -50,7 +51,7 @@ def _nearest_sql(where: str = "true") -> str:
     ),
 )
 def index_documents(spark, sf):
-    rows = review_texts(spark, sf).join(rated(spark, sf).select("review_id", "sentiment"), "review_id")
+    rows = review_texts(spark, sf).withColumn("sentiment", rates.rating_sentiment("rating"))
     collection = vectors.index_documents(rows, "text")
     return collection.select(
         "id",

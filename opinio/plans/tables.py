@@ -626,10 +626,22 @@ def data_info(spark, sf):
     return distributions.data_info(rated(spark, sf))
 
 
-@query("A35_stage_counts", with_views("select version, count(*) as n from reviews group by version"))
+@query(
+    "A35_stage_counts",
+    with_views(
+        """select 'loaded' as stage, count(*) as rows from reviews
+           union all select 'with_author', count(*) from reviews where author is not null
+           union all select 'with_version', count(*) from reviews where author is not null and version <> 'Unknown'"""
+    ),
+)
 def stage_counts(spark, sf):
-    observed, _ = distributions.stage_counts(reviews(spark, sf), "reviews")
-    return distributions.category_counts(observed, "version")
+    loaded, n_loaded = distributions.stage_counts(reviews(spark, sf), "loaded")
+    named, n_named = distributions.stage_counts(loaded.filter("author is not null"), "with_author")
+    kept, n_kept = distributions.stage_counts(named.filter("version <> 'Unknown'"), "with_version")
+    kept.write.format("noop").mode("overwrite").save()
+    return distributions.observed_counts(
+        spark, ("loaded", n_loaded), ("with_author", n_named), ("with_version", n_kept)
+    )
 
 
 # --- W: windows ----------------------------------------------------------------------

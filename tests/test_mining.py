@@ -229,6 +229,12 @@ def test_searches_pass_over_null_embeddings(spark):
     assert [(r["query_id"], r["id"]) for r in vectors.search_many(rows, asked, 1).collect()] == [(7, 3)]
 
 
+def test_unknown_models_have_the_default_limit(spark):
+    df = spark.createDataFrame([("x" * 30000,)], "prompt string")
+    (row,) = prompts.token_estimate(df, models=("some-model",)).collect()
+    assert (row["model_limit"], row["status"], row["estimated_cost"]) == (8192, "Exceeds limit", None)
+
+
 def test_token_estimate(spark):
     df = spark.createDataFrame([("x" * 30000,)], "prompt string")
     rows = {r["model"]: r for r in prompts.token_estimate(df, system_prompt="y" * 40).collect()}
