@@ -11,6 +11,7 @@ from opinio.functions import text
 from opinio.functions.rates import percent
 from opinio.operators.ranking import top_k
 from opinio.operators.tokens import one_per_row
+from opinio.session import keep
 
 # Vocabulary limits.
 MAX_FEATURES = 10_000
@@ -76,7 +77,8 @@ def tfidf(
 ) -> DataFrame:
     """``(key, term, tf, weight)`` with ``tf * (ln((1+n)/(1+df)) + 1)`` and unit rows."""
     n = df.count() if documents is None else documents
-    terms = document_terms(df, key, column, stops)
+    # Texts are taken apart once; vocabulary and weights both read these rows.
+    terms = keep(document_terms(df, key, column, stops))
     # At most max_features rows: a proven bound for the broadcast.
     vocab = F.broadcast(vocabulary(terms, n, max_features, min_df, max_df).select("term", "df"))
     raw = F.col("tf") * (F.log(F.lit(1.0 + n) / (F.lit(1) + F.col("df"))) + 1)
