@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from opinio.functions import dates, rates, text
 from opinio.functions.rates import RATINGS, SENTIMENTS, percent
 from opinio.operators.ranking import top_k
+from opinio.session import keep
 
 
 def share_within(df: DataFrame, count: str, *keys: str) -> Column:
@@ -45,11 +46,14 @@ def category_counts(df: DataFrame, column: str, k: int | None = None) -> DataFra
 
 
 def top_categories(df: DataFrame, column: str, k: int) -> DataFrame:
-    """Largest ``k`` categories with their share of all rows."""
-    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
-    return category_counts(df.filter(F.col(column).isNotNull()), column, k).withColumn(
-        "pct", percent("n", total)
-    )
+    """Largest ``k`` categories with their share of all rows.
+
+    The rows are read once: their total is that of the counts, nulls among them.
+    """
+    counts = keep(df.groupBy(column).agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n").alias("total")).scalar()
+    named = counts.filter(F.col(column).isNotNull())
+    return top_k(named, k, F.desc("n"), F.asc(column)).withColumn("pct", percent("n", total))
 
 
 def dataset_summary(df: DataFrame) -> DataFrame:
@@ -127,9 +131,7 @@ def data_info(df: DataFrame, k: int = 5) -> DataFrame:
 
 def topic_distribution(df: DataFrame, labels: DataFrame | None = None, k: int = 10) -> DataFrame:
     """Reviews per primary topic with share of all rows and label, largest ``k``."""
-    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
-    counts = category_counts(df.filter(F.col("primary_topic").isNotNull()), "primary_topic", k)
-    out = counts.withColumn("pct", percent("n", total))
+    out = top_categories(df, "primary_topic", k)
     if labels is None:
         return out.withColumn("label", text.topic_label("primary_topic", F.array().cast("array<string>")))
     # At most one row per topic, and the topic count is a model parameter.

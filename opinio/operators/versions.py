@@ -11,6 +11,7 @@ from opinio.operators.distributions import rating_distribution
 from opinio.operators.ranking import top_k, top_n_per_key
 from opinio.session import keep
 
+
 def rows() -> Column:
     return F.count(F.lit(1))
 
@@ -149,15 +150,10 @@ def with_major(df: DataFrame) -> DataFrame:
 
 def major_versions(df: DataFrame) -> DataFrame:
     """Count and share of all reviews per major version."""
-    total = df.agg(rows().alias("total")).scalar()
-    return (
-        with_major(df)
-        .filter(F.col("major_version").isNotNull())
-        .groupBy("major_version")
-        .agg(rows().alias("n"))
-        .withColumn("pct", percent("n", total))
-        .orderBy("major_version")
-    )
+    counts = keep(with_major(df).groupBy("major_version").agg(rows().alias("n")))
+    total = counts.agg(F.sum("n").alias("total")).scalar()
+    named = counts.filter(F.col("major_version").isNotNull())
+    return named.withColumn("pct", percent("n", total)).orderBy("major_version")
 
 
 def major_ratings(df: DataFrame, min_reviews: int = 5) -> DataFrame:
@@ -216,10 +212,9 @@ def sentiment_extremes(df: DataFrame, k: int = 5, min_reviews: int = 10) -> Data
 
 def dominant_versions(df: DataFrame) -> DataFrame:
     """Most reviewed version and dominant major version with its share of all rows."""
-    counts = with_major(df).filter(F.col("version").isNotNull()).groupBy("version", "major_version").agg(
-        rows().alias("n")
-    )
-    total = df.agg(rows().alias("total")).scalar()
+    counts = keep(with_major(df).groupBy("version", "major_version").agg(rows().alias("n")))
+    total = counts.agg(F.sum("n").alias("total")).scalar()
+    counts = counts.filter(F.col("version").isNotNull())
     version = top_k(counts.groupBy("version").agg(F.sum("n").alias("n")), 1, F.desc("n"), F.asc("version"))
     major = counts.filter(F.col("major_version").isNotNull()).groupBy("major_version")
     major = top_k(major.agg(F.sum("n").alias("n")), 1, F.desc("n"), F.asc("major_version"))
