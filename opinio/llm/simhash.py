@@ -205,17 +205,19 @@ def near_duplicates(docs: DataFrame, bits: int = 4, words: int = 4) -> DataFrame
 def one_of_each(docs: DataFrame, bits: int = 4, words: int = 4) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row of the smallest doc_id.
 
-    Null ids come last; of rows with that id, the first by text, then any of equal ones.
+    Null ids come last; of several texts with that id, the one of smallest hash stays, and
+    any of equal rows. All of that is settled on fingerprints and hashes; texts are moved
+    once, to be met with the hashes of those that stay.
     """
-    whole = docs.select(
-        F.struct(*docs.columns).alias("_doc"), F.col("doc_id"), F.col("text"), fingerprint("text", words).alias("fp")
-    )
-    whole = work_table(whole, "simhash-texts")
-    named = classes(whole.select("doc_id", "fp"), bits)
-    rows = whole.join(named, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    least = rows.groupBy("root").agg(F.min(F.struct("text", "fp")).alias("least"))
-    kept = rows.join(least, "root").filter(F.struct("text", "fp").eqNullSafe(F.col("least")))
-    return kept.dropDuplicates(["root"]).select("_doc.*")
+    key = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
+    narrow = docs.select("doc_id", fingerprint("text", words).alias("fp"), key.alias("key"))
+    narrow = work_table(narrow, "simhash-keys")
+    named = classes(narrow.select("doc_id", "fp"), bits)
+    rows = narrow.join(named, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = work_table(rows.groupBy("root").agg(F.min("key").alias("key")), "simhash-kept").select("key")
+    repeated = narrow.join(kept, "key", "left_semi").count() > kept.count()
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), key.alias("key")).join(kept, "key", "left_semi")
+    return (whole.dropDuplicates(["key"]) if repeated else whole).select("_doc.*")
 
 
 @query("op5_simhash")
