@@ -425,7 +425,7 @@ def test_embeddings_equal_brute_force(spark, sf):
     rng = np.random.default_rng(5)
     table = [list(map(float, r["embedding"])) for r in spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").limit(600).collect()]
     d = len(table[0])
-    near = [list(np.array(table[i % 7]) + rng.normal(0, 0.3 * np.linalg.norm(table[i % 7]) / d**0.5, d)) for i in range(300)]
+    near = [(np.array(table[i % 7]) + rng.normal(0, 0.3 * np.linalg.norm(table[i % 7]) / d**0.5, d)).tolist() for i in range(300)]
     vectors = table + near + [table[0]] * 40 + [[2 * x for x in table[1]]]
     ids = rng.permutation(len(vectors)).tolist()
     frame_ = spark.createDataFrame(list(zip(ids, vectors)), "vec_id long, embedding array<double>")
