@@ -411,6 +411,28 @@ def test_written_addresses_are_candidates(spark):
     assert [(r["start"], r["end"], privacy.KINDS[r["kind"]], r["good"]) for r in found] == [(9, 31, "written_email", False)]
 
 
+def test_local_numbers_and_written_addresses_are_selected(spark):
+    def wrap(i, body):
+        return (i, f"Some words before. {body} and words after.")
+
+    rows = [wrap(i, f"Please call 0{i % 7}51 {2000000 + i * 37}") for i in range(200)]
+    rows += [wrap(i, f"Write jo{i} (at) site{i % 9} (dot) org") for i in range(200, 400)]
+    rows += [wrap(i, f"The order {70000000 + i * 911} was sent") for i in range(400, 600)]
+    rows += [wrap(600, "You get me under 0351 2005555"), wrap(601, "Tel: 555-0134 here"), wrap(602, "See page 1234567 there")]
+    rows = [*rows, (603, "call 0151 2345678, or +1 (222) 333-4444, jo[at]x[dot]org")]
+    rows += [wrap(i, f"Please phone 0{i % 7}51 {3000000 + i * 37}") for i in range(604, 1004)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = defaultdict(list)
+    for r in privacy.personal_spans(docs).collect():
+        got[r["doc_id"]] = [(privacy.KINDS[s["kind"]], rows[r["doc_id"]][1][s["start"] : s["end"]]) for s in r["spans"]]
+    assert all([k for k, _ in got[i]] == ["number"] for i in range(200))
+    assert all(got[i] == [("written_email", f"jo{i} (at) site{i % 9} (dot) org")] for i in range(200, 400))
+    assert not any(got[i] for i in range(400, 600)) and not got[602]
+    assert got[600] == [("number", "0351 2005555")]  # no telling word, but like those that have one
+    assert got[601] == [("number", "555-0134")]
+    assert got[603] == [("number", "0151 2345678"), ("phone", "+1 (222) 333-4444"), ("written_email", "jo[at]x[dot]org")]
+
+
 def test_privacy_odd_rows(odd, none):
     rows = privacy.personal_spans(odd, keep=("source", "size", "score")).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(r[0] for r in ODD)
