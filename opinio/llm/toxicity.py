@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from opinio.llm.boosting import fit
 from opinio.llm.common import query, table, work_table
+from opinio.llm.simhash import classes, fingerprint
 
 #: Labelled rows learned from, at most about so many; they are chosen by a hash of their id.
 LABELLED = 40_000
@@ -167,14 +168,29 @@ def _beginnings(words: Column, k: int) -> Column:
     return F.transform(longer, lambda w: F.concat(F.lit("p:"), F.substring(w, 1, k)))
 
 
+def distinct_texts(texts: DataFrame) -> DataFrame:
+    """``(text, label)``, of each group of near-copies with a label one text."""
+    printed = texts.select("text", "label", fingerprint("text").alias("fp"), F.xxhash64("text").alias("_hash"))
+    printed = work_table(printed, "toxic-prints")
+    kept = []
+    for label in (0, 1):
+        own = printed.filter(F.col("label") == label)
+        # Classes name a group by its smallest fingerprint: texts with that one stand for it.
+        named = classes(own.select(F.col("_hash").alias("doc_id"), "fp")).filter("fp = root").select("fp")
+        kept.append(own.join(named, "fp").groupBy("fp", "label").agg(F.min_by("text", "_hash").alias("text")))
+    return work_table(kept[0].unionByName(kept[1]).select("text", "label"), "toxic-distinct")
+
+
 def telling_units(texts: DataFrame) -> tuple[tuple[str, float], ...]:
     """Words and beginnings by how much likelier toxic texts hold them, with log odds.
 
-    ``texts``: ``(text, label)``. Copies that begin alike count once, so that the words of
-    a text copied often do not look toxic or harmless for that.
+    ``texts``: ``(text, label)``. Near-copies of one label count once, so that the words of
+    a text copied often do not look toxic or harmless for that; of a group, the text of the
+    smallest fingerprint and hash counts. What texts share, such as a beginning, does not
+    make them copies.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))
-    once = texts.groupBy(F.xxhash64(F.substring("text", 1, 60)).alias("_begin"), "label").agg(F.max("text").alias("text"))
+    once = distinct_texts(texts)
     units = F.array_distinct(
         F.concat(
             F.transform(words, lambda w: F.concat(F.lit("w:"), w)),

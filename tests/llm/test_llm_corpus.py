@@ -228,6 +228,22 @@ def test_toxicity_odd_rows(odd, none, labels):
     assert {r["score"] for r in toxicity.scores(odd, labels.limit(0)).collect()} == {0.0}
 
 
+def test_a_common_beginning_does_not_hide_texts(spark):
+    rng = np.random.default_rng(3)
+    header = "This work is given under the terms of the common open license, as is. "
+
+    def words():
+        return " ".join("".join(rng.choice(list("abcdefghij"), 7)) for _ in range(40))
+
+    toxic = [(header + words() + " vilest " + words(), 1) for _ in range(12)]
+    copied = (words() + " oftcopied " + words(), 1)
+    texts = toxic + [copied] * 9 + [(copied[0].upper(), 1)] + [(header + words(), 0) for _ in range(40)]
+    once = toxicity.distinct_texts(prepare(spark).createDataFrame(texts, "text string, label int"))
+    assert Counter(r["label"] for r in once.collect()) == {1: 13, 0: 40}
+    units = {u for u, _ in toxicity.telling_units(spark.createDataFrame(texts, "text string, label int"))}
+    assert "w:vilest" in units and "w:oftcopied" not in units
+
+
 def test_toxic_features():
     look = toxicity.automaton((("w:vile", 3.0), ("p:gros", 2.0)))
     f = toxicity.features_of("You are VILE, grossly so! st*pid", look)
