@@ -2,8 +2,8 @@
 
 Paths become shapes (numbers and long codes are variable at once) and are counted per host
 and shape, so a host with a third of all pages is a few rows from there on. Level by level
-a segment stays as it is where it is common below its branch and becomes a wildcard where
-it is not. Templates that differ in one segment and whose labelled pages are bad at about
+a segment stays as it is where enough pages below its branch have it, whatever the size of
+its host, and becomes a wildcard where not; there is no deepest level. Templates that differ in one segment and whose labelled pages are bad at about
 the same rate are merged and judged together. A template is rejected where its share of
 bad pages, smoothed towards that of its host and of all pages, reaches the limit.
 """
@@ -29,15 +29,16 @@ RULES = (
 
 @dataclass(frozen=True)
 class Tree:
-    #: A segment stays literal with so many pages and so many of a hundred below its branch.
+    #: A segment stays literal with so many pages below its branch.
     least_pages: int = 20
+    #: Only the SQL twin also asks for so many of a hundred below the branch.
     least_percent: int = 1
     #: Templates within so many standard errors of the group's rate are merged.
     deviations: float = 2.0
     #: Labelled pages the smoothing counts for, and the share of bad ones that rejects.
     smoothing: float = 10.0
     limit: float = 0.5
-    #: Levels that are told apart; all below is one wildcard.
+    #: Levels that the SQL twin tells apart; here all are.
     depth: int = 6
 
 
@@ -89,23 +90,26 @@ def templates(shapes: DataFrame, tree: Tree) -> DataFrame:
     parts = F.split("shape", "/", -1)
     grown = work_table(shapes.withColumn("template", F.lit("")), "url-level")
     deepest = grown.agg(F.max(F.size(parts))).first()[0] or 0
-    for level in range(1, min(deepest, tree.depth)):  # the part before the first slash is empty
+    variable = lambda s: s.rlike(r"^\{[nx]\}") | (s == "")
+    for level in range(1, deepest):  # the part before the first slash is empty
         here = grown.withColumn("part", F.get(parts, F.lit(level)))
         counts = here.filter("part is not null").groupBy("host", "template", "part").agg(F.sum("pages").alias("n"))
-        totals = counts.groupBy("host", "template").agg(F.sum("n").alias("total"))
-        common = (
-            counts.join(totals, ["host", "template"])
-            .filter((F.col("n") >= tree.least_pages) & (F.col("n") * 100 >= F.col("total") * tree.least_percent))
-            .select("host", "template", "part", F.lit(True).alias("common"))
+        common = work_table(
+            counts.filter(F.col("n") >= tree.least_pages).select("host", "template", "part", F.lit(True).alias("common")), "url-common"
         )
-        stays = F.col("part").rlike(r"^\{[nx]\}") | (F.col("part") == "") | F.col("common").isNotNull()
+        open_ = counts.groupBy("host", "template").agg(F.sum("n").alias("n")).filter(F.col("n") >= tree.least_pages)
+        if common.isEmpty() and open_.isEmpty():
+            # No branch has pages enough for a literal segment, here or deeper.
+            below = F.transform(F.slice(parts, level + 1, F.greatest(F.size(parts) - level, F.lit(0))), lambda s: F.when(variable(s), s).otherwise("*"))
+            tail = F.concat("template", F.lit("/"), F.array_join(below, "/"))
+            return grown.withColumn("template", F.when(F.size(parts) > level, tail).otherwise(F.col("template")))
+        stays = variable(F.col("part")) | F.col("common").isNotNull()
         longer = F.concat("template", F.lit("/"), F.when(stays, F.col("part")).otherwise("*"))
         grown = here.join(common, ["host", "template", "part"], "left").withColumn(
             "template", F.when(F.col("part").isNull(), F.col("template")).otherwise(longer)
         )
         grown = work_table(grown.drop("part", "common"), "url-level")
-    rest = F.when(F.size(parts) > tree.depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
-    return grown.withColumn("template", rest)
+    return grown
 
 
 def judged(shapes: DataFrame, tree: Tree) -> DataFrame:

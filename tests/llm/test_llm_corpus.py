@@ -591,3 +591,20 @@ def test_bad_templates_are_rejected(spark):
     assert verdicts == {("/good/{n}.html", "allow"), ("/fine/{n}.html", "allow"), ("/spam/{n}.html", "block"), ("/*/about", "allow")}
     purity = {r["template"]: r["purity"] for r in out}
     assert purity["/good/{n}.html"] == purity["/fine/{n}.html"]  # merged and judged together
+
+
+def test_deep_and_small_sections_of_large_hosts_are_judged(spark):
+    rows, labels = [], []
+    for i in range(6000):
+        bad = i % 200 == 0  # 30 pages, half a hundredth of the host
+        rows.append((i, f"http://h.org/{'spam' if bad else 'good'}/{i}"))
+        labels.append((i, bad))
+    for i in range(6000, 6400):
+        rows.append((i, f"http://deep.org/a/b/c/d/e/{('bad', 'fine')[i % 2]}/{i}"))
+        labels.append((i, i % 2 == 0))
+    rows.append((7000, "http://trap.org" + "/x" * 60 + "/7"))
+    out = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, bad boolean")).collect()
+    assert {(r["template"], r["verdict"]) for r in out} == {
+        ("/good/{n}", "allow"), ("/spam/{n}", "block"), ("/a/b/c/d/e/bad/{n}", "block"), ("/a/b/c/d/e/fine/{n}", "allow"),
+        ("/*" * 60 + "/{n}", "allow"),
+    }
