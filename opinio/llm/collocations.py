@@ -342,7 +342,8 @@ def first_of_each(found: DataFrame, top: int) -> DataFrame:
 SQL_TWIN = r"""with taken as (
   select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) as piece from documents),
+-
+]')) as piece from documents),
 words as (select lang, regexp_extract_all(piece, '[^ 	]+') as w from taken),
 places as (select lang, w, unnest(range(1, len(w) + 1)) as i from words),
 totals as (select lang, count(*) as n from places group by lang),
@@ -351,18 +352,22 @@ counted as (
     select lang, w[i : i] as w from places
     union all select lang, w[i : i + 1] from places where i + 1 <= len(w)
     union all select lang, w[i : i + 2] from places where i + 2 <= len(w)) group by lang, w),
-candidates as (select lang, w, f as a from counted where len(w) >= 2 and f >= 10),
+frequent as materialized (select * from counted where f >= 10),
+candidates as (select lang, w, f as a from frequent where len(w) >= 2),
+parts as (
+  select lang, w, a, k, w[1 : k] as left_part, w[k + 1 : len(w)] as right_part
+  from (select *, unnest(range(1, len(w))) as k from candidates)),
 cuts as (
-  select c.lang, c.w, c.a, p.k, x.f as l, y.f as r, cast((1000000::hugeint * c.a * c.a) // (x.f::hugeint * y.f) as bigint) as score
-  from candidates c join (select unnest([1, 2]) as k) p on p.k < len(c.w)
-  join counted x on x.lang = c.lang and x.w = c.w[1 : p.k]
-  join counted y on y.lang = c.lang and y.w = c.w[p.k + 1 : len(c.w)]),
+  select c.lang, c.w, c.a, c.k, x.f as l, y.f as r, cast((1000000::hugeint * c.a * c.a) // (x.f::hugeint * y.f) as bigint) as score
+  from parts c join frequent x on x.lang = c.lang and x.w = c.left_part
+  join frequent y on y.lang = c.lang and y.w = c.right_part),
 cut as (select * from cuts qualify row_number() over (partition by lang, w order by score, k) = 1),
 longer as (
   select lang, w[1 : 2] as w, a from candidates where len(w) = 3
   union all select lang, w[2 : 3], a from candidates where len(w) = 3),
-kept as (select * from cut where not exists (
-  select 1 from longer o where o.lang = cut.lang and o.w = cut.w and 100 * o.a >= 50 * cut.a)),
+largest as (select lang, w, max(a) as most from longer group by lang, w),
+kept as (select cut.* from cut left join largest o on o.lang = cut.lang and o.w = cut.w
+  where o.most is null or 100 * o.most < 50 * cut.a),
 ranked as (select *, array_to_string(w, ' ') as phrase from kept)
 select lang, rank, phrase, a, l, r, n, score from (
   select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from ranked)
