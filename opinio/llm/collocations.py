@@ -1,6 +1,8 @@
 """Phrase collocations from sorted count streams.
 
-Phrases are counted once. Those frequent enough are a stream of ``(group, words, count)``
+A phrase is frequent only if both phrases it is made of by leaving out an end are, so longer
+ones are counted only where a filter of bounded size, made of the frequent shorter ones,
+lets both through; it never stops a frequent one. Those frequent enough are a stream of ``(group, words, count)``
 rows that is kept in two orders: by words from the first on (prefix order) and from the
 last on (suffix order). In prefix order a phrase follows its own beginnings and precedes
 its extensions to the right; in suffix order the same holds of its endings and its
@@ -17,12 +19,14 @@ is as many rows as there are partitions, and those are joined in afterwards.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +40,10 @@ CHUNK_BYTES = 4 << 20
 COUNTED_WORDS = 1 << 20
 ROWS_OUT = 1 << 15
 
+#: Most bits of the filter of frequent phrases. Beyond about a sixteenth as many phrases it
+#: lets more of the others through, which costs counting and changes no result.
+FILTER_BITS = 1 << 28
+
 #: A byte that UTF-8 never holds stands between pieces.
 GAP = b"\xff"
 #: A-Z become a-z, what ends a piece a line feed, a tab a blank.
@@ -61,55 +69,96 @@ def tokens(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
+@dataclass(frozen=True)
+class Filter:
+    """Bits set by hashes of phrases: what was added is always found, little else is."""
+
+    bits: np.ndarray
+
+    @staticmethod
+    def empty(size: int) -> Filter:
+        return Filter(np.zeros(size // 64, dtype=np.uint64))
+
+    def _places(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for shift in (0, 32):
+            place = (hashes >> np.uint64(shift)) & np.uint64(64 * len(self.bits) - 1)
+            yield (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63))
+
+    def add(self, hashes: np.ndarray) -> None:
+        for at, bit in self._places(hashes):
+            np.bitwise_or.at(self.bits, at, bit)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        return np.logical_and.reduce([(self.bits[at] & bit) != 0 for at, bit in self._places(hashes)])
+
+
+def phrase_hash(words: list[np.ndarray], group: str) -> np.ndarray:
+    """Hashes of phrases from the hashes of their words."""
+    out = np.full(len(words[0]), xxhash.xxh64_intdigest(group), dtype=np.uint64)
+    for word in words:
+        out = (out ^ word) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def word_hash(words) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
 class Counts:
     """Counts of the phrases of one group of texts, a bounded number of words at a time."""
 
-    def __init__(self) -> None:
+    def __init__(self, lengths: tuple[int, ...], frequent: Filter | None = None) -> None:
+        self.lengths, self.frequent = lengths, frequent
         self._begin([])
 
     def _begin(self, context: list[bytes]) -> None:
-        self.number = defaultdict(count().__next__, {GAP: 0})
-        self.number.default_factory = count(1).__next__
-        self.blocks, self.size, self.context = [], 0, len(context)
-        if context:
-            self._append(context)
-
-    def _append(self, words: list[bytes]) -> None:
-        self.blocks.append(np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words)))
+        self.number = defaultdict(count(1).__next__, {GAP: 0})
+        self.blocks, self.context = [], len(context)
+        self.add(context)
 
     def add(self, words: list[bytes]) -> None:
-        self._append(words)
-        self.size += len(words)
-
-    def take(self) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-        """For each length the distinct phrases, as numbers of their words, and their counts.
+        self.blocks.append(np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words)))
 
-        The last words stay as context of what is added next; they are not counted again.
-        """
-        at = np.concatenate(self.blocks) if self.blocks else np.empty(0, np.int64)
+    def _candidates(self, at: np.ndarray, length: int, group: str) -> np.ndarray:
+        """Places where a phrase of the length begins that is not yet counted and may be frequent."""
+        n = len(at) - length + 1
+        whole = np.ones(max(n, 0), dtype=bool)
+        whole[: max(0, self.context - length + 1)] = False
+        for i in range(length):
+            whole &= at[i : i + len(whole)] > 0
+        begins = np.flatnonzero(whole)
+        if self.frequent and len(begins):
+            hashes = word_hash(list(self.number))
+            for shift in (0, 1):
+                part = [hashes[at[begins + shift + i]] for i in range(length - 1)]
+                begins = begins[self.frequent.holds(phrase_hash(part, group))]
+        return begins
+
+    def take(self, group: str) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+        """For each length the distinct phrases, as numbers of their words, and their counts."""
+        at = np.concatenate(self.blocks)
         total = len(self.number)
-        # Of each place: the rank of the phrase that begins there among the distinct ones.
-        rank, words = at, [np.arange(total)]
-        for length in range(1, LONGEST + 1):
-            n = len(at) - length + 1
-            if n <= 0:
-                break
-            fresh = max(0, self.context - length + 1)
-            if length > 1:
-                # Ranks and word numbers are below the words counted together: no overflow.
-                distinct, rank = np.unique(rank[:n] * total + at[length - 1 :], return_inverse=True)
+        for length in self.lengths:
+            begins = self._candidates(at, length, group)
+            # Ranks and word numbers are below the words counted together: no overflow.
+            rank, words = at[begins], [np.arange(total)]
+            for i in range(1, length):
+                distinct, rank = np.unique(rank * total + at[begins + i], return_inverse=True)
                 before, last = np.divmod(distinct, total)
                 words = [*[w[before] for w in words], last]
-            counts = np.bincount(rank[fresh:], minlength=len(words[0]))
-            whole = (counts > 0) & np.all([w > 0 for w in words], axis=0)
-            yield [w[whole] for w in words], counts[whole]
+            counts = np.bincount(rank, minlength=len(words[0]))
+            met = counts > 0
+            yield [w[met] for w in words], counts[met]
 
     def rows(self, group: str) -> Iterator[pa.RecordBatch]:
-        """Count rows of the words added since the last call."""
-        found = list(self.take())
+        """Count rows of the words added since the last call.
+
+        The last words stay as context of what is added next; they are not counted again.
+        """
         spelled = pa.array([b"", *list(self.number)[1:]], pa.binary()).cast(pa.string())
         n_words = 0
-        for words, counts in found:
+        for words, counts in self.take(group):
             if len(words) == 1:
                 n_words = int(counts.sum())
             columns = [spelled.take(pa.array(w)) for w in words]
@@ -122,26 +171,63 @@ class Counts:
             empty = {"lang": group, **dict.fromkeys(WORDS), "n": n_words}
             yield pa.RecordBatch.from_pylist([empty], schema=COUNTS)
         names = list(self.number)
-        tail = np.concatenate(self.blocks)[1 - LONGEST :] if self.blocks else []
-        self._begin([names[i] for i in tail])
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    groups: dict[str, Counts] = defaultdict(Counts)
-    size = 0
-    for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
-        for group, text in zip(batch.column(0).to_pylist(), texts):
-            for words in tokens(text.as_py()):
-                groups[group].add(words)
-                size += len(words)
-                if size >= COUNTED_WORDS:
-                    for name, counts in groups.items():
-                        yield from counts.rows(name)
-                    size = 0
-            groups[group].add([GAP])
-    for name, counts in groups.items():
-        yield from counts.rows(name)
+        self._begin([names[i] for i in np.concatenate(self.blocks)[1 - LONGEST :]])
+
+
+def counted(lengths: tuple[int, ...], frequent: Callable[[], Filter] | None = None):
+    """Count rows of the phrases of the lengths, for batches of ``(lang, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = frequent() if frequent else None
+        groups: dict[str, Counts] = {}
+        size = 0
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary())
+            for group, text in zip(batch.column(0).to_pylist(), texts):
+                if group not in groups:
+                    groups[group] = Counts(lengths, known)
+                for words in tokens(text.as_py()):
+                    groups[group].add(words)
+                    size += len(words)
+                    if size >= COUNTED_WORDS:
+                        for name, counts in groups.items():
+                            yield from counts.rows(name)
+                        size = 0
+                groups[group].add([GAP])
+        for name, counts in groups.items():
+            yield from counts.rows(name)
+
+    return run
+
+
+def frequent_filter(stream: DataFrame, length: int):
+    """A filter of the stream's phrases of one length, as a broadcast of bounded size."""
+    words = WORDS[:length]
+    is_length = F.col(words[-1]).isNotNull()
+    if length < LONGEST:
+        is_length &= F.col(WORDS[length]).isNull()
+    rows = stream.filter(is_length).select("lang", *words)
+    size = 1 << 16
+    wanted = 16 * rows.count()
+    while size < min(wanted, FILTER_BITS):
+        size *= 2
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = Filter.empty(size)
+        for batch in batches:
+            hashes = [word_hash(batch.column(1 + i).cast(pa.binary()).to_pylist()) for i in range(length)]
+            groups = batch.column(0).to_pylist()
+            for group in set(groups):
+                own = np.array([g == group for g in groups])
+                made.add(phrase_hash([h[own] for h in hashes], group))
+        at = np.flatnonzero(made.bits)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(made.bits[at].view(np.int64))], names=["at", "bits"])
+
+    parts = rows.mapInArrow(fill, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    whole, made = parts.toArrow(), Filter.empty(size)
+    made.bits[whole.column("at").to_numpy()] = whole.column("bits").to_numpy().view(np.uint64)
+    shared = stream.sparkSession.sparkContext.broadcast(made.bits)
+    return lambda: Filter(shared.value)
 
 
 def phrase_counts(docs: DataFrame, least: int = 1) -> DataFrame:
@@ -152,11 +238,18 @@ def phrase_counts(docs: DataFrame, least: int = 1) -> DataFrame:
     empty, a null ``lang`` is ``und``. Groups without words have no rows.
     """
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
-    rows = docs.select(lang, "text").filter("text is not null").mapInArrow(_counted, SCHEMA)
-    # Counted per task already: dealt out before the sums, so that none is tried again.
-    dealt = rows.repartition("lang", *WORDS)
-    sums = dealt.groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
-    return sums.filter((F.col("n") >= least) | F.col(WORDS[0]).isNull())
+    rows = docs.select(lang, "text").filter("text is not null")
+
+    def summed(count_rows) -> DataFrame:
+        # Counted per task already: dealt out before the sums, so that none is tried again.
+        dealt = rows.mapInArrow(count_rows, SCHEMA).repartition("lang", *WORDS)
+        sums = dealt.groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
+        return work_table(sums.filter((F.col("n") >= least) | F.col(WORDS[0]).isNull()), "collocations-counts")
+
+    whole = summed(counted((1, 2)))
+    for length in range(3, LONGEST + 1):
+        whole = whole.unionByName(summed(counted((length,), frequent_filter(whole, length - 1))))
+    return whole
 
 
 class Walk:
@@ -299,7 +392,7 @@ def phrases(docs: DataFrame, least: int = 10, swallowed: int = 50, top: int = 20
     count as often as they are there, other columns do nothing, and a table without phrases
     gives no rows.
     """
-    stream = work_table(phrase_counts(docs, least), "collocations-counts")
+    stream = phrase_counts(docs, least)
     worded = F.col(WORDS[0]).isNotNull()
     totals = stream.filter(~worded).select("lang", F.col("n").alias("words"))
     both = turned(walked(turned(walked(stream.filter(worded), "left")), "right"))

@@ -258,9 +258,30 @@ def test_counts_go_on_across_blocks_and_chunks(monkeypatch):
     rows = [("en" if lang is None else lang, text or "") for lang, text in corpus(5, 30)]
     batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["lang", "text"])
     got = Counter()
-    for out in collocations._counted([batch.slice(0, 4), batch.slice(4)]):
+    for out in collocations.counted((1, 2, 3))([batch.slice(0, 4), batch.slice(4)]):
         for r in out.to_pylist():
             words = tuple(r[w] for w in collocations.WORDS if r[w] is not None)
             if words:
                 got[r["lang"], words] += r["n"]
     assert got == brute_counts(rows)
+
+
+def test_filter_keeps_what_was_added():
+    rng = np.random.default_rng(3)
+    made = collocations.Filter.empty(1 << 16)
+    added, other = (rng.integers(0, 1 << 64, 2000, dtype=np.uint64) for _ in range(2))
+    made.add(added)
+    assert made.holds(added).all() and made.holds(other).mean() < 0.02
+    full = collocations.Filter(np.full(4, (1 << 64) - 1, dtype=np.uint64))
+    assert full.holds(other).all()
+
+
+def test_a_full_filter_changes_no_count(monkeypatch):
+    rows = [("en" if lang is None else lang, text or "") for lang, text in corpus(6, 30)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["lang", "text"])
+    full = collocations.Filter(np.full(4, (1 << 64) - 1, dtype=np.uint64))
+    got = Counter()
+    for out in collocations.counted((3,), lambda: full)([batch]):
+        for r in out.to_pylist():
+            got[r["lang"], tuple(r[w] for w in collocations.WORDS)] += r["n"]
+    assert got == Counter({k: n for k, n in brute_counts(rows).items() if len(k[1]) == 3})
