@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinio.columns import METADATA_FIELDS, has_text, text_column
 from opinio.functions import text
-from opinio.operators.ranking import top_k, top_n_per_key
-
-#: Query vectors scored in one pass over a collection; more are split into passes.
-QUERIES_PER_PASS = 1024
+from opinio.operators.neighbours import matches, nearest_join
+from opinio.operators.ranking import top_k
 
 
 def index_documents(
@@ -52,14 +45,6 @@ def index_documents(
     )
 
 
-def matches(criteria: Mapping[str, object] | None) -> Column:
-    """All of the equality criteria; no criteria match everything."""
-    out = F.lit(True)
-    for name, value in (criteria or {}).items():
-        out = out & (F.col(name) == F.lit(value))
-    return out
-
-
 def squared_distance(column: str, vector: Sequence[float]) -> Column:
     """Squared Euclidean distance to one vector."""
     query = F.array(*[F.lit(float(x)) for x in vector])
@@ -98,90 +83,10 @@ def search_many(
     k: int = 10,
     criteria: Mapping[str, object] | None = None,
     id_column: str = "id",
-    per_pass: int = QUERIES_PER_PASS,
-) -> DataFrame:
-    """Exact ``k`` nearest rows of every query: ``(query_id, id, score, rank)``.
-
-    ``queries`` holds ``(query_id, embedding)``. A bounded block of query vectors goes
-    to the tasks, which score batches of rows against each of them and keep the best k
-    per query, so what is shuffled is k rows per query and task. Query sets above one
-    block take several passes over the collection; no query or candidate is dropped.
-    """
-    docs = collection.filter(matches(criteria) & F.col("embedding").isNotNull()).select(F.col(id_column).alias("id"), "embedding")
-    id_type = dict(docs.dtypes)["id"]
-    query_type = dict(queries.dtypes)["query_id"]
-    schema = f"query_id {query_type}, id {id_type}, score double"
-    best = None
-    for ids, matrix in _blocks(queries.filter("embedding is not null").select("query_id", "embedding"), per_pass):
-        part = docs.mapInPandas(_nearest(ids, matrix, k), schema)
-        best = part if best is None else best.unionByName(part)
-    if best is None:
-        return collection.sparkSession.createDataFrame([], schema + ", rank int")
-    return top_n_per_key(
-        best, "query_id", k, F.asc("score"), F.asc("id"), salt_on=["id"], rank="rank"
-    )
-
-
-def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[list, np.ndarray]]:
-    ids: list = []
-    rows: list = []
-    for row in queries.toLocalIterator():
-        ids.append(row["query_id"])
-        rows.append(row["embedding"])
-        if len(ids) == size:
-            yield ids, np.asarray(rows, dtype="float64")
-            ids, rows = [], []
-    if ids:
-        yield ids, np.asarray(rows, dtype="float64")
-
-
-def _nearest(ids: list, matrix: np.ndarray, k: int):
-    """Task side: the k nearest rows of a partition for every query vector."""
-
-    def nearest(vector: np.ndarray, ids_block: np.ndarray, block: np.ndarray) -> pd.DataFrame:
-        # Differences, not the expanded square: exact for near-identical vectors. Twelve
-        # decimals keep equal rows equal whatever the order of summation.
-        diff = block - vector
-        score = np.round(np.einsum("ij,ij->i", diff, diff), 12)
-        if len(score) > k:
-            near = score <= np.partition(score, k - 1)[k - 1]
-            score, ids_block = score[near], ids_block[near]
-        return pd.DataFrame({"id": ids_block, "score": score})
-
-    def best(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.sort_values(["score", "id"]).head(k)
-
-    def run(batches):
-        kept: dict[int, pd.DataFrame] = {}
-        for batch in batches:
-            if batch.empty:
-                continue
-            block = np.stack(batch["embedding"].to_numpy()).astype("float64")
-            ids_block = batch["id"].to_numpy()
-            for q, vector in enumerate(matrix):
-                rows = nearest(vector, ids_block, block)
-                kept[q] = best(pd.concat([kept[q], rows]) if q in kept else rows)
-        for q, rows in kept.items():
-            yield rows.assign(query_id=ids[q])[["query_id", "id", "score"]]
-
-    return run
-
-
-def search_approximate(
-    collection: DataFrame,
-    vector: Sequence[float],
-    k: int = 10,
-    bucket_length: float = 1.0,
-    tables: int = 4,
-    id_column: str = "id",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Approximate search by random projection hashing; scores are squared distances."""
-    rows = collection.withColumn("_v", array_to_vector("embedding"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="_v", outputCol="_h", bucketLength=bucket_length, numHashTables=tables, seed=42
-    ).fit(rows)
-    found = model.approxNearestNeighbors(rows, Vectors.dense(list(vector)), k, distCol="_d")
-    return found.select(id_column, (F.col("_d") * F.col("_d")).alias("score"))
+    """Exact ``k`` nearest rows of every query, see :func:`neighbours.nearest_join`."""
+    return nearest_join(collection, queries, k, criteria, id_column, keep)
 
 
 def delete_documents(

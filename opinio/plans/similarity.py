@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opinio.functions import rates
-from opinio.operators import vectors
+from opinio.operators import neighbours, vectors
 from opinio.plans.base import query, review_texts, table, with_views
 from opinio.session import scratch_path
-from opinio.sources import storage
+from opinio.sources import keyed, storage
 
 
 def embeddings(spark, sf):
@@ -85,9 +85,32 @@ def filtered_search(spark, sf):
 )
 def nearest_to_mean(spark, sf):
     cells = table(spark, sf, "embeddings").select(F.posexplode("embedding").alias("dim", "x"))
-    # One row per dimension comes to the driver: the query vector of the search.
-    mean = cells.groupBy("dim").agg(F.avg(F.col("x").cast("double")).alias("m")).orderBy("dim").collect()
-    rows = vectors.search(embeddings(spark, sf), [r["m"] for r in mean])
+    means = cells.groupBy("dim").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    # One entry per dimension: the query vector of the search.
+    ordered = F.array_sort(F.collect_list(F.struct("dim", "m")))
+    mean = means.agg(F.transform(ordered, lambda c: c["m"]).alias("embedding")).select(F.lit(0).alias("query_id"), "embedding")
+    rows = vectors.search_many(embeddings(spark, sf), mean, keep=("label",))
+    return rows.select("id", "label", F.round("score", 6).alias("score"))
+
+
+def every(spark, sf, step):
+    """Every so many vectors of the table, as queries."""
+    rows = embeddings(spark, sf).filter(F.col("id") % step == 0)
+    return rows.select(F.col("id").alias("query_id"), "embedding")
+
+
+@query(
+    "V2_all_neighbours",
+    f"""with cells as ({CELLS}), distances as (
+          select q.vec_id as query_id, e.vec_id as id, round(sum((q.x - e.x) * (q.x - e.x)), 6) as score
+          from (select vec_id, cast(x as double) as x, dim from cells) q
+          join (select vec_id, cast(x as double) as x, dim from cells) e using (dim) group by 1, 2)
+        select query_id, id, score, cast(rank as int) as rank from (select *, row_number() over (
+          partition by query_id order by score, id) as rank from distances) where rank <= 3""",
+)
+def all_neighbours(spark, sf):
+    """The table joined with itself: each vector and its two nearest others."""
+    rows = vectors.search_many(embeddings(spark, sf), every(spark, sf, 1), 3)
     return rows.withColumn("score", F.round("score", 6))
 
 
@@ -112,11 +135,41 @@ def search_text(spark, sf):
     return rows.select("id", F.round("score", 9).alias("score"))
 
 
+def index_of(spark, sf):
+    return neighbours.build_index(embeddings(spark, sf), scratch_path(spark, "v4-index"), keep=("label",))
+
+
 @query("V4_approximate_search")
 def approximate_search(spark, sf):
-    rows = embeddings(spark, sf)
-    centre = label_centres(spark, sf).orderBy("query_id").first()["embedding"]
-    return vectors.search_approximate(rows, centre)
+    return neighbours.search_index(spark, index_of(spark, sf), every(spark, sf, 50))
+
+
+@query(
+    "V4_recall",
+    """select count(*) as n_queries, sum(least(10, n)) as n_rows, true as enough
+       from embeddings, (select count(*) as n from embeddings) where vec_id % 50 = 0""",
+)
+def index_recall(spark, sf):
+    """Rows found by the index, and whether nine of ten of the exact ones are among them."""
+    asked = every(spark, sf, 50)
+    found = neighbours.search_index(spark, index_of(spark, sf), asked).select("query_id", "id")
+    exact = vectors.search_many(embeddings(spark, sf), asked).select("query_id", "id", F.lit(1).alias("is_near"))
+    both = found.join(exact, ["query_id", "id"], "left")
+    return both.agg(
+        F.count_distinct("query_id").alias("n_queries"),
+        F.count(F.lit(1)).cast("decimal(38,0)").alias("n_rows"),
+        (F.count("is_near") >= 0.9 * F.count(F.lit(1))).alias("enough"),
+    )
+
+
+@query(
+    "V4_filtered_index",
+    _nearest_sql("label = 3").replace("select query_id, id,", "select count(*) as n from (select query_id, id,") + ")",
+)
+def filtered_index(spark, sf):
+    """An index search with a filter finds as many rows as the exact one."""
+    found = neighbours.search_index(spark, index_of(spark, sf), label_centres(spark, sf), criteria={"label": 3})
+    return found.agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -168,10 +221,11 @@ def collection_stats(spark, sf):
        union all select doc_id, toxic, true from labels""",
 )
 def upsert_collection(spark, sf):
+    target = scratch_path(spark, "v5-upsert")
     stored = embeddings(spark, sf).select("id", "label", F.lit(False).alias("replaced"))
+    keyed.create(stored, target, "id", parts=16)
     update = table(spark, sf, "labels").select(
         F.col("doc_id").alias("id"), F.col("toxic").alias("label"), F.lit(True).alias("replaced")
     )
-    return storage.upsert(stored, update, "id")
-
-
+    keyed.upsert(update, target)
+    return keyed.retrieve(spark, target)

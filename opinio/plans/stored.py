@@ -11,7 +11,7 @@ from opinio.functions import text
 from opinio.operators import cleaning, distributions, trends
 from opinio.plans.base import clean_sql, query, rated, review_texts, reviews, squeeze_sql, table, with_views
 from opinio.session import scratch_path
-from opinio.sources import records, storage
+from opinio.sources import keyed, records, storage
 
 COLUMNS = ("review_id", "rating", "version", "date")
 CORE = with_views("select review_id, rating, version, date from reviews")
@@ -109,6 +109,43 @@ def delete_matching(spark, sf):
     return storage.retrieve(spark, target)
 
 
+@query(
+    "S5_keyed_upsert",
+    with_views(
+        f"""select review_id, rating, version from reviews where review_id not in (select review_id from ({UPDATE}))
+            union all select review_id, rating, version from ({UPDATE})"""
+    ),
+)
+def keyed_upsert(spark, sf):
+    """The upsert on a table laid out by key."""
+    target = scratch_path(spark, "s5-keyed")
+    keyed.create(reviews(spark, sf).select("review_id", "rating", "version"), target, parts=16)
+    update = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("review_id"),
+        F.col("l_linenumber").cast("int").alias("rating"),
+        F.col("l_returnflag").alias("version"),
+    )
+    keyed.upsert(update, target)
+    return keyed.retrieve(spark, target)
+
+
+@query(
+    "S6_keyed_delete",
+    with_views(
+        """select review_id, author, rating from reviews
+           where author is distinct from 'user_7' and review_id not in (select doc_id from labels where toxic = 1)"""
+    ),
+)
+def keyed_delete(spark, sf):
+    """Deletion by filter, then by keys, on a table laid out by key."""
+    target = scratch_path(spark, "s6-keyed")
+    keyed.create(reviews(spark, sf).select("review_id", "author", "rating"), target, parts=16)
+    keyed.delete_matching(spark, target, {"author": "user_7", "other": 3})
+    toxic = table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("review_id"))
+    keyed.delete_keys(toxic, target)
+    return keyed.retrieve(spark, target)
+
+
 @query("S7_delete_all", with_views("select review_id, rating from reviews where false"))
 def delete_all(spark, sf):
     target = scratch_path(spark, "s7")

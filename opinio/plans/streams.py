@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from opinio.plans.base import query, table
 from opinio.session import scratch_path
-from opinio.sources import storage
+from opinio.sources import keyed
 from opinio.streaming import ingest
 
 
@@ -53,9 +53,20 @@ def stream_upsert(spark, sf):
         F.lit("none").alias("event_type"),
         F.lit(None).cast(stream.schema["ts"].dataType).alias("ts"),
     )
-    storage.store(base, f"{target}/table")
+    keyed.create(base, f"{target}/table", "user_id")
     query_ = ingest.upsert_stream(
         stream, f"{target}/table", f"{target}/checkpoint", "user_id", F.desc("ts"), F.asc("event_type")
     )
     query_.awaitTermination()
-    return storage.retrieve(spark, f"{target}/table")
+    return keyed.retrieve(spark, f"{target}/table")
+
+
+@query("ST1_dedupe_across_runs", "select event_id, event_type from events")
+def dedupe_across_runs(spark, sf):
+    """A second run over the same events, a year later, adds nothing."""
+    target = scratch_path(spark, "st1-runs")
+    for run in (0, 1):
+        stream = events_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp") + F.make_interval(years=F.lit(run)))
+        rows = ingest.insert_stream(stream, f"{target}/table", f"{target}/checkpoint-{run}", "event_id", F.asc("ts"))
+        rows.awaitTermination()
+    return keyed.retrieve(spark, f"{target}/table").select("event_id", "event_type")

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from opinio.operators.ranking import first_per_key
-from opinio.sources import storage
+from opinio.sources import keyed, storage
 
 
 def stream_files(spark: SparkSession, folder: str, schema, name_filter: str | None = None, **options) -> DataFrame:
@@ -37,26 +37,44 @@ def daily_ratings(
     )
 
 
+def _into(stream: DataFrame, checkpoint: str, apply) -> StreamingQuery:
+    return (
+        stream.writeStream.foreachBatch(lambda batch, _epoch: apply(batch))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def upsert_stream(stream: DataFrame, table: str, checkpoint: str, key: str, *order) -> StreamingQuery:
-    """Upsert every micro-batch into a stored table.
+    """Upsert every micro-batch into a table stored by key, rewriting only the parts it touches.
 
     Of all rows of a key, stored ones included, the first in the given order wins, so
-    batches may come late and a batch may run again after a failure.
+    batches may come late and a batch may run again after a failure. Null is a key like any
+    other. A table that is not there begins with the first batch.
     """
 
-    def apply(batch: DataFrame, _epoch: int) -> None:
-        spark = batch.sparkSession
-        if storage.current_snapshot(spark, table):
-            keys = batch.select(key).distinct()
-            batch = storage.retrieve(spark, table).join(keys, key, "left_semi").unionByName(batch)
-        storage.update_table(first_per_key(batch, key, *order), table, key)
+    def apply(batch: DataFrame) -> None:
+        if not keyed.exists(batch.sparkSession, table):
+            keyed.create(batch.limit(0), table, key, keyed.NEW_PARTS)
+        keyed.upsert_first(batch, table, *order)
 
-    return (
-        stream.writeStream.foreachBatch(apply)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _into(stream, checkpoint, apply)
+
+
+def insert_stream(stream: DataFrame, table: str, checkpoint: str, key: str, *order) -> StreamingQuery:
+    """Append the rows of every micro-batch whose key is not stored yet, one of each key.
+
+    Unlike :func:`dedupe_stream`, this forgets no id: a repeat is dropped however late it
+    comes, in this run or a later one.
+    """
+
+    def apply(batch: DataFrame) -> None:
+        if not keyed.exists(batch.sparkSession, table):
+            keyed.create(batch.limit(0), table, key, keyed.NEW_PARTS)
+        keyed.insert_new(batch, table, *order)
+
+    return _into(stream, checkpoint, apply)
 
 
 def drain(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
@@ -91,6 +109,9 @@ def drain_latest(stream: DataFrame, target: str, checkpoint: str, key: str) -> D
         .start()
     )
     query.awaitTermination()
+    if not storage.exists(stream.sparkSession, target):
+        # No batch has come.
+        return stream.sparkSession.createDataFrame([], stream.schema)
     schema = T.StructType([*stream.schema.fields, T.StructField("_batch_no", T.LongType())])
     rows = stream.sparkSession.read.schema(schema).option("basePath", target).parquet(f"{target}/*")
     return first_per_key(rows, key, F.desc("_batch_no")).drop("_batch_no")

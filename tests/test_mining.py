@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opinio.operators import analysis, clusters, keywords, prompts, sampling, sentiment, topics, vectors
+from opinio.operators import analysis, clusters, keywords, neighbours, prompts, sampling, sentiment, topics, vectors
 from opinio.functions import lexicon as lex
+from opinio.session import scratch_path
 
 TEXTS = ["battery drains fast battery", "battery drains overnight", "login screen crash", "login crash again", ""]
 
@@ -139,11 +140,13 @@ def brute(points, query, k, label=None):
     return [i for _, i in sorted(rows)[:k]]
 
 
-@pytest.mark.parametrize("per_pass", [1, 2, 100])
-def test_search_many_is_exact(spark, points, per_pass):
+@pytest.mark.parametrize("size", [100, 1000, 1 << 19])
+def test_search_many_is_exact(spark, monkeypatch, points, size):
+    # Many blocks of a few vectors, or one.
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", size)
     rows = [r for r in points.orderBy("id").limit(5).collect()]
     queries = spark.createDataFrame([(r["id"], r["embedding"]) for r in rows], "query_id int, embedding array<float>")
-    found = vectors.search_many(points, queries, 7, per_pass=per_pass).collect()
+    found = vectors.search_many(points, queries, 7).collect()
     for r in rows:
         got = [f["id"] for f in sorted((f for f in found if f["query_id"] == r["id"]), key=lambda f: f["rank"])]
         assert got == brute(points, np.array(r["embedding"], dtype="f8"), 7)
@@ -155,9 +158,60 @@ def test_filtered_search(points):
     assert got == brute(points, query, 4, 2)
 
 
-def test_approximate_search_finds_itself(points):
-    query = points.filter("id = 7").first()["embedding"]
-    assert vectors.search_approximate(points, query, 3, bucket_length=4.0).first()["id"] == 7
+def test_nearest_join_on_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 64)
+    rows = [("a", [0.0, 0.0]), ("a", [0.0, 0.0]), (None, [0.0, 0.0]), ("b", [1.0]), ("c", None), ("d", [1.0, None]),
+            ("e", [float("nan"), 1.0]), ("f", [3.0, 4.0]), ("g", [])]
+    df = spark.createDataFrame([(i, v, "k", 1) for i, v in rows], "id string, embedding array<double>, kind string, rank int")
+    asked = spark.createDataFrame([(1, [0.0, 0.0]), (1, [0.0, 0.0]), (2, [2.0]), (3, None), (4, [])], "query_id int, embedding array<double>")
+    got = sorted((tuple(r) for r in vectors.search_many(df, asked, 4, {"kind": "k"}, keep=("kind",)).collect()), key=repr)
+    one = [(1, "a", "k", 0.0, 1), (1, "a", "k", 0.0, 2), (1, None, "k", 0.0, 3), (1, "f", "k", 25.0, 4)]
+    assert got == sorted([*one, *one, (2, "b", "k", 1.0, 1), (4, "g", "k", 0.0, 1)], key=repr)
+    assert vectors.search_many(df.limit(0), asked).count() == 0 and vectors.search_many(df, asked.limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def index(spark, points):
+    rare = F.when(F.col("id") % 25 == 0, "rare").otherwise("often")
+    more = spark.createDataFrame([(5000, [1.0, 2.0], 0), (5001, [1.0, 2.5], 0), (5002, None, 0)], "id int, embedding array<float>, label int")
+    rows = points.unionByName(more).withColumn("kind", rare)
+    return rows, neighbours.build_index(rows, scratch_path(spark, "index"), keep=("label", "kind"))
+
+
+def test_index_recall_against_the_exact_search(spark, index):
+    rows, path = index
+    asked = rows.filter("id < 60").select(F.col("id").alias("query_id"), "embedding")
+    pairs = lambda df: {(r["query_id"], r["id"]) for r in df.collect()}
+    exact, found = pairs(vectors.search_many(rows, asked, 10)), pairs(neighbours.search_index(spark, path, asked, 10))
+    assert len(found) == len(exact) == 600 and len(found & exact) >= 0.9 * len(exact)
+    # All lists looked at: nothing is missing.
+    assert pairs(neighbours.search_index(spark, path, asked, 10, probes=1000)) == exact
+
+
+def test_index_search_widens_until_there_are_k_rows(spark, index):
+    rows, path = index
+    asked = rows.filter("id in (1, 2, 3)").select(F.col("id").alias("query_id"), "embedding")
+    n_rare = rows.filter("kind = 'rare' and size(embedding) = 8").count()
+    for k in (5, n_rare, n_rare + 10):
+        got = neighbours.search_index(spark, path, asked, k, probes=1, criteria={"kind": "rare"}).collect()
+        assert len(got) == 3 * min(k, n_rare) and {r["kind"] for r in got} == {"rare"}
+    assert neighbours.search_index(spark, path, asked, 3, criteria={"kind": "none"}).count() == 0
+
+
+def test_index_holds_other_lengths_and_takes_more_rows(spark, index):
+    rows, path = index
+    asked = spark.createDataFrame([(1, [1.0, 2.1]), (2, [1.0]), (3, None)], "query_id int, embedding array<double>")
+    got = neighbours.search_index(spark, path, asked, 5).orderBy("rank").collect()
+    assert [(r["query_id"], r["id"]) for r in got] == [(1, 5000), (1, 5001)]
+    added = spark.createDataFrame([(6000, [1.0, 2.1], 4, "new")], "id int, embedding array<double>, label int, kind string")
+    neighbours.add_to_index(added, path)
+    assert neighbours.search_index(spark, path, asked, 1).first()["id"] == 6000
+
+
+def test_index_of_nothing(spark, points):
+    path = neighbours.build_index(points.limit(0), scratch_path(spark, "index-empty"))
+    asked = points.limit(3).select(F.col("id").alias("query_id"), "embedding")
+    assert neighbours.search_index(spark, path, asked).count() == 0
 
 
 def test_delete_needs_a_condition(spark, points):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinio.session import scratch_path
-from opinio.sources import records, storage
+from opinio.sources import keyed, records, storage
 from opinio.streaming import ingest
 
 
@@ -121,8 +121,10 @@ def test_upsert_stream_keeps_the_newest_row_of_late_batches(spark, tmp_path):
 
     batch([(1, "new", 9), (2, "a", 1)])
     batch([(1, "old", 3), (2, "b", 2), (3, "c", 1)])
-    rows = storage.retrieve(spark, target).collect()
-    assert sorted(tuple(r) for r in rows) == [(1, "new", 9), (2, "b", 2), (3, "c", 1)]
+    batch([(None, "n9", 9), (None, "n8", 8)])
+    batch([(None, "n5", 5)])
+    rows = keyed.retrieve(spark, target).collect()
+    assert sorted((tuple(r) for r in rows), key=repr) == [(1, "new", 9), (2, "b", 2), (3, "c", 1), (None, "n9", 9)]
 
 
 def test_open_days_are_given_out(spark, tmp_path):
@@ -132,3 +134,104 @@ def test_open_days_are_given_out(spark, tmp_path):
     stream = ingest.stream_files(spark, source, spark.read.parquet(source).schema)
     days = ingest.drain_latest(ingest.daily_ratings(stream), str(tmp_path / "out"), str(tmp_path / "cp"), "day")
     assert sorted((r["avg_value"], r["n"]) for r in days.collect()) == [(1.0, 1), (3.0, 2)]
+
+
+def test_a_stream_without_files_gives_no_days(spark, tmp_path):
+    source = str(tmp_path / "in")
+    empty = spark.createDataFrame([], "date timestamp, rating int")
+    (tmp_path / "in").mkdir()
+    days = ingest.daily_ratings(ingest.stream_files(spark, source, empty.schema))
+    got = ingest.drain_latest(days, str(tmp_path / "out"), str(tmp_path / "cp"), "day")
+    assert got.columns == ["day", "avg_value", "n"] and got.count() == 0
+
+
+def test_inserting_streams_drop_repeats_however_late(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "table")
+    schema = "k string, day int"
+
+    def run(rows, name):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = ingest.stream_files(spark, source, spark.createDataFrame([], schema).schema)
+        ingest.insert_stream(stream, target, str(tmp_path / name), "k", F.asc("day")).awaitTermination()
+
+    run([("a", 1), ("b", 1), ("a", 2), (None, 1)], "one")
+    run([("a", 31), ("c", 31), (None, 31)], "one")
+    run([("d", 60), ("b", 60)], "another")  # reads all files again
+    assert sorted((tuple(r) for r in keyed.retrieve(spark, target).collect()), key=repr) == [("a", 1), ("b", 1), ("c", 31), ("d", 60), (None, 1)]
+
+
+# --- tables by key -------------------------------------------------------------------
+
+
+def files_of(target):
+    import os
+
+    found = {}
+    for folder, _, names in os.walk(f"{target}/rows"):
+        for name in names:
+            if name.endswith(".parquet"):
+                found[f"{folder}/{name}"] = os.stat(f"{folder}/{name}").st_mtime_ns
+    return found
+
+
+def parts_of(paths):
+    return {int(p.split("key_part=")[1].split("/")[0]) for p in paths}
+
+
+@pytest.fixture
+def by_key(spark):
+    target = scratch_path(spark, "keyed")
+    rows = [(str(i), i % 5, "x") for i in range(200)] + [(None, 7, "n"), ("3", 9, "again")]
+    keyed.create(spark.createDataFrame(rows, SCHEMA), target, parts=20)
+    return target, rows
+
+
+def test_keyed_upsert_rewrites_the_parts_it_touches(spark, by_key):
+    target, rows = by_key
+    before = files_of(target)
+    update = [("3", 1, "u"), ("3", 2, "u"), (None, 3, "u"), ("new", 4, "u")]
+    touched = keyed.upsert(spark.createDataFrame(update, SCHEMA), target)
+    after = files_of(target)
+    assert len(touched) <= 3
+    assert parts_of(set(before) ^ set(after)) == set(touched)
+    left = [r for r in rows if r[0] not in ("3", None)]
+    assert rows_of(keyed.retrieve(spark, target)) == sorted(left + update, key=repr)
+    assert keyed.upsert(spark.createDataFrame([], SCHEMA), target) == [] and files_of(target) == after
+
+
+def test_keyed_deletes_rewrite_only_parts_that_held_rows(spark, by_key):
+    target, rows = by_key
+    before = files_of(target)
+    assert keyed.delete_keys(spark.createDataFrame([("nobody",), ("nothing",)], "review_id string"), target) == []
+    assert keyed.delete_matching(spark, target, {"rating": 77, "nope": 1}) == []
+    assert files_of(target) == before
+    touched = keyed.delete_keys(spark.createDataFrame([("3",), (None,), ("nobody",)], "review_id string"), target)
+    assert parts_of(set(before) ^ set(files_of(target))) == set(touched) and len(touched) <= 2
+    left = [r for r in rows if r[0] not in ("3", None)]
+    assert rows_of(keyed.retrieve(spark, target)) == sorted(left, key=repr)
+    keyed.delete_matching(spark, target, {"rating": 4, "note": "again"})
+    assert rows_of(keyed.retrieve(spark, target)) == sorted((r for r in left if r[1] != 4), key=repr)
+
+
+def test_keyed_parts_that_lose_all_rows_are_empty(spark):
+    target = scratch_path(spark, "keyed-empty")
+    keyed.create(spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], SCHEMA), target, parts=50)
+    keyed.delete_keys(spark.createDataFrame([("a",)], "review_id string"), target)
+    assert rows_of(keyed.retrieve(spark, target)) == [("b", 2, "y")]
+    keyed.delete_matching(spark, target, {"rating": 2})
+    assert rows_of(keyed.retrieve(spark, target)) == []
+    keyed.upsert(spark.createDataFrame([("c", 3, "z")], SCHEMA), target)
+    assert rows_of(keyed.retrieve(spark, target)) == [("c", 3, "z")]
+
+
+def test_keyed_tables_take_new_columns_and_other_key_types(spark):
+    target = scratch_path(spark, "keyed-more")
+    keyed.create(spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string"), target, "id", parts=4)
+    keyed.upsert(spark.createDataFrame([(2, "B", 5)], "id int, v string, w int"), target)
+    got = keyed.retrieve(spark, target)
+    assert sorted((r["id"], r["v"], r["w"]) for r in got.collect()) == [(1, "a", None), (2, "B", 5)]
+    first = spark.createDataFrame([(2, "old", 1), (3, "c", 9)], "id int, v string, w int")
+    keyed.upsert_first(first, target, F.desc("w"))
+    assert sorted((r["id"], r["v"], r["w"]) for r in keyed.retrieve(spark, target).collect()) == [(1, "a", None), (2, "B", 5), (3, "c", 9)]
+    with pytest.raises(ValueError):
+        keyed.create(spark.range(3), target, "nope")
