@@ -417,14 +417,48 @@ def test_base_spans_equal_the_patterns(spark, sf):
 
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "é mail a@b.co or +1 (222) 333-4444."), (2, None), (3, "1.2.3.4")], "doc_id long, text string")
-    rows = privacy.personal_spans(docs, keep=("text",)).select("doc_id", privacy.redacted("text", "spans").alias("t"))
+    rows = privacy.personal_spans(docs, keep=("text",)).select("doc_id", privacy.redacted("text", "stretches").alias("t"))
     assert {r["doc_id"]: r["t"] for r in rows.collect()} == {1: "é mail [email] or [phone].", 2: "", 3: "[ip]"}
 
 
 def test_written_addresses_are_candidates(spark):
-    docs = spark.createDataFrame([(1, "write to jo (at) site [dot] org now")], "doc_id long, text string")
-    found = docs.select(F.explode(privacy.candidates(F.col("text"))).alias("c")).select("c.*").collect()
-    assert [(r["start"], r["end"], privacy.KINDS[r["kind"]], r["good"]) for r in found] == [(9, 31, "written_email", False)]
+    docs = spark.createDataFrame([(1, "write to jo (at) site [dot] org now")], "_row long, text string")
+    rows = privacy.places(docs.select("_row", privacy.candidates(F.col("text")).alias("_all"))).collect()
+    assert [(r["start"], r["end"], privacy.KINDS[r["kind"]], r["good"], r["open"]) for r in rows] == [(9, 31, "written_email", False, True)]
+
+
+def slow_redaction(text, spans):
+    parts, at = [], 0
+    for start, kind, end in sorted(spans):
+        if start >= at:
+            parts += [text[at:start], f"[{privacy.KINDS[kind]}]"]
+        at = max(at, end)
+    return "".join(parts) + text[at:]
+
+
+def test_texts_full_of_candidates(spark):
+    """Many thousands of candidates in one text: no step gathers them per candidate."""
+    many = " ".join(f"é{i % 250}.{i % 7}.0.{i % 300} call 0151 {2000000 + i}" for i in range(20_000))
+    rows = [(1, many), (2, "+1 (222) 333-4444" * 3000), (3, "a@b.co," * 5000), (4, "1 " * 50_000), (5, "call 030 1234567.89.1.2 4111 1111 1111 1111")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in privacy.personal_spans(docs, keep=("text",)).select("*", privacy.redacted("text", "stretches").alias("clean")).collect():
+        base, spans = ([tuple(s) for s in r[c]] for c in ("base", "spans"))
+        assert base == slow_spans(r["text"]) and set(base) <= set(spans) and spans == sorted(spans)
+        assert r["clean"] == slow_redaction(r["text"], spans)
+        if r["doc_id"] == 1:
+            assert len(base) == sum(i % 300 <= 255 for i in range(20_000)) and len(spans) >= len(base) + 20_000
+        added = [s for s in spans if s not in set(base)]
+        assert not any(a[0] < b[2] and b[0] < a[2] for a in added[:200] for b in base)
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    schema = "doc_id string, text string, _all string, base int, spans int, _row long, _doc string, n_chars int, start int"
+    rows = [("a", "mail a@b.co", "x", 1, 2, 3, "d", 11, 4), (None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    got = privacy.redact(docs)
+    assert got.dtypes == docs.dtypes
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([("a", "mail [email]", "x", 1, 2, 3, "d", 12, 4), rows[1]], key=repr)
+    assert privacy.redact(docs.drop("n_chars")).count() == 2
 
 
 def test_local_numbers_and_written_addresses_are_selected(spark):
