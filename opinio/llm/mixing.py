@@ -29,7 +29,7 @@ ARCS = 1 << 12
 
 #: Slots ranked together, and documents expected in one range of a source.
 CHUNK_SLOTS = 1 << 15
-RANGE_DOCS = 1 << 13
+RANGE_DOCS = 1 << 11
 
 
 @dataclass(frozen=True)
@@ -91,7 +91,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, epochs: in
 def _ranked_documents(docs: DataFrame, seed: str) -> tuple[DataFrame, DataFrame]:
     """Documents with their first word's place in their source, and the sources."""
     n_ranges = max(1, docs.count() // RANGE_DOCS)
-    order = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"), F.col("copy").cast("string")))
+    order = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in ("doc_id", "size", "copy")]))
     keyed = docs.withColumn("key", order).withColumn(
         "part", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * n_ranges, 32)
     )
@@ -231,34 +231,46 @@ def taken(plan: Mix) -> DataFrame:
     )
 
 
+#: Slots of the schedule whose documents are written together.
+SLOTS_TOGETHER = 1024
+
+
 def mixed_documents(docs: DataFrame, plan: Mix) -> DataFrame:
     """``docs`` as often as ``plan``, made from them, takes them, with the words it takes.
 
     A document comes once for each time it is taken whole. One that the end of the mix
     cuts comes once more with its first words, joined by blanks; ``n_chars``, where ``docs``
-    has it, is that of the cut text. Documents that are not taken do not come.
+    has it, is that of the cut text. Documents that are not taken do not come. Rows are dealt
+    out and sorted by the slot in which they begin, so that any stretch of a written part
+    holds the sources in their shares. An empty table gives no rows; columns may have any names.
     """
-    rows = docs.withColumns(
-        {"_size": word_count("text"), "_skey": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))}
+    skey = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_id"), skey.alias("_skey"), word_count("text").alias("_size"), F.col("text").alias("_text")
     )
-    keys = ["doc_id", "_skey", "_size", "_copy"]
     repeated = (plan.documents.agg(F.max("copy")).first()[0] or 1) > 1
-    same = Window.partitionBy("doc_id", "_skey", "_size").orderBy("text")
+    same = Window.partitionBy("_id", "_skey", "_size").orderBy("_text")
     rows = rows.withColumn("_copy", F.row_number().over(same).cast("long") if repeated else F.lit(1).cast("long"))
-    words = plan.pieces.groupBy("doc_id", "skey", "size", "copy").agg(F.sum("words").alias("_taken"))
-    words = words.select(F.col("doc_id").alias("_id"), *[F.col(c).alias(f"_{c}_") for c in ("skey", "size", "copy")], "_taken")
-    same_id = F.col("doc_id").eqNullSafe(F.col("_id"))
-    met = rows.join(words, [same_id, *[F.col(k) == F.col(f"{k}_") for k in keys[1:]]])
+    # Whole times and, of the last, the words and the slots it begins in: at most one a time.
+    begins = F.array_sort(F.collect_list(F.when(F.col("from_word") == 0, F.col("slot"))))
+    words = plan.pieces.groupBy("doc_id", "skey", "size", "copy").agg(F.sum("words").alias("_taken"), begins.alias("_slots"))
+    words = words.toDF("_id_", "_skey_", "_size_", "_copy_", "_taken", "_slots")
+    met = rows.join(words, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in ("_id", "_skey", "_size", "_copy")])
     whole = F.floor(F.col("_taken") / F.col("_size")).cast("int")
     rest = (F.col("_taken") % F.col("_size")).cast("int")
     times = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    out = met.withColumn("_cut", F.explode(times))
-    begin = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.greatest("_cut", F.lit(0))), " ")
-    out = out.withColumn("text", F.when(F.col("_cut") < 0, F.col("text")).otherwise(begin))
+    out = met.select("_doc", "_text", "_slots", F.posexplode(times).alias("_time", "_cut"))
+    slot = F.coalesce(F.get("_slots", F.col("_time")), F.lit(0))
+    taken_words = F.slice(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)), 1, F.greatest("_cut", F.lit(0)))
+    cut = F.col("_cut") >= 0
+    out = out.select("_doc", "_cut", slot.alias("_slot"), F.when(cut, F.array_join(taken_words, " ")).otherwise(F.col("_text")).alias("_text"))
+    out = out.withColumn("_part", F.floor(F.col("_slot") / SLOTS_TOGETHER))
+    out = out.repartition("_part").sortWithinPartitions("_part", "_slot", F.xxhash64("_text"))
+    values = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        n = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_cut") < 0, F.col("n_chars")).otherwise(n))
-    return out.select(*docs.columns)
+        n = F.length("_text").cast(docs.schema["n_chars"].dataType)
+        values["n_chars"] = F.when(cut, n).otherwise(F.col("_doc.n_chars"))
+    return out.select(*[values.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])
 
 
 SEED = "mix"
@@ -286,7 +298,7 @@ aimed as (
 planned as (select *, least(cast(round(target) as bigint), lim) as p from aimed),
 placed as (
   select *, coalesce(sum(size) over (partition by source
-      order by md5(concat_ws('|', '{SEED}', doc_id::varchar, copy::varchar))
+      order by md5(concat_ws('|', '{SEED}', doc_id::varchar, size::varchar, copy::varchar))
       rows between unbounded preceding and 1 preceding), 0)::bigint as a
   from numbered)
 select doc_id, size::bigint as size, s as source_size, target,

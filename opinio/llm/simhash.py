@@ -35,22 +35,27 @@ HASHED_TOGETHER = 1 << 16
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint_of(text: str | None, words: int = 4) -> int:
-    """The fingerprint of one text, as an unsigned number; zero where it has no words."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Hash of every shingle of one text, repeats included; none where it has no words."""
     found = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not found:
-        return 0
+        return np.empty(0, dtype="<u8")
     line = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     ends = ends.tolist()[min(words, len(found)) - 1 :]
     digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, ends)), dtype="<u8", count=len(ends))
+
+
+def fingerprint_of(text: str | None, words: int = 4) -> int:
+    """The fingerprint of one text, as an unsigned number; zero where it has no words."""
+    hashes = shingle_hashes(text, words)
     counts = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(ends), HASHED_TOGETHER):
-        hashes = [digest(line[a:b], SEED) for a, b in zip(starts[i : i + HASHED_TOGETHER], ends[i : i + HASHED_TOGETHER])]
-        octets = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
+    for i in range(0, len(hashes), HASHED_TOGETHER):
+        octets = hashes[i : i + HASHED_TOGETHER].view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    majority = counts * 2 > len(ends)
+    majority = counts * 2 > len(hashes)
     return int(np.packbits(majority, bitorder="little").view("<u8")[0])
 
 
@@ -163,16 +168,7 @@ def linked(prints: DataFrame, bits: int = 4) -> DataFrame:
     masks = block_masks(bits, block_count(prints.count(), bits))
     choices = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
     keyed = prints.select("fp", F.explode(choices).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = keyed.join(shared, "key")
-    # A key held by many: every pair of its parts is a key of its own.
-    n_parts = F.ceil(F.col("n") / PART)
-    part = F.pmod(F.xxhash64("fp", F.lit("part")), n_parts)
-    with_part = F.transform(
-        F.sequence(F.lit(0).cast("long"), n_parts - 1),
-        lambda other: F.xxhash64("key", F.least(part, other), F.greatest(part, other)),
-    )
-    dealt = met.select(F.explode(F.when(F.col("n") <= PART, F.array("key")).otherwise(with_part)).alias("key"), "fp")
+    dealt = _dealt(keyed, "fp")
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(bits), "a long, b long")
 
 
@@ -202,6 +198,19 @@ def near_duplicates(docs: DataFrame, bits: int = 4, words: int = 4) -> DataFrame
     return prints.join(classes(prints, bits), "fp").select("doc_id", "fp", "component_id")
 
 
+def _text_key() -> Column:
+    return F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
+
+
+def _one_of_each(docs: DataFrame, narrow: DataFrame, named: DataFrame, by: str) -> DataFrame:
+    """``docs`` rows that stay: one of each ``root``, from ``narrow`` rows ``(doc_id, by, key)``."""
+    rows = narrow.select("doc_id", by, "key").join(named, by).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = work_table(rows.groupBy("root").agg(F.min("key").alias("key")), "simhash-kept").select("key")
+    repeated = narrow.join(kept, "key", "left_semi").count() > kept.count()
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), _text_key().alias("key")).join(kept, "key", "left_semi")
+    return (whole.dropDuplicates(["key"]) if repeated else whole).select("_doc.*")
+
+
 def one_of_each(docs: DataFrame, bits: int = 4, words: int = 4) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row of the smallest doc_id.
 
@@ -209,15 +218,152 @@ def one_of_each(docs: DataFrame, bits: int = 4, words: int = 4) -> DataFrame:
     any of equal rows. All of that is settled on fingerprints and hashes; texts are moved
     once, to be met with the hashes of those that stay.
     """
-    key = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
-    narrow = docs.select("doc_id", fingerprint("text", words).alias("fp"), key.alias("key"))
+    narrow = docs.select("doc_id", fingerprint("text", words).alias("fp"), _text_key().alias("key"))
     narrow = work_table(narrow, "simhash-keys")
-    named = classes(narrow.select("doc_id", "fp"), bits)
-    rows = narrow.join(named, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = work_table(rows.groupBy("root").agg(F.min("key").alias("key")), "simhash-kept").select("key")
-    repeated = narrow.join(kept, "key", "left_semi").count() > kept.count()
-    whole = docs.select(F.struct(*docs.columns).alias("_doc"), key.alias("key")).join(kept, "key", "left_semi")
-    return (whole.dropDuplicates(["key"]) if repeated else whole).select("_doc.*")
+    return _one_of_each(docs, narrow, classes(narrow.select("doc_id", "fp"), bits), "fp")
+
+
+# --- near copies by the share of common shingles -----------------------------------
+#
+# Texts that share four fifths of their shingles differ in ten of a fingerprint's 64 bits
+# on average: blocks of bits short enough to be shared would be shared by all. The same
+# scheme over a wider fingerprint does find them: a fingerprint of PARTS minima of shingle
+# hashes, cut into blocks; join on blocks, verify the number of equal minima, then the texts.
+
+#: Minima in a wide fingerprint, how many make a block, and how many must agree.
+PARTS, IN_BLOCK, ALIKE = 50, 5, 34
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The least hash of each of ``PARTS`` ranges of the sorted distinct ``hashes``.
+
+    A range without hashes takes the next one's, changed by how far that is.
+    """
+    if not len(hashes):
+        return np.zeros(PARTS, dtype=np.uint32)
+    part = ((hashes >> np.uint64(32)) * np.uint64(PARTS)) >> np.uint64(32)
+    first = np.searchsorted(part, np.arange(PARTS, dtype=np.uint64))
+    held = np.zeros(PARTS, dtype=bool)
+    held[part.astype(np.int64)] = True
+    least = (hashes[np.minimum(first, len(hashes) - 1)] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    filled = np.flatnonzero(held)
+    places = np.arange(PARTS)
+    source = filled[np.searchsorted(filled, places) % len(filled)]
+    return least[source] + ((source - places) % PARTS).astype(np.uint32) * np.uint32(0x9E3779B1)
+
+
+def signatures(text: Column | str, words: int) -> Column:
+    """``(digest, minima, blocks)`` of a text: equal for equal sets of shingles."""
+
+    @F.pandas_udf("digest long, minima binary, blocks array<long>")
+    def sign(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            hashes = np.unique(shingle_hashes(text, words))
+            wide = wide_fingerprint(hashes)
+            digest = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+            blocks = [
+                xxhash.xxh64_intdigest(wide[i : i + IN_BLOCK].tobytes(), SEED + i) for i in range(0, PARTS, IN_BLOCK)
+            ]
+            out.append((np.uint64(digest).view(np.int64), wide.tobytes(), np.array(blocks, dtype=np.uint64).view(np.int64)))
+        return pd.DataFrame(out, columns=["digest", "minima", "blocks"])
+
+    return sign(text)
+
+
+def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each block's members to the first member they are alike with."""
+
+    def links(key: int, members: dict[int, bytes]) -> pa.RecordBatch:
+        # Another order for every block: what one leader hides another shows.
+        ids = np.array(sorted(members, key=lambda d: xxhash.xxh64_intdigest(d.to_bytes(8, "little", signed=True), key & 0xFFFFFFFF)))
+        wide = np.frombuffer(b"".join(members[int(i)] for i in ids), dtype=np.uint32).reshape(-1, PARTS)
+        a, b = [], []
+        while len(ids) > 1:
+            alike = (wide[1:] == wide[0]).sum(axis=1) >= ALIKE
+            a.append(np.full(int(alike.sum()), ids[0]))
+            b.append(ids[1:][alike])
+            ids, wide = ids[1:][~alike], wide[1:][~alike]
+        left, right = (np.concatenate([np.empty(0, np.int64), *x]) for x in (a, b))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], schema=LINKS)
+
+    key, members = None, {}
+    for batch in batches:
+        for k, digest, minima in zip(*(c.to_pylist() for c in batch.columns)):
+            if k != key:
+                if len(members) > 1:
+                    yield links(key, members)
+                key, members = k, {}
+            members[digest] = minima
+    if len(members) > 1:
+        yield links(key, members)
+
+
+def _dealt(keyed: DataFrame, node: str) -> DataFrame:
+    """``(key, node)`` of the keys that several share; one held by many in pairs of parts."""
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = keyed.join(shared, "key")
+    n_parts = F.ceil(F.col("n") / PART)
+    part = F.pmod(F.xxhash64(node, F.lit("part")), n_parts)
+    with_part = F.transform(
+        F.sequence(F.lit(0).cast("long"), n_parts - 1),
+        lambda other: F.xxhash64("key", F.least(part, other), F.greatest(part, other)),
+    )
+    return met.select(F.explode(F.when(F.col("n") <= PART, F.array("key")).otherwise(with_part)).alias("key"), node)
+
+
+def _similar(words: int, similarity: float):
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(c.as_py(), dtype="<u8") for c in (a, b))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], schema=LINKS).filter(pa.array(keep, pa.bool_()))
+
+    return share
+
+
+def one_of_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without near copies: of each group the row of the smallest doc_id.
+
+    Two texts are linked where they share at least ``similarity`` of their distinct shingles of
+    ``words`` words; a text with fewer words is one shingle, and null and wordless texts
+    are all alike. Candidates agree in a block of their wide fingerprints and in ``ALIKE`` of
+    its parts, which misses few of the links and lets most others go; what is linked has been
+    verified on the whole sets of shingles. Ids, repeated rows and empty tables are as in
+    :func:`one_of_each`; columns may have any names.
+    """
+    sign = docs.select("doc_id", _text_key().alias("key"), signatures("text", words).alias("s"))
+    narrow = work_table(sign.select("doc_id", "key", "s.digest", "s.minima", "s.blocks"), "near-signs")
+    nodes = narrow.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"))
+    nodes = work_table(nodes, "near-nodes")
+    lead = nodes.select("key").join(narrow.select("key", "digest", "minima", "blocks"), "key").dropDuplicates(["digest"])
+    lead = work_table(lead.drop("key"), "near-lead")
+    dealt = _dealt(lead.select("digest", F.explode("blocks").alias("key")), "digest")
+    sided = dealt.join(lead.select("digest", "minima"), "digest").select("key", "digest", "minima")
+    pairs = sided.repartition("key").sortWithinPartitions("key").mapInArrow(_leaders, "a long, b long").distinct()
+    pairs = work_table(pairs, "near-pairs")
+
+    # The whole sets of shingles, of one text of each set that is in a pair.
+    asked = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+    wanted = nodes.join(asked, "digest", "left_semi").select("key", "digest")
+
+    @F.pandas_udf("binary")
+    def whole(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, words)).tobytes() for t in texts])
+
+    texts = docs.select(_text_key().alias("key"), "text").join(wanted, "key").dropDuplicates(["key"])
+    sets = work_table(texts.select("digest", whole("text").alias("shingles")), "near-sets")
+    of = lambda c: sets.select(F.col("digest").alias(c), F.col("shingles").alias(f"of_{c}"))
+    # The members first, so that a leader of many is met with rows that can be split.
+    both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "of_a", "of_b")
+    links = both.mapInArrow(_similar(words, similarity), "a long, b long")
+    roots = work_table(components(links), "near-roots").withColumnRenamed("node", "digest")
+    named = nodes.select("digest", "least").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return _one_of_each(docs, narrow, named.drop("least").join(least, "root"), "digest")
 
 
 @query("op5_simhash")

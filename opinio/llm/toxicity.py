@@ -171,14 +171,17 @@ def _beginnings(words: Column, k: int) -> Column:
 def distinct_texts(texts: DataFrame) -> DataFrame:
     """``(text, label)``, of each group of near-copies with a label one text."""
     printed = texts.select("text", "label", fingerprint("text").alias("fp"), F.xxhash64("text").alias("_hash"))
-    printed = work_table(printed, "toxic-prints")
+    printed = work_table(printed.withColumn("_row", F.monotonically_increasing_id()), "toxic-prints")
+    narrow = printed.drop("text")
     kept = []
     for label in (0, 1):
-        own = printed.filter(F.col("label") == label)
+        own = narrow.filter(F.col("label") == label)
         # Classes name a group by its smallest fingerprint: texts with that one stand for it.
         named = classes(own.select(F.col("_hash").alias("doc_id"), "fp")).filter("fp = root").select("fp")
-        kept.append(own.join(named, "fp").groupBy("fp", "label").agg(F.min_by("text", "_hash").alias("text")))
-    return work_table(kept[0].unionByName(kept[1]).select("text", "label"), "toxic-distinct")
+        kept.append(own.join(named, "fp").groupBy("fp").agg(F.min_by("_row", "_hash").alias("_row")).select("_row"))
+    # Chosen by number, so that no text is moved for a group but its own.
+    whole = printed.join(kept[0].unionByName(kept[1]), "_row", "left_semi")
+    return work_table(whole.select("text", "label"), "toxic-distinct")
 
 
 def telling_units(texts: DataFrame) -> tuple[tuple[str, float], ...]:
