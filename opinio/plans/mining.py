@@ -139,31 +139,48 @@ def _boost_sql(c: str) -> str:
 
 NEGATED = ", ".join(f"'{w}'" for w in lex.NEGATIONS)
 EMPHATIC = "in ('so', 'this')"
+DAMPENED = ", ".join(f"'{w}'" for w in lex.DAMPENING_PAIRS)
 
+#: Sequences around a word in which a phrase is looked for, in order.
+SEQUENCES = (
+    "token || ' ' || a1 || ' ' || a2", "token || ' ' || a1", "b1 || ' ' || token", "b2 || ' ' || b1 || ' ' || token",
+    "b2 || ' ' || b1", "b3 || ' ' || b2 || ' ' || b1", "b3 || ' ' || b2",
+)
+
+
+def _step_sql(i: int, emphatic: str) -> str:
+    token, v = f"b{i}", f"v{i - 1}"
+    return f"""select *, case when {token} is null or k{i} then {v} else
+          case when {emphatic} then {lex.NEVER_SO[i - 1]} when {token} in ({NEGATED}) then {lex.NEGATION} else 1.0 end
+          * ({v} + sign({v}) * {_boost_sql(token)} * {lex.DAMPING[i - 1]}) end as v{i}
+          from {'hits' if i == 1 else f's{i - 1}'}"""
 
-def _sentiment_views(source: str) -> dict[str, str]:
+
+def _sentiment_views(source: str, phrases: dict[str, float] = lex.IDIOMS) -> dict[str, str]:
+    known = ", ".join(f"coalesce(b{i} in (select token from lexicon), false) as k{i}" for i in (1, 2, 3))
+    idiom = ", ".join(f"(select valence from phrases where phrase = {s})" for s in SEQUENCES)
     return {
         "token_lists": f"""select doc_id, list_filter({words_sql('lower(coalesce(c, ' + chr(39) * 2 + '))')},
           lambda w: length(w) >= 2) as w from ({source})""",
         "positions": """select doc_id, len(w) as n, list_position(w, 'but') as but, unnest(w) as token,
           unnest(generate_series(1, len(w))) as pos from token_lists""",
-        "context": """select *, lag(token, 1) over d as b1, lag(token, 2) over d as b2, lag(token, 3) over d as b3
+        "context": """select *, lag(token, 1) over d as b1, lag(token, 2) over d as b2, lag(token, 3) over d as b3,
+          lead(token, 1) over d as a1, lead(token, 2) over d as a2
           from positions window d as (partition by doc_id order by pos)""",
         "lexicon": f"select * from (values {_pairs_sql(lex.WORDS)}) as v(token, valence)",
-        "hits": f"""select c.*, cast(valence as double) as v0 from context c join lexicon using (token)
+        "phrases": f"select phrase, cast(valence as double) as valence from (values {_pairs_sql(phrases)}) as v(phrase, valence)",
+        "hits": f"""select c.*, cast(valence as double) as v0, {known} from context c join lexicon using (token)
           where token not in ({", ".join(f"'{w}'" for w in lex.BOOSTERS)})""",
-        "s1": f"""select *, case when b1 in ({NEGATED}) then {lex.NEGATION} else 1.0 end
-          * (v0 + sign(v0) * {_boost_sql('b1')}) as v1 from hits""",
-        "s2": f"""select *, case when b2 = 'never' and b1 {EMPHATIC} then {lex.NEVER_SO}
-          when b2 in ({NEGATED}) then {lex.NEGATION} else 1.0 end
-          * (v1 + sign(v1) * {_boost_sql('b2')} * {lex.DAMPING[1]}) as v2 from s1""",
-        "s3": f"""select *, case when b3 = 'never' and (b2 {EMPHATIC} or b1 {EMPHATIC}) then {lex.NEVER_SO}
-          when b3 in ({NEGATED}) then {lex.NEGATION} else 1.0 end
-          * (v2 + sign(v2) * {_boost_sql('b3')} * {lex.DAMPING[2]}) as v3 from s2""",
+        "s1": _step_sql(1, "false"),
+        "s2": _step_sql(2, f"b2 = 'never' and b1 {EMPHATIC}"),
+        "s3": _step_sql(3, f"(b3 = 'never' and b2 {EMPHATIC}) or b1 {EMPHATIC}"),
+        "phrased": f"""select *, case when b3 is null or k3 then v3 else coalesce({idiom}, v3)
+          - case when b3 || ' ' || b2 in ({DAMPENED}) or b2 || ' ' || b1 in ({DAMPENED}) then {lex.BOOST} else 0.0 end
+          end as v4 from s3""",
         "s4": f"""select doc_id, case when b1 = 'least' and coalesce(b2, '') not in ('at', 'very')
             then {lex.NEGATION} else 1.0 end
           * case when but > 0 and pos < but then {lex.BUT_BEFORE} when but > 0 and pos > but then {lex.BUT_AFTER}
-            else 1.0 end * v3 as v from s3""",
+            else 1.0 end * v4 as v from phrased""",
         "sums": """select doc_id, round(sum(v), 10) as s, round(sum(case when v > 0 then v + 1 else 0 end), 10) as pos,
           round(sum(case when v < 0 then 1 - v else 0 end), 10) as neg, count(*) filter (v <> 0) as hits
           from s4 group by doc_id""",
@@ -190,6 +207,30 @@ def lexicon_sentiment(spark, sf):
     return sentiment.sentiment_scores(docs, "doc_id")
 
 
+#: Phrases the documents hold around words of the lexicon, as a user's table might.
+PHRASES = {
+    **lex.IDIOMS,
+    "and stupid": -1.0,
+    "idiot the": 1.0,
+    "of the": -0.5,
+    "stupid and the": 2.0,
+    "the disgusting": 1.5,
+    "the of the": 0.7,
+    "the trash": -3.0,
+    "worthless of": 0.4,
+}
+
+
+@query(
+    "F3_phrase_sentiment",
+    with_views(f"select *, {CLASS} as sentiment from scores", **_sentiment_views(CLEANED, PHRASES)),
+)
+def phrase_sentiment(spark, sf):
+    """Sentiment with a table of phrases beside that of words."""
+    docs = table(spark, sf, "documents").select("doc_id", text.clean_text("text").alias("cleaned_text"))
+    return sentiment.sentiment_scores(docs, "doc_id", phrases=lex.phrase_table(spark, PHRASES))
+
+
 @query(
     "F3_sentiment_by_version",
     with_views(

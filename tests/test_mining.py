@@ -30,7 +30,18 @@ def compound(s):
         ("a slightly good app", 1.9 - 0.293),
         ("not good", 1.9 * -0.74),
         ("not very good", (1.9 + 0.293) * -0.74),
-        ("never so good", (1.9 + 0.293) * 1.25),
+        ("never so good", (1.9 + 0.293) * 1.5),
+        ("it never was this good", 1.9 * 1.25),
+        ("never so very good", ((1.9 + 0.293) + 0.293 * 0.95) * 1.25),
+        ("we say good bad", 1.9 - 2.5),
+        ("not great good", 3.1 * -0.74 + 1.9 * -0.74),
+        ("they are so so good", (1.9 + 0.293 + 0.293 * 0.95) * 1.25),
+        ("all in all bad ass", 1.5),
+        ("bad ass", -2.5),
+        ("so great of all bad ass", 3.1 + 0.293 - 2.5),
+        ("we got the kiss of death bad thing", -1.5),
+        ("it is kind of good", 1.9 - 0.293),
+        ("it was kind of nice good", 1.8 - 0.293 + 1.9 - 0.293),
         ("good but bad", 1.9 * 0.5 - 2.5 * 1.5),
         ("least good", 1.9 * -0.74),
         ("at least good", 1.9),
@@ -54,6 +65,14 @@ def test_sentiment_keeps_every_row_and_column(spark):
     assert out[1]["sentiment_positive"] == 1.0 and out[3]["sentiment_neutral"] == 0.0
 
 
+def test_phrases_come_from_a_table(spark):
+    phrases = lex.phrase_table(spark, {"good grief": -3.0, "good": 9.0, "a good grief": 1.0, "good grief now": -1.0})
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["it was all good grief", "it was all good grief now", "good grief"])], "id int, cleaned_text string")
+    got = {r["id"]: r["sentiment_compound"] for r in sentiment.sentiment_scores(df, "id", phrases=phrases).collect()}
+    # The longest that begins with the word; none for one of the first three words.
+    assert got == {0: pytest.approx(compound(-3.0), abs=1e-4), 1: pytest.approx(compound(-1.0), abs=1e-4), 2: pytest.approx(compound(1.9), abs=1e-4)}
+
+
 def test_lexicon_table_can_be_replaced(spark):
     words = lex.word_table(spark, {"meh": -1.0})
     df = spark.createDataFrame([(1, "meh good")], "id int, cleaned_text string")
