@@ -8,7 +8,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinio.operators.clusters import best_kmeans, tfidf_vectors
+from opinio.operators.clusters import assigned, fit_groups, term_vectors
 from opinio.operators.ranking import top_k, top_n_per_key
 from opinio.session import keep
 
@@ -105,42 +105,45 @@ def cluster_sample(
     """Quota sample spread over content clusters inside each rating.
 
     A rating with more reviews than its quota, and more than ten, is clustered; equal
-    shares come from each cluster and hashed order tops the rest up.
+    shares come from each cluster and hashed order tops the rest up. All ratings are taken
+    apart, fitted and ranked together. Other ratings give their first reviews in hashed order.
     """
-    counts = {
-        r["rating"]: r["n"]
-        for r in df.filter(F.col("rating").isin([1, 2, 3, 4, 5]))
-        .groupBy("rating")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .collect()
-    }
-    parts = []
-    for rating, quota in rating_quotas(size, focus).items():
-        rows = df.filter(F.col("rating") == rating)
-        n = counts.get(rating, 0)
-        if n <= quota:
-            parts.append(rows)
-            continue
-        ordered = rows.withColumn("_h", hashed(key, seed))
-        if n <= CLUSTER_LEAST:
-            parts.append(top_k(ordered, quota, F.asc("_h"), F.asc(key)).drop("_h"))
-            continue
-        k = min(CLUSTERS[1], max(CLUSTERS[0], quota))
-        vectors, _ = tfidf_vectors(rows, key, column, stops, size=CLUSTER_TERMS, min_df=1, max_df=None)
-        vectors = keep(vectors)
-        assigned = best_kmeans(vectors, k, starts, seed).transform(vectors).select(key, "cluster")
-        ids = keep(ordered.select(key, "_h").join(assigned, key, "left").fillna({"cluster": -1}))
-        even = top_n_per_key(ids, "cluster", max(1, quota // k), F.asc("_h"), F.asc(key), salt_on=[key])
-        # First everything chosen by cluster, then hashed order, cut at the quota.
-        chosen = ids.join(
-            F.broadcast(even.select(key, F.lit(0).alias("_late"))), key, "left"
-        ).fillna({"_late": 1})
-        wanted = top_k(chosen, quota, F.asc("_late"), F.asc("_h"), F.asc(key)).select(key)
-        parts.append(rows.join(F.broadcast(wanted), key, "left_semi"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    quotas = rating_quotas(size, focus)
+    ratings = sorted(quotas)
+    rated = df.filter(F.col("rating").isin(ratings))
+    # Five rows.
+    counts = {r["rating"]: r["count"] for r in rated.groupBy("rating").count().collect()}
+    n = [counts.get(r, 0) for r in ratings]
+    k = [
+        min(CLUSTERS[1], max(CLUSTERS[0], quotas[r])) if n[i] > max(quotas[r], CLUSTER_LEAST) else 0
+        for i, r in enumerate(ratings)
+    ]
+    number = F.array_position(F.array(*[F.lit(r) for r in ratings]), F.col("rating").cast("int")) - 1
+    fitted = [r for i, r in enumerate(ratings) if k[i]]
+    ids = rated.select(key, "rating", hashed(key, seed).alias("_h"))
+    if fitted:
+        vectors = term_vectors(
+            rated.filter(F.col("rating").isin(fitted)), key, column, stops, CLUSTER_TERMS, 1, None, number, len(ratings)
+        )
+        fits = fit_groups(vectors, key, k, starts, seed)
+        found = keep(assigned(vectors, key, fits).select(key, "cluster"))
+        found.count()
+        vectors.rows.unpersist()
+        ids = ids.join(found, key, "left").fillna({"cluster": -1})
+    else:
+        ids = ids.withColumn("cluster", F.lit(-1))
+    shares = [(r, quotas[r], max(1, quotas[r] // k[i]) if k[i] else 0) for i, r in enumerate(ratings)]
+    wanted = F.broadcast(df.sparkSession.createDataFrame(shares, "rating int, _quota int, _each int"))
+    order = (F.asc("_h"), F.asc(key))
+    most = max(1, *[each for _, _, each in shares])
+    even = top_n_per_key(ids, ["rating", "cluster"], most, *order, salt_on=[key], rank="_place").join(wanted, "rating")
+    even = even.filter(F.col("_place") <= F.col("_each")).select(key, F.lit(0).alias("_late"))
+    # First everything chosen by cluster, then hashed order, cut at the quota.
+    chosen = ids.join(even, key, "left").fillna({"_late": 1})
+    first = top_n_per_key(chosen, "rating", max(quotas.values()), F.asc("_late"), *order, salt_on=[key], rank="_place")
+    kept = first.join(wanted, "rating").filter(F.col("_place") <= F.col("_quota")).select(key)
+    # No more rows than the sample has.
+    return df.join(F.broadcast(kept), key, "left_semi")
 
 
 def one_reply_per_rating(
