@@ -135,6 +135,10 @@ select doc_id, bytes, substr(h, 1, depth::int) as shard, depth::int as depth fro
 """
 
 
-@query("op4_sharding", sql())
+#: Small enough that a corpus of a few megabytes has several shards.
+QUERY_LIMIT = 1 << 20
+
+
+@query("op4_sharding", sql(QUERY_LIMIT))
 def op4_sharding(spark, sf_dir):
-    return assign(table(spark, sf_dir, "documents")).select("doc_id", "bytes", "shard", "depth")
+    return assign(table(spark, sf_dir, "documents"), QUERY_LIMIT).select("doc_id", "bytes", "shard", "depth")
