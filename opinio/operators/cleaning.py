@@ -76,7 +76,9 @@ def preprocess(
         if stem:
             rows = stem_tokens(rows, key, "_tokens").withColumnRenamed("stems", "_tokens")
         joined = F.array_join(text.drop_short("_tokens"), " ").alias("normalized_text")
-        out = out.join(rows.select(key, joined), key)
+        # A null key is one key.
+        rows = rows.select(F.col(key).alias("_key"), joined)
+        out = out.join(rows, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
     else:
         out = out.withColumn("normalized_text", text.normalize_text("cleaned_text", stops, lemmas))
     if include_tokens:

@@ -43,6 +43,46 @@ def replace_tokens(df: DataFrame, key: str, tokens: str, mapping: DataFrame, nam
     return regroup_tokens(rows, key, F.coalesce("replacement", "token"), name)
 
 
+# Endings of inflected nouns and what stands in their place.
+ENDINGS = (
+    ("s", ""),
+    ("ses", "s"),
+    ("ves", "f"),
+    ("xes", "x"),
+    ("zes", "z"),
+    ("ches", "ch"),
+    ("shes", "sh"),
+    ("men", "man"),
+    ("ies", "y"),
+)
+
+
+def lemmas_by_rule(forms: DataFrame, dictionary: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
+    """``(form, lemma)`` of the forms whose lemma is another word.
+
+    ``forms`` has distinct ``form``, ``dictionary`` the base words as ``lemma``, ``exceptions``
+    irregular ``(form, lemma)``. A form becomes the shortest word of the dictionary among
+    itself, its irregular lemmas and, where it has none of those, itself with one ending
+    replaced. Forms of which the dictionary holds none stay as they are. Only distinct forms
+    are joined, so the table may be applied to texts of any number.
+    """
+    form = F.col("form")
+    itself = F.struct(F.lit(0).alias("rule"), form.alias("lemma"))
+    detached = [
+        F.when(form.endswith(end), F.struct(F.lit(i).alias("rule"), F.concat(F.expr(f"left(form, length(form) - {len(end)})"), F.lit(by)).alias("lemma")))
+        for i, (end, by) in enumerate(ENDINGS, 1)
+    ]
+    candidates = forms.select("form", F.explode(F.array_compact(F.array(itself, *detached))).alias("c")).select("form", "c.*")
+    if exceptions is not None:
+        irregular = exceptions.select("form", F.lit(1).alias("rule"), "lemma")
+        regular = candidates.join(irregular.select("form").distinct(), "form", "left_anti")
+        own = irregular.join(forms, "form", "left_semi")
+        candidates = regular.unionByName(own).unionByName(candidates.filter("rule = 0").join(own.select("form").distinct(), "form", "left_semi"))
+    known = candidates.join(dictionary.select("lemma").distinct(), "lemma", "left_semi")
+    best = known.groupBy("form").agg(F.min(F.struct(F.length("lemma").alias("n"), "rule", "lemma")).alias("best"))
+    return best.select("form", F.col("best.lemma").alias("lemma")).filter("form <> lemma")
+
+
 def lemmatize_tokens(df: DataFrame, key: str, tokens: str, lemmas: DataFrame) -> DataFrame:
     """Lemmas from a table ``(form, lemma)``, one row per form."""
     mapping = lemmas.select(F.col("form").alias("token"), F.col("lemma").alias("replacement"))

@@ -324,3 +324,35 @@ def topic_findings(spark, sf):
 def topic_distribution(spark, sf):
     rows, result = topic_reviews(spark, sf)
     return distributions.topic_distribution(rows, result.labels())
+
+
+# --- The same tables over a given topic ----------------------------------------------
+
+
+def given_topics(spark, sf):
+    """Text reviews whose topic is given: the length of the text, modulo five."""
+    return review_texts(spark, sf).withColumn("primary_topic", (F.col("n_chars") % 5).cast("int"))
+
+
+TOPIC_VERSIONS = {
+    "pairs": "select version, cast(n_chars % 5 as int) as primary_topic, count(*) as n from texts where version is not null group by 1, 2",
+    "sums": "select version, cast(sum(n) as bigint) as review_count from pairs group by 1 order by 2 desc, 1 limit 10",
+    "shares": "select version, primary_topic, n, review_count, round(n * 100.0 / review_count, 1) as pct from pairs join sums using (version)",
+}
+
+
+@query("A9_given_topics", with_views("select * from shares", **TOPIC_VERSIONS))
+def given_topic_by_version(spark, sf):
+    return by_version.topic_by_version(given_topics(spark, sf))
+
+
+@query(
+    "W4_given_topics",
+    with_views(
+        """select * from (select *, cast(row_number() over (partition by version order by n desc, primary_topic) as int) as rank
+             from shares) where rank <= 3""",
+        **TOPIC_VERSIONS,
+    ),
+)
+def given_top_topics(spark, sf):
+    return by_version.top_topics_per_version(given_topics(spark, sf))

@@ -93,6 +93,43 @@ def lemmatize(spark, sf):
     return rows.select("doc_id", F.array_join("lemmas", " ").alias("lemmas"))
 
 
+def dictionary(spark, sf):
+    """The words of the documents as a dictionary of base words."""
+    docs = documents(spark, sf).select(text.words(text.clean_text("text")).alias("tokens"))
+    return tokens.one_per_row(docs, "tokens", "lemma").distinct()
+
+
+def rule_lemmas(spark, sf):
+    words = dictionary(spark, sf)
+    irregular = spark.createDataFrame(sorted(IRREGULAR.items()), "form string, lemma string")
+    return tokens.lemmas_by_rule(words.withColumnRenamed("lemma", "form"), words, irregular)
+
+
+#: Irregular forms among the words of the documents, as a user's table might hold them.
+IRREGULAR = {"is": "be", "was": "be", "stupid": "idiot", "these": "the"}
+
+LEMMA_VIEWS = {
+    "forms": f"select distinct unnest({words_sql(clean_sql('text'))}) as form from documents",
+    "irregular": "select * from (values " + ", ".join(f"('{a}', '{b}')" for a, b in sorted(IRREGULAR.items())) + ") as v(form, lemma)",
+    "tried": " union all ".join(
+        ["select form, form as lemma, 0 as rule from forms", "select form, lemma, 1 from irregular where form in (select form from forms)"]
+        + [
+            f"select form, left(form, length(form) - {len(end)}) || '{by}', {i} from forms where form like '%{end}'"
+            " and form not in (select form from irregular)"
+            for i, (end, by) in enumerate(tokens.ENDINGS, 1)
+        ]
+    ),
+    "lemmas": """select form, lemma from (select *, row_number() over (partition by form order by length(lemma), rule, lemma) as n
+        from tried where lemma in (select form from forms)) where n = 1 and form <> lemma""",
+}
+
+
+@query("T6_rule_lemmas", with_views("select form, lemma from lemmas", **LEMMA_VIEWS))
+def lemmas_by_rule(spark, sf):
+    """Lemmas of all words of the documents by endings that lead to another of their words."""
+    return rule_lemmas(spark, sf)
+
+
 @query("T7_porter_stems")
 def porter_stems(spark, sf):
     docs = documents(spark, sf).select("doc_id", text.words(text.clean_text("text")).alias("tokens"))
@@ -120,6 +157,31 @@ def normalize_text(spark, sf):
     return documents(spark, sf).select("doc_id", normalized.alias("normalized_text"))
 
 
+def _lemmatized_sql(key: str, source: str) -> dict[str, str]:
+    """Views of the normalised texts of ``source`` ``(key, c)`` with lemmas."""
+    return {
+        **LEMMA_VIEWS,
+        "kept": f"select {key} as k, c, {without_sql(tokens_sql('c'), english_stop_words())} as t from ({source})",
+        "each": "select k, unnest(t) as form, unnest(range(len(t))) as pos from kept",
+        "turned": "select k, pos, coalesce(lemma, form) as w from each left join lemmas using (form)",
+        "normal": """select kept.k, kept.c, coalesce(n, '') as n from kept left join (
+          select k, string_agg(w, ' ' order by pos) filter (length(w) >= 3) as n from turned group by k) using (k)""",
+    }
+
+
+@query(
+    "T10_preprocess_lemmas",
+    with_views(
+        f"select k as review_id, c as cleaned_text, n as normalized_text, len({tokens_sql('n')}) as n_tokens from normal",
+        **_lemmatized_sql("review_id", f"select review_id, {clean_sql('text')} as c from texts"),
+    ),
+)
+def preprocess_lemmas(spark, sf):
+    """The chain with lemmas, as it runs by default where a table of them is given."""
+    rows = cleaning.preprocess(review_texts(spark, sf), lemmas=rule_lemmas(spark, sf), include_tokens=True)
+    return rows.select("review_id", "cleaned_text", "normalized_text", F.size("tokens").cast("long").alias("n_tokens"))
+
+
 @query(
     "T10_preprocess",
     with_views(
