@@ -138,6 +138,52 @@ def test_analysis_keeps_all_columns(corpus):
         analysis.analyze(corpus, ("mood",))
 
 
+def test_groups_and_starts_fitted_together_equal_each_alone(spark):
+    rng = np.random.default_rng(4)
+    words = [f"{c}{i}" for c in "abcd" for i in range(12)]
+    rows = []
+    for i in range(240):
+        theme = "abcd"[i % 4]
+        own = [w for w in words if w.startswith(theme)]
+        rows.append((i, " ".join([*rng.choice(own, 9), *rng.choice(words, 3)]), i % 2))
+    df = spark.createDataFrame(rows, "review_id int, text string, half int").repartition(4)
+    both = clusters.term_vectors(df, "review_id", "text", (), 40, 1, None, F.col("half"), 2)
+    fits = clusters.fit_groups(both, "review_id", [2, 3], starts=4)
+    vectors = {r["review_id"]: r for r in both.rows.collect()}
+
+    def dense(r):
+        out = np.zeros(len(both.terms[r["grp"]]))
+        out[r["at"]] = r["weight"]
+        return out
+
+    home = {r["review_id"]: r["cluster"] for r in clusters.assigned(both, "review_id", fits).collect()}
+    assert set(home) == set(range(240))
+    for half in (0, 1):
+        centres = fits.of(half)
+        own = {i: dense(r) for i, r in vectors.items() if r["grp"] == half}
+        # Everyone is with the nearest centre, every centre is the mean of its own, the cost is theirs.
+        for i, x in own.items():
+            assert home[i] == int(((centres - x) ** 2).sum(axis=1).argmin())
+        for c, centre in enumerate(centres):
+            assert np.allclose(centre, np.mean([x for i, x in own.items() if home[i] == c], axis=0), atol=1e-3)
+        cost = sum(((centres[home[i]] - x) ** 2).sum() for i, x in own.items())
+        assert fits.cost[half] == pytest.approx(cost, rel=1e-3)
+        # One group alone, start by start: none is cheaper.
+        alone = clusters.term_vectors(df.filter(F.col("half") == half), "review_id", "text", (), 40, 1, None)
+        single = [clusters.fit_groups(alone, "review_id", [[2, 3][half]], 1, clusters.SEED + s).cost[0] for s in range(4)]
+        assert fits.cost[half] == pytest.approx(min(single), rel=1e-6)
+
+
+def test_term_vectors_equal_their_definition(spark):
+    rows = [(1, "login crash crash", 0), (2, "login screen", 0), (3, "", 0), (4, "login battery", 0), (5, "other words", 1)]
+    df = spark.createDataFrame(rows, "review_id int, text string, g int")
+    got = clusters.term_vectors(df, "review_id", "text", (), 10, 1, 0.9, F.col("g"), 3)
+    # In every text of its group: too frequent. The third group has no rows.
+    assert [sorted(t) for t in got.terms] == [["battery", "crash", "screen"], [], []] and got.sizes == [3, 1, 0]
+    by_id = {r["review_id"]: dict(zip([got.terms[r["grp"]][i] for i in r["at"]], r["weight"])) for r in got.rows.collect()}
+    assert by_id == {1: {"crash": 1.0}, 2: {"screen": 1.0}, 4: {"battery": 1.0}, 5: {}}
+
+
 # --- vectors -------------------------------------------------------------------------
 
 
@@ -278,6 +324,14 @@ def test_quota_sample_takes_all_of_a_small_rating(spark):
     assert counts == {1: 25, 2: small, 3: 20, 5: 25}
 
 
+def test_cluster_sample_of_small_ratings_and_nothing(spark, corpus):
+    few = corpus.withColumn("rating", F.when(F.col("review_id") < 3, 5).when(F.col("review_id") < 12, 4).otherwise(1))
+    out = sampling.cluster_sample(few, 20, "positive").groupBy("rating").count().collect()
+    quotas = sampling.rating_quotas(20, "positive")
+    assert {r["rating"]: r["count"] for r in out} == {5: min(3, quotas[5]), 4: min(9, quotas[4]), 1: quotas[1]}
+    assert sampling.cluster_sample(corpus.limit(0), 20).count() == 0
+
+
 def test_cluster_sample_meets_its_quotas(spark, corpus):
     out = sampling.cluster_sample(corpus.withColumn("rating", F.lit(1)), 20, "negative")
     assert out.count() == sampling.rating_quotas(20, "negative")[1]

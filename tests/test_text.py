@@ -174,3 +174,22 @@ def test_json_recovery(spark):
 
 def test_english_stop_words_are_those_spark_ships(spark):
     assert set(text.stop_words()) == set(StopWordsRemover.loadDefaultStopWords("english"))
+
+
+def test_lemmas_by_endings_lead_to_dictionary_words(spark):
+    words = lambda ws, c: spark.createDataFrame([(w,) for w in ws], f"{c} string")
+    forms = words(["dogs", "dog", "ladies", "wolves", "women", "boxes", "glass", "churches", "geese", "xyzs", "s", "has", "", "oxen"], "form")
+    dictionary = words(["dog", "lady", "wolf", "woman", "box", "boxe", "glass", "church", "goose", "ha", "ox", "oxen"], "lemma")
+    irregular = spark.createDataFrame([("geese", "goose"), ("oxen", "ox"), ("mice", "mouse"), ("dogs", "hound")], "form string, lemma string")
+    got = {r["form"]: r["lemma"] for r in tokens.lemmas_by_rule(forms, dictionary).collect()}
+    assert got == {"dogs": "dog", "ladies": "lady", "wolves": "wolf", "women": "woman", "boxes": "box", "churches": "church", "has": "ha"}
+    with_them = {r["form"]: r["lemma"] for r in tokens.lemmas_by_rule(forms, dictionary, irregular).collect()}
+    # An irregular form has its own lemmas only; one the dictionary lacks is none.
+    assert with_them == {**{k: v for k, v in got.items() if k != "dogs"}, "geese": "goose", "oxen": "ox"}
+
+
+def test_preprocessing_with_lemmas_keeps_a_null_key(spark):
+    df = spark.createDataFrame([("a", "Big dogs bark"), (None, "Two dogs"), ("c", None)], "review_id string, text string")
+    lemmas = spark.createDataFrame([("dogs", "dog")], "form string, lemma string")
+    got = {r["review_id"]: r["normalized_text"] for r in cleaning.preprocess(df, stops=(), lemmas=lemmas).collect()}
+    assert got == {"a": "big dog bark", None: "two dog", "c": ""}
