@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -178,6 +179,12 @@ def _compare(fitted: Fitted, threshold: float):
         hit = np.flatnonzero(links)
         out = [pd.DataFrame({"cid": q_id[hit], "links": links[hit], "other": q_id[hit]})]
         if len(hit):
+            # A member that does not look into the query's list would not count the pair itself.
+            homes, home = np.unique(asked["home"].to_numpy(dtype=np.int64), return_inverse=True)
+            looks = np.stack([np.isin(homes, p) for p in members["probes"]])
+            back = (near & ~looks[:, home].T).T @ asked["copies"].to_numpy()
+            met = np.flatnonzero(back)
+            out.append(pd.DataFrame({"cid": y_id[met], "links": back[met], "other": y_id[met]}))
             a, b = _joined(near, q_id, y_id)
             out.append(pd.DataFrame({"cid": a, "links": 0, "other": b}))
         return pd.concat(out, ignore_index=True).astype("int64")
@@ -199,25 +206,26 @@ def _dealt(placed: DataFrame) -> DataFrame:
     part = lambda n, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), n)
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     members = (
-        placed.select("cid", "copies", "vector", "list", "code", "error")
+        placed.select("cid", "copies", "vector", "list", "code", "error", "probes")
         .join(parts, "list")
         .withColumns({"mp": part(F.col("m"), "m").cast("int"), "pp": F.explode(every("p")), "probe": F.lit(False)})
     )
     asked = (
-        placed.select("cid", "copies", "vector", F.explode("probes").alias("list"))
+        placed.select("cid", "copies", "vector", F.col("list").alias("home"), F.explode("probes").alias("list"))
         .join(parts, "list")
         .withColumns({"pp": part(F.col("p"), "p").cast("int"), "mp": F.explode(every("m")), "probe": F.lit(True)})
     )
     columns = ["list", "mp", "pp", "probe", "cid", "copies", "vector"]
-    return members.select(*columns, "code", "error").unionByName(asked.select(*columns), allowMissingColumns=True)
+    members = members.select(*columns, "code", "error", "probes")
+    return members.unionByName(asked.select(*columns, "home"), allowMissingColumns=True)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, index: Index = Index()) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` per row of ``vectors`` (``vec_id``, ``embedding``).
 
     Rows link where their cosine reaches ``threshold``. A vector that is null, zero or
-    empty, or holds a null or non-finite component, links with nothing, nor does one that
-    has not the table's most frequent length. Repeated rows are vectors of their own and
+    empty, or holds a null or non-finite component, links with nothing. Vectors link with
+    ones of their own length, each length having an index of its own. Repeated rows are vectors of their own and
     link with each other. ``component_id`` is the smallest vec_id reachable; null ids count
     for nothing, and a component of them alone has a null ``component_id``. An empty table
     gives no rows.
@@ -225,19 +233,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, index: Index =
     clean = F.transform("embedding", lambda v: v.cast("double"))
     finite = F.forall(clean, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     rows = vectors.select("vec_id", clean.alias("v"), (F.coalesce(finite, F.lit(False)) & F.exists(clean, lambda v: v != 0)).alias("usable"))
-    lengths = rows.filter("usable").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    d = lengths["d"] if lengths else 0
     # Minus zero is zero, so that equal vectors group.
-    rows = rows.select("vec_id", F.when(F.col("usable") & (F.size("v") == d), F.transform("v", lambda v: v + F.lit(0.0))).alias("v"))
+    rows = rows.select("vec_id", F.when(F.col("usable"), F.transform("v", lambda v: v + F.lit(0.0))).alias("v"))
     rows = rows.withColumn("key", F.xxhash64("v"))
     groups = rows.filter("v is not null").groupBy("key", "v").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
     groups = work_table(groups.withColumn("cid", F.monotonically_increasing_id()), "quantized-vectors")
-    n = groups.count()
+    # A row per length of vectors.
+    sizes = {r["d"]: r["count"] for r in groups.groupBy(F.size("v").alias("d")).count().collect()}
     none = rows.filter("v is null").select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
     )
-    if n:
-        found = _linked(groups, n, threshold, index)
+    if sizes:
+        each = [_linked(groups.filter(F.size("v") == d), n, threshold, index) for d, n in sorted(sizes.items())]
+        found = reduce(DataFrame.unionByName, each)
         links = found.groupBy("cid").agg(F.sum("links").alias("links"))
         roots = work_table(components(found.filter("cid <> other").select(F.col("cid").alias("a"), F.col("other").alias("b"))), "quantized-roots")
         named = groups.join(roots.withColumnRenamed("node", "cid"), "cid", "left").join(links, "cid", "left")

@@ -564,6 +564,25 @@ def test_secrets_odd_rows(odd, none):
     assert secrets.scan(none).count() == 0
 
 
+@pytest.mark.parametrize("dims", [4, 8])
+def test_every_link_counts_for_both_in_low_dimensions(spark, dims):
+    """Where many lists meet, one side of a pair often does not look into the other's."""
+    rng = np.random.default_rng(dims)
+    seeds = rng.normal(size=(12, dims))
+    vectors = [seeds[i % 12] / np.linalg.norm(seeds[i % 12]) + rng.normal(0, 0.22 / dims**0.5, dims) for i in range(1200)]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    rows += [(5000, [1.0, 2.0, 3.0]), (5001, [2.0, 4.0, 6.0]), (5002, [1.0]), (5003, [-1.0]), (5004, [3.0])]
+    got = {r["vec_id"]: r for r in quantized.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    x = np.array(vectors)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    close = x @ x.T >= 0.95
+    np.fill_diagonal(close, False)
+    assert [got[i]["n_links"] for i in range(1200)] == close.sum(axis=1).tolist()
+    want = slow_components(list(range(1200)), [(int(a), int(b)) for a, b in np.argwhere(close)])
+    assert all(got[i]["component_id"] == want[i] for i in range(1200))
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(5000, 5005)] == [(1, 5000), (1, 5000), (1, 5002), (0, 5003), (1, 5002)]
+
+
 # --- sharding ------------------------------------------------------------------------
 
 
