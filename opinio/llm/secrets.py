@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 
 from opinio.llm.common import query, table, work_table
 
-#: Findings learned from, at most about so many, by hash; and dictionary words.
+#: Findings learned from, at most about so many, by hash.
 FINDINGS = 40_000
-DICTIONARY = 20_000
+
+#: A dictionary word is at least one of so many words of the texts, so there are no more of them.
+DICTIONARY = 50_000
 
 # Public key formats and telling names, in alphabetical order.
 FORMATS = {
@@ -45,7 +47,7 @@ NAMES = r"(?:access[_-]?key|api[_-]?key|auth|credential|passwd|password|private[
 
 ASSIGNED = re.compile(rf"(?i)\b{NAMES}[\w-]{{0,16}}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([^\s\"'<>,;]{{6,}})")
 KNOWN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in FORMATS.items()))
-CODE = re.compile(r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z0-9+/_=.-]{0,200}[0-9])[A-Za-z0-9+/_-][A-Za-z0-9+/_=.-]{14,}")
+CODE = re.compile(r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]*[0-9])[A-Za-z0-9+/_-][A-Za-z0-9+/_=.-]{14,}")
 HARMLESS = re.compile(r"[0-9.-]+|[a-z]+|(?:[A-Za-z]+[-_./])+[A-Za-z]+[0-9]{0,4}|(.)\1+|\d{4}-\d{2}-\d{2}.*|.*\.(?:html?|png|jpe?g|css|js|pdf)|(?:[A-Za-z0-9-]+\.)+[a-z]{2,6}")
 
 NEIGHBOURS = re.compile(r"[A-Za-z]{2,}")
@@ -83,30 +85,28 @@ def transition_counts(docs: DataFrame) -> np.ndarray:
     return out.reshape(ALPHABET, ALPHABET)
 
 
-def dictionary(docs: DataFrame, most: int = DICTIONARY) -> list[str]:
-    """The words of four letters or more that occur most often in all texts, ``most`` at most.
+def dictionary(docs: DataFrame, one_of: int = DICTIONARY) -> list[str]:
+    """The words of four letters or more that are at least one of ``one_of`` of all that are repeated.
 
-    How many words occur how often, in steps of a ninth, tells from which count on words
-    are taken; so only those words ever reach the driver.
+    There cannot be more than ``one_of`` such words, whatever the texts, so none is left out and
+    only they reach the driver.
     """
     words = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
     common = words.filter(F.length("word") >= 4).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    common = work_table(common.filter("n > 1").withColumn("step", F.floor(F.log2("n") * 6)), "secret-words")
-    taken, least = 0, None
-    for row in common.groupBy("step").count().orderBy(F.desc("step")).collect():  # some hundred steps at most
-        taken += row["count"]
-        if taken > most:
-            break
-        least = row["step"]
-    if least is None:
-        return []
-    return sorted(r["word"] for r in common.filter(F.col("step") >= least).select("word").collect())
+    common = work_table(common.filter("n > 1"), "secret-words")
+    total = common.agg(F.sum("n")).first()[0] or 0
+    return sorted(r["word"] for r in common.filter(F.col("n") * one_of >= total).select("word").collect())
 
 
 @lru_cache(maxsize=2)
-def _model(blob: str) -> tuple[np.ndarray, frozenset[str]]:
+def _model(blob: str) -> tuple[np.ndarray, dict[str, tuple[int, ...]]]:
+    """Log odds, and the words by their first four letters: lengths from the longest on."""
     spec = json.loads(blob)
-    return np.array(spec["transitions"]), frozenset(spec["words"])
+    lengths: dict[str, set[int]] = {}
+    for word in spec["words"]:
+        lengths.setdefault(word[:4], set()).add(len(word))
+    known: dict[str, tuple[int, ...]] = {w: () for w in spec["words"]}
+    return np.array(spec["transitions"]), {**known, **{"^" + b: tuple(sorted(n, reverse=True)) for b, n in lengths.items()}}
 
 
 def corpus_model(docs: DataFrame) -> str:
@@ -116,10 +116,11 @@ def corpus_model(docs: DataFrame) -> str:
     return json.dumps({"transitions": np.round(logs, 2).tolist(), "words": dictionary(docs)})
 
 
-def _covered(value: str, words: frozenset[str]) -> float:
+def _covered(value: str, words: dict[str, tuple[int, ...]]) -> float:
+    """Share of the letters that dictionary words cover, the longest first from the left on."""
     low, at, inside = value.lower(), 0, 0
     while at <= len(low) - 4:
-        for size in range(min(12, len(low) - at), 3, -1):
+        for size in words.get("^" + low[at : at + 4], ()):
             if low[at : at + size] in words:
                 inside, at = inside + size, at + size
                 break
@@ -128,7 +129,7 @@ def _covered(value: str, words: frozenset[str]) -> float:
     return inside / len(low)
 
 
-def features_of(text: str, start: int, end: int, model: tuple[np.ndarray, frozenset[str]]) -> list[float]:
+def features_of(text: str, start: int, end: int, model: tuple[np.ndarray, dict[str, tuple[int, ...]]]) -> list[float]:
     """Features of the candidate ``text[start:end]``."""
     logs, words = model
     value = text[start:end]
