@@ -21,6 +21,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql import functions as F
 
 from opinio.llm.common import query, table
@@ -160,10 +161,8 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), separator:
         raise ValueError("a piece as long as a sequence must fit into an empty one")
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
-    return rows.mapInArrow(
-        _packer(limits, tokenizer, separator, arrow), f"doc_id {kind.simpleString()}, {OUT}"
-    )
+    packer = _packer(limits, tokenizer, separator, to_arrow_type(kind))
+    return rows.mapInArrow(packer, f"doc_id {kind.simpleString()}, {OUT}")
 
 
 @query("op2_packing")

@@ -22,8 +22,9 @@ from tokenizers import Tokenizer
 WORD_START = re.compile(r" (?=\S)")
 BLANK_RUN = re.compile(r" \s")
 
-#: Pieces remembered by a worker.
-REMEMBERED = 800_000
+#: Bytes of remembered pieces in a worker, with what the table itself takes for each.
+REMEMBERED = 40 << 20
+PER_PIECE = 200
 
 
 def _bytes_of_letters() -> dict[str, int]:
@@ -61,6 +62,7 @@ class Encoder:
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _ids(self, piece: str) -> bytes:
         return little_endian(self.ranked.encode_ordinary(piece))
@@ -76,11 +78,12 @@ class Encoder:
                 words[-1] += " "
             else:
                 first += " "
-        if len(self.known) > REMEMBERED:
-            self.known = {}
+        if self.held > REMEMBERED:
+            self.known, self.held = {}, 0
         known = self.known
         for word in set(words).difference(known):
-            known[word] = self._ids(" " + word)
+            known[word] = ids = self._ids(" " + word)
+            self.held += len(word) + len(ids) + PER_PIECE
         return self._ids(first) + b"".join([known[w] for w in words])
 
 

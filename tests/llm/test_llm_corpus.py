@@ -583,6 +583,27 @@ def test_every_link_counts_for_both_in_low_dimensions(spark, dims):
     assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(5000, 5005)] == [(1, 5000), (1, 5000), (1, 5002), (0, 5003), (1, 5002)]
 
 
+@pytest.mark.parametrize("kind", ["smallint", "string", "decimal(10,0)"])
+def test_ids_of_any_type_are_packed(spark, kind):
+    docs = spark.createDataFrame([(1, "a few words"), (None, None)], "doc_id int, text string")
+    rows = packing.pack(docs.withColumn("doc_id", F.col("doc_id").cast(kind)), public_tokenizers.path("byte_bpe_50k.json"))
+    assert dict(rows.dtypes)["doc_id"] == kind and rows.count() == 2
+
+
+def test_remembered_pieces_are_bounded_by_bytes(monkeypatch):
+    from opinio.llm import tokenizing
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = " ".join(f"word{i}" for i in range(500)) + " " + "x" * 5000
+    want = Encoder(path).encode(text)
+    monkeypatch.setattr(tokenizing, "REMEMBERED", 10_000)
+    small = Encoder(path)
+    for _ in range(3):
+        assert small.encode(text) == want
+    small.encode("next")
+    assert small.held <= 10_000
+
+
 # --- sharding ------------------------------------------------------------------------
 
 
