@@ -3,8 +3,10 @@
 Paths become shapes (numbers and long codes are variable at once) and are counted per host
 and shape, so a host with a third of all pages is a few rows from there on. Level by level
 a segment stays as it is where enough pages below its branch have it, whatever the size of
-its host, and becomes a wildcard where not; there is no deepest level. Templates that differ in one segment and whose labelled pages are bad at about
-the same rate are merged and judged together. A template is rejected where its share of
+its host, and becomes a wildcard where not; there is no deepest level. Then, from the
+deepest level up, templates that differ in one segment and whose labelled pages are bad at
+about the rate of them all are merged, and merged ones again with their siblings a level
+above. A template is rejected where its share of
 bad pages, smoothed towards that of its host and of all pages, reaches the limit.
 """
 
@@ -31,15 +33,13 @@ RULES = (
 class Tree:
     #: A segment stays literal with so many pages below its branch.
     least_pages: int = 20
-    #: Only the SQL twin also asks for so many of a hundred below the branch.
-    least_percent: int = 1
     #: Templates within so many standard errors of the group's rate are merged.
     deviations: float = 2.0
     #: Labelled pages the smoothing counts for, and the share of bad ones that rejects.
     smoothing: float = 10.0
     limit: float = 0.5
     #: Levels that the SQL twin tells apart; here all are.
-    depth: int = 6
+    depth: int = 7
 
 
 HOST = r"^.*?://([^/?#]*)"
@@ -112,6 +112,34 @@ def templates(shapes: DataFrame, tree: Tree) -> DataFrame:
     return grown
 
 
+def merged(counted: DataFrame, tree: Tree) -> DataFrame:
+    """``(host, template, n, b, name)``: templates of one ``name`` are judged together.
+
+    ``counted``: ``(host, template, n, b)``. Bottom-up, a level at a time: siblings agree in
+    all segments but the literal one of that level, and those whose share of bad pages is
+    within ``deviations`` standard errors of the siblings' share take a wildcard there.
+    """
+    named = work_table(counted.withColumn("name", F.col("template")), "url-named")
+    parts = F.split("name", "/", -1)
+    deepest = named.agg(F.max(F.size(parts))).first()[0] or 0
+    for level in range(deepest - 1, 0, -1):  # the part before the first slash is empty
+        nodes = named.groupBy("host", "name").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+        part = F.get(parts, F.lit(level))
+        wild = F.concat(F.slice(parts, 1, level), F.array(F.lit("*")), F.slice(parts, level + 2, deepest))
+        family = F.when(part.rlike(r"^[^{]"), F.array_join(wild, "/")).otherwise(F.col("name"))
+        nodes = nodes.withColumn("family", family)
+        families = nodes.groupBy("host", "family").agg(F.sum("n").alias("family_n"), F.sum("b").alias("family_b"))
+        rate = F.col("family_b") / F.nullif(F.col("family_n"), F.lit(0.0))
+        gap = F.col("b") - F.col("n") * rate
+        alike = F.coalesce(gap * gap <= tree.deviations**2 * F.col("n") * rate * (1 - rate), F.lit(True))
+        renamed = nodes.join(families, ["host", "family"]).select(
+            "host", "name", F.when(alike, F.col("family")).otherwise(F.col("name")).alias("next")
+        )
+        named = named.join(renamed, ["host", "name"]).withColumn("name", F.col("next")).drop("next")
+        named = work_table(named, "url-named")
+    return named
+
+
 def judged(shapes: DataFrame, tree: Tree) -> DataFrame:
     """Templates ``(host, template, purity)``; purity is the smoothed share of bad pages.
 
@@ -120,24 +148,15 @@ def judged(shapes: DataFrame, tree: Tree) -> DataFrame:
     counted = shapes.groupBy("host", "template").agg(
         F.sum("labelled").cast("double").alias("n"), F.sum("bad").cast("double").alias("b")
     )
-    counted = work_table(counted, "url-templates").withColumn(
-        "family", F.regexp_replace("template", r"^/[^/{*]+", "/*")
-    )
-    n_all, b_all = counted.agg(F.sum("n"), F.sum("b")).first()
-    hosts = counted.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("b").alias("host_b"))
-    families = counted.groupBy("host", "family").agg(F.sum("n").alias("family_n"), F.sum("b").alias("family_b"))
-    rate = F.col("family_b") / F.nullif(F.col("family_n"), F.lit(0.0))
-    gap = F.col("b") - F.col("n") * rate
-    alike = F.coalesce(gap * gap <= tree.deviations**2 * F.col("n") * rate * (1 - rate), F.lit(True))
-    met = counted.join(families, ["host", "family"]).withColumn("alike", alike)
-    merged = met.filter("alike").groupBy("host", "family").agg(F.sum("n").alias("merged_n"), F.sum("b").alias("merged_b"))
-    whole = met.join(merged, ["host", "family"], "left").join(hosts, "host")
+    named = merged(counted, tree)
+    n_all, b_all = named.agg(F.sum("n"), F.sum("b")).first()
+    hosts = named.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("b").alias("host_b"))
+    whole = named.groupBy("host", "name").agg(F.sum("n").alias("name_n"), F.sum("b").alias("name_b")).join(hosts, "host")
     m = F.lit(tree.smoothing)
     base = b_all / n_all if n_all else 0.0
     prior = (F.col("host_b") + m * F.lit(base)) / (F.col("host_n") + m)
-    n = F.when(F.col("alike"), F.col("merged_n")).otherwise(F.col("n"))
-    b = F.when(F.col("alike"), F.col("merged_b")).otherwise(F.col("b"))
-    return whole.select("host", "template", ((b + m * prior) / (n + m)).alias("purity"))
+    purity = ((F.col("name_b") + m * prior) / (F.col("name_n") + m)).alias("purity")
+    return named.join(whole, ["host", "name"]).select("host", "template", purity)
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, tree: Tree = Tree()) -> DataFrame:
@@ -199,13 +218,11 @@ def _sql(tree: Tree = Tree()) -> str:
         before = f"level{level - 1}"
         ctes.append(
             f"""level{level} as materialized (with here as (select *, parts[{level + 1}] as part from {before}),
-            counts as (select host, template, part, sum(pages) as n,
-              sum(sum(pages)) over (partition by host, template) as total
-              from here where part is not null group by host, template, part)
+            counts as (select host, template, part, sum(pages) as n from here where part is not null group by host, template, part)
             select h.host, h.shape, h.pages, h.labelled, h.bad,
               case when h.part is null then h.template
                 when h.part = '' or regexp_matches(h.part, '^\\{{[nx]\\}}')
-                  or (n >= {tree.least_pages} and n * 100 >= total * {tree.least_percent})
+                  or n >= {tree.least_pages}
                 then h.template || '/' || h.part else h.template || '/*' end as template, h.parts
             from here h left join counts c on c.host = h.host and c.template = h.template and c.part = h.part)"""
         )
@@ -214,18 +231,28 @@ def _sql(tree: Tree = Tree()) -> str:
     ctes += [
         f"""grown as materialized (select host, shape, labelled, bad,
           case when len(parts) > {tree.depth} then template || '/**' else template end as template from {last})""",
-        """counted as (select host, template, sum(labelled)::double as n, sum(bad)::double as b,
-          regexp_replace(template, '^/[^/{*]+', '/*') as family from grown group by host, template)""",
-        f"""met as (select *, coalesce((b - n * (fb / nullif(fn, 0))) * (b - n * (fb / nullif(fn, 0)))
-            <= {tree.deviations**2} * n * (fb / nullif(fn, 0)) * (1 - (fb / nullif(fn, 0))), true) as alike
-          from (select *, sum(n) over (partition by host, family) as fn, sum(b) over (partition by host, family) as fb,
-            sum(n) over (partition by host) as hn, sum(b) over (partition by host) as hb,
-            sum(n) over () as an, sum(b) over () as ab from counted))""",
+        f"""named{tree.depth} as materialized (select host, template, template as name, sum(labelled)::double as n,
+          sum(bad)::double as b from grown group by host, template)""",
+    ]
+    for level in range(tree.depth - 1, 0, -1):
+        rate = "(fb / nullif(fn, 0))"
+        ctes.append(
+            f"""named{level} as materialized (with nodes as (
+              select host, name, sum(n) as n, sum(b) as b, string_split(name, '/') as parts from named{level + 1} group by host, name),
+            sided as (select *, case when regexp_matches(coalesce(parts[{level + 1}], ''), '^[^{{]')
+              then array_to_string(list_concat(parts[1:{level}], ['*'], parts[{level + 2}:]), '/') else name end as family from nodes),
+            rated as (select *, sum(n) over (partition by host, family) as fn, sum(b) over (partition by host, family) as fb from sided),
+            renamed as (select host, name, case when coalesce((b - n * {rate}) * (b - n * {rate})
+              <= {tree.deviations**2} * n * {rate} * (1 - {rate}), true) then family else name end as next from rated)
+            select t.host, t.template, r.next as name, t.n, t.b from named{level + 1} t join renamed r
+              on r.host = t.host and r.name = t.name)"""
+        )
+    ctes += [
         f"""judged as (select host, template,
-          (case when alike then sum(b) filter (alike) over (partition by host, family) else b end
-            + {m} * ((hb + {m} * coalesce(ab / nullif(an, 0), 0)) / (hn + {m})))
-          / (case when alike then sum(n) filter (alike) over (partition by host, family) else n end + {m}) as purity
-          from met)""",
+          (sum(b) over (partition by host, name) + {m} * ((hb + {m} * coalesce(ab / nullif(an, 0), 0)) / (hn + {m})))
+          / (sum(n) over (partition by host, name) + {m}) as purity
+          from (select *, sum(n) over (partition by host) as hn, sum(b) over (partition by host) as hb,
+            sum(n) over () as an, sum(b) over () as ab from named1))""",
     ]
     return f"""with {', '.join(ctes)}
       select page_id, s.host, s.path, case {rule} end as rule,

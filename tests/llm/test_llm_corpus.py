@@ -604,6 +604,48 @@ def test_remembered_pieces_are_bounded_by_bytes(monkeypatch):
     assert small.held <= 10_000
 
 
+def test_siblings_merge_at_every_level(spark):
+    """Four languages below one section, each with too few labels to be judged alone; deeper ones too."""
+    rows, labels, n = [], [], 0
+    for section, depth in (("blog", ""), ("news", "/a/b"), ("shop", "")):
+        for lang in ("en", "fr", "de", "es"):
+            for i in range(25):
+                n += 1
+                rows.append((n, f"https://h.org/{section}/{lang}{depth}/{n}"))
+                # Two labels each of blog and news, all bad; shop's are all good.
+                if i < 4:
+                    labels.append((n, section != "shop"))
+    for i in range(400):
+        n += 1
+        rows.append((n, f"https://h.org/good/{n}"))
+        labels.append((n, False))
+    frame_ = spark.createDataFrame(rows, "page_id long, url string")
+    out = urls.filter_urls(frame_, spark.createDataFrame(labels, "doc_id long, bad boolean")).collect()
+    verdicts = defaultdict(set)
+    for r in out:
+        verdicts[r["path"].split("/")[1]].add(r["verdict"])
+    assert verdicts == {"blog": {"block"}, "news": {"block"}, "shop": {"allow"}, "good": {"allow"}}
+
+
+def test_url_templates_equal_sql_on_deep_paths(spark, tmp_path):
+    import duckdb
+
+    rnd = np.random.default_rng(9)
+    rows, labels = [], []
+    for i in range(4000):
+        depth = int(rnd.integers(1, 6))
+        path = "/".join(rnd.choice(["a", "b", "c", "{", "x1", str(i % 50)]) for _ in range(depth))
+        rows.append((i, f"http://{rnd.choice(['p.org', 'q.de', 'r.net'])}/{path}/{i}"))
+        labels.append((i, int(rnd.random() < 0.5), int(rnd.random() < (0.8 if path.startswith("a/b") else 0.05))))
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar); create table labels (doc_id bigint, quality int, toxic int)")
+    con.executemany("insert into pages values (?, ?)", rows)
+    con.executemany("insert into labels values (?, ?, ?)", labels)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    known = known.select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    assert oracle.compare(urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), known), con, SQL["op10_url_templates"]) is None
+
+
 # --- sharding ------------------------------------------------------------------------
 
 
