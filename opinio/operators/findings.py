@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from opinio.functions import versions
 from opinio.operators.ranking import top_k
-from opinio.operators.responses import response_by_class, with_response
+from opinio.operators.responses import class_counters, class_rates, with_response
 from opinio.operators.versions import review_cube, sentiment_flag, top_topics_per_version
 from opinio.session import keep
 
@@ -180,14 +180,15 @@ def _topic_rules(df: DataFrame, cube: DataFrame) -> list[DataFrame]:
 def key_findings(df: DataFrame, min_reviews: int = MIN_REVIEWS) -> DataFrame:
     """Findings as rows ``(rule, subject, value, n, finding)``.
 
-    The reviews are read twice: once for the cached per-version cube, from which the
-    version and major-version rules follow, and once for the reply rates by class.
-    Topic rules join in when the frame carries topics.
+    The reviews are read once, for the cached per-version cube, from which the rules on
+    versions, major versions and reply rates by class follow. Topic rules join in when the frame carries topics.
     """
     df = sentiment_flag(df)
     if "has_response" not in df.columns:
         df = with_response(df)
-    raw = keep(review_cube(df, "version"))
+    whole = keep(review_cube(df, "version", more=class_counters(), missing=True))
+    counters = ("negative_n", "negative_responded", "positive_n", "positive_responded")
+    raw = whole.filter(F.col("version").isNotNull())
     cube = raw.filter(F.col("n") >= min_reviews)
     majors = (
         raw.withColumn("major_version", versions.version_part("version", 1))
@@ -199,7 +200,7 @@ def key_findings(df: DataFrame, min_reviews: int = MIN_REVIEWS) -> DataFrame:
         )
         .filter(F.col("n") >= min_reviews)
     )
-    reply = response_by_class(df).filter(
+    reply = class_rates(whole.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counters])).filter(
         F.col("negative_rate") > RESPONSE_FACTOR * F.col("positive_rate")
     )
     frames = [

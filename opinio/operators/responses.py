@@ -48,22 +48,30 @@ def rating_by_response(df: DataFrame) -> DataFrame:
     )
 
 
-def response_by_class(df: DataFrame) -> DataFrame:
-    """Reply rates of negative and positive reviews and their ratio, in one row."""
+def class_counters() -> list[Column]:
+    """Aggregates from which reply rates by class follow; sums of them serve as well."""
     negative, positive = rates.is_negative(), rates.is_positive()
+    return [
+        F.count_if(negative).alias("negative_n"),
+        F.count_if(negative & F.col("has_response")).alias("negative_responded"),
+        F.count_if(positive).alias("positive_n"),
+        F.count_if(positive & F.col("has_response")).alias("positive_responded"),
+    ]
+
+
+def class_rates(counters: DataFrame) -> DataFrame:
     return (
-        df.agg(
-            F.count_if(negative).alias("negative_n"),
-            F.count_if(negative & F.col("has_response")).alias("negative_responded"),
-            F.count_if(positive).alias("positive_n"),
-            F.count_if(positive & F.col("has_response")).alias("positive_responded"),
-        )
-        .withColumn("negative_rate", percent("negative_responded", "negative_n"))
+        counters.withColumn("negative_rate", percent("negative_responded", "negative_n"))
         .withColumn("positive_rate", percent("positive_responded", "positive_n"))
         .withColumn("ratio", F.col("negative_rate") / F.nullif(F.col("positive_rate"), F.lit(0.0)))
     )
 
 
+def response_by_class(df: DataFrame) -> DataFrame:
+    """Reply rates of negative and positive reviews and their ratio, in one row."""
+    return class_rates(df.agg(*class_counters()))
+
+
 def compare_response(df: DataFrame, subset: Column) -> DataFrame:
     """Reply rate of a subset against the whole, from one pass."""
     inside = F.coalesce(subset, F.lit(False))

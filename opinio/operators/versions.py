@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,19 +18,21 @@ def rows() -> Column:
     return F.count(F.lit(1))
 
 
-def review_cube(df: DataFrame, *keys: str) -> DataFrame:
+def review_cube(df: DataFrame, *keys: str, more: Sequence[Column] = (), missing: bool = False) -> DataFrame:
     """One row per key with every count the version reports need.
 
     A single grouped pass: reviews, mean rating, sentiment counts and percentages,
-    replies and reply rate. Everything else is derived from this small frame.
+    replies and reply rate, and any ``more`` aggregates. Everything else is derived from
+    this small frame. Rows without a key count where ``missing``.
     """
-    flags = []
+    flags = list(more)
     if "sentiment" in df.columns:
-        flags = [F.count_if(F.col("sentiment") == s).alias(f"n_{s}") for s in SENTIMENTS]
+        flags += [F.count_if(F.col("sentiment") == s).alias(f"n_{s}") for s in SENTIMENTS]
         flags.append(F.count("sentiment").alias("n_sentiment"))
     if "has_response" in df.columns:
         flags.append(F.count_if(F.col("has_response")).alias("responded"))
-    cube = df.dropna(subset=list(keys)).groupBy(*keys).agg(
+    kept = df if missing else df.dropna(subset=list(keys))
+    cube = kept.groupBy(*keys).agg(
         rows().alias("n"),
         F.sum("rating").alias("rating_sum"),
         F.count("rating").alias("n_rated"),

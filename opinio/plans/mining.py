@@ -296,12 +296,25 @@ def cluster_keywords(spark, sf):
 
 @query("ML6_combined_analysis")
 def combined_analysis(spark, sf):
-    result = analysis.analyze(text_reviews(spark, sf).drop("sentiment"), stops=text.stop_words(), n_topics=5)
+    rows = text_reviews(spark, sf).drop("sentiment")
+    result = analysis.analyze(rows, analysis.TYPES, stops=text.stop_words(), n_topics=5)
     return result["reviews"].select(
-        "review_id", "rating", "sentiment", "sentiment_compound", "primary_topic", "topic_confidence"
+        "review_id", "rating", "sentiment", "sentiment_compound", "primary_topic", "topic_confidence", "cluster"
     )
 
 
+@query("ML6_other_frames")
+def combined_frames(spark, sf):
+    """Trend, keyword and topic-word frames of the combined analysis, one line each."""
+    rows = text_reviews(spark, sf).drop("sentiment")
+    result = analysis.analyze(rows, ("topics", "trends", "keywords"), stops=text.stop_words(), n_topics=5)
+    lines = [
+        result[name].select(F.lit(name).alias("frame"), F.to_json(F.struct(*result[name].columns)).alias("line"))
+        for name in ("topic_words", "trends", "keywords")
+    ]
+    return lines[0].unionByName(lines[1]).unionByName(lines[2])
+
+
 @query("A9_topic_by_version")
 def topic_by_version(spark, sf):
     rows, _ = topic_reviews(spark, sf)
