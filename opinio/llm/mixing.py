@@ -231,18 +231,14 @@ def taken(plan: Mix) -> DataFrame:
     )
 
 
-#: Slots of the schedule whose documents are written together.
-SLOTS_TOGETHER = 1024
-
-
 def mixed_documents(docs: DataFrame, plan: Mix) -> DataFrame:
     """``docs`` as often as ``plan``, made from them, takes them, with the words it takes.
 
     A document comes once for each time it is taken whole. One that the end of the mix
     cuts comes once more with its first words, joined by blanks; ``n_chars``, where ``docs``
     has it, is that of the cut text. Documents that are not taken do not come. Rows are dealt
-    out and sorted by the slot in which they begin, so that any stretch of a written part
-    holds the sources in their shares. An empty table gives no rows; columns may have any names.
+    out by hash, whatever their source, and each part is sorted by the slot in which they
+    begin, so that any stretch of a written part holds the sources in their shares. An empty table gives no rows; columns may have any names.
     """
     skey = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     rows = docs.select(
@@ -254,8 +250,11 @@ def mixed_documents(docs: DataFrame, plan: Mix) -> DataFrame:
     # Whole times and, of the last, the words and the slots it begins in: at most one a time.
     begins = F.array_sort(F.collect_list(F.when(F.col("from_word") == 0, F.col("slot"))))
     words = plan.pieces.groupBy("doc_id", "skey", "size", "copy").agg(F.sum("words").alias("_taken"), begins.alias("_slots"))
-    words = words.toDF("_id_", "_skey_", "_size_", "_copy_", "_taken", "_slots")
-    met = rows.join(words, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in ("_id", "_skey", "_size", "_copy")])
+    # One key without nulls: texts are dealt out by it once, for the join and for the order.
+    key = lambda *c: F.to_json(F.struct(*[F.col(n).alias(k) for n, k in zip(c, "abcd")])).alias("_key")
+    words = words.select(key("doc_id", "skey", "size", "copy"), "_taken", "_slots")
+    rows = rows.select("_doc", "_text", "_size", key("_id", "_skey", "_size", "_copy")).repartition("_key")
+    met = rows.join(words, "_key")
     whole = F.floor(F.col("_taken") / F.col("_size")).cast("int")
     rest = (F.col("_taken") % F.col("_size")).cast("int")
     times = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
@@ -264,8 +263,7 @@ def mixed_documents(docs: DataFrame, plan: Mix) -> DataFrame:
     taken_words = F.slice(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)), 1, F.greatest("_cut", F.lit(0)))
     cut = F.col("_cut") >= 0
     out = out.select("_doc", "_cut", slot.alias("_slot"), F.when(cut, F.array_join(taken_words, " ")).otherwise(F.col("_text")).alias("_text"))
-    out = out.withColumn("_part", F.floor(F.col("_slot") / SLOTS_TOGETHER))
-    out = out.repartition("_part").sortWithinPartitions("_part", "_slot", F.xxhash64("_text"))
+    out = out.sortWithinPartitions("_slot", F.xxhash64("_text"))
     values = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
         n = F.length("_text").cast(docs.schema["n_chars"].dataType)
