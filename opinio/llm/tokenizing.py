@@ -1,8 +1,8 @@
 """Token ids of the public byte-level BPE vocabularies, fast enough for whole corpora.
 
 The vocabulary never joins characters across a blank that precedes a word, so a text is
-cut there and the ids of each cut piece are kept in a table of recent pieces, emptied when
-it is full. Pieces not in it are encoded from the vocabulary's ranks. Texts that contain a special
+cut there and the ids of each cut piece are kept in a table of recent pieces. When it is half
+full it becomes the older of two, of which pieces in use move to the new one. Pieces not in it are encoded from the vocabulary's ranks. Texts that contain a special
 token's own string go through the tokenizer itself, as its default setting reads them.
 """
 
@@ -62,6 +62,7 @@ class Encoder:
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
     def _ids(self, piece: str) -> bytes:
@@ -78,11 +79,11 @@ class Encoder:
                 words[-1] += " "
             else:
                 first += " "
-        if self.held > REMEMBERED:
-            self.known, self.held = {}, 0
+        if self.held > REMEMBERED // 2:
+            self.older, self.known, self.held = self.known, {}, 0
         known = self.known
         for word in set(words).difference(known):
-            known[word] = ids = self._ids(" " + word)
+            known[word] = ids = self.older.get(word) or self._ids(" " + word)
             self.held += len(word) + len(ids) + PER_PIECE
         return self._ids(first) + b"".join([known[w] for w in words])
 
