@@ -27,9 +27,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares four fifths of its shingles, that of the smallest id."""
+    """One document of each group, that of the smallest id.
+
+    Linked are documents whose SimHash fingerprints differ in four bits at most, and such as
+    share four fifths of their shingles, most of which four bits cannot tell.
+    """
     prepare(spark)
-    return simhash.one_of_near_copies(docs)
+    return simhash.one_of_near_copies(docs, bits=4)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -325,18 +325,34 @@ def _similar(words: int, similarity: float):
     return share
 
 
-def one_of_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def _print_links(narrow: DataFrame, bits: int) -> DataFrame:
+    """Links among the ``digest`` of rows whose fingerprints ``fp`` close pairs join.
+
+    A star of each component of fingerprints, from its smallest digest to the others.
+    """
+    held = work_table(narrow.select("digest", "fp").distinct(), "near-prints")
+    roots = components(linked(held.select("fp").distinct(), bits)).withColumnRenamed("node", "fp")
+    named = held.join(work_table(roots, "near-print-roots"), "fp", "left").select("digest", F.coalesce("root", "fp").alias("root"))
+    middle = named.groupBy("root").agg(F.min("digest").alias("a"))
+    return named.join(middle, "root").filter("a <> digest").select("a", F.col("digest").alias("b")).distinct()
+
+
+def one_of_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int | None = None) -> DataFrame:
     """``docs`` without near copies: of each group the row of the smallest doc_id.
 
     Two texts are linked where they share at least ``similarity`` of their distinct shingles of
     ``words`` words; a text with fewer words is one shingle, and null and wordless texts
     are all alike. Candidates agree in a block of their wide fingerprints and in ``ALIKE`` of
     its parts, which misses few of the links and lets most others go; what is linked has been
-    verified on the whole sets of shingles. Ids, repeated rows and empty tables are as in
+    verified on the whole sets of shingles. With ``bits``, texts are also linked where their
+    fingerprints (:func:`fingerprint`) differ in at most so many; groups follow from both kinds
+    of links together. Ids, repeated rows and empty tables are as in
     :func:`one_of_each`; columns may have any names.
     """
-    sign = docs.select("doc_id", _text_key().alias("key"), signatures("text", words).alias("s"))
-    narrow = work_table(sign.select("doc_id", "key", "s.digest", "s.minima", "s.blocks"), "near-signs")
+    prints = [] if bits is None else [fingerprint("text").alias("fp")]
+    sign = docs.select("doc_id", _text_key().alias("key"), signatures("text", words).alias("s"), *prints)
+    sign = sign.select("doc_id", "key", "s.digest", "s.minima", "s.blocks", *["fp" for _ in prints])
+    narrow = work_table(sign, "near-signs")
     nodes = narrow.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"))
     nodes = work_table(nodes, "near-nodes")
     lead = nodes.select("key").join(narrow.select("key", "digest", "minima", "blocks"), "key").dropDuplicates(["digest"])
@@ -360,6 +376,8 @@ def one_of_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     # The members first, so that a leader of many is met with rows that can be split.
     both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "of_a", "of_b")
     links = both.mapInArrow(_similar(words, similarity), "a long, b long")
+    if bits is not None:
+        links = links.unionByName(_print_links(narrow, bits))
     roots = work_table(components(links), "near-roots").withColumnRenamed("node", "digest")
     named = nodes.select("digest", "least").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))

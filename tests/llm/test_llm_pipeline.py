@@ -192,3 +192,17 @@ def test_odd_rows_pass_through(spark, sf):
         assert out.count() > 0
         assert stage(spark, docs.limit(0), sf).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.select(F.col("doc_id"), "text"), sf).count() > len(ODD)
+
+
+def test_links_of_fingerprints_count_in_the_pipeline(spark, sf):
+    """Texts of one fingerprint whose shingles have less than four fifths in common."""
+    words = "a b c d e f g h i j k l m n o p q r s t".split()
+    line = " ".join(words)
+    # A shingle of four words repeated weighs more in a fingerprint than in a set of shingles.
+    rows = [(1, " ".join([line] * 40)), (2, " ".join([line] * 40) + " u v w x y z uu vv ww xx"), (3, "something else entirely , of other words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = [slow_fingerprint(t) for _, t in rows]
+    assert bin(prints[0] ^ prints[1]).count("1") <= 4 and not list(similar_pairs(rows))
+    assert {r["doc_id"] for r in simhash.one_of_near_copies(docs).collect()} == {1, 2, 3}
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {1, 3}
