@@ -35,15 +35,16 @@ class Calibrated:
         return out.select(*[c for c in df.columns if c != "features"], F.least(F.lit(1.0), blend).alias("score"))
 
 
-def fit(rows: DataFrame, rounds: int = 20, depth: int = 3, seed: int = 7) -> Calibrated:
+def fit(rows: DataFrame, rounds: int = 20, depth: int = 3, seed: int = 7, parts: int | None = 4) -> Calibrated:
     """Fit from ``(features array<double>, label int, calibrate boolean)``.
 
     Trees learn from the rows that are not for calibration. Without rows of both classes
-    the score is the share of ones, and zero without rows.
+    the score is the share of ones, and zero without rows. ``parts`` None leaves rows where
+    they lie.
     """
     rows = rows.select(array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label"), "calibrate")
-    # A bounded sample: a few partitions make its many short jobs short.
-    rows = rows.repartition(4).persist()
+    # Of a bounded sample a few partitions make its many short jobs short.
+    rows = (rows.repartition(parts) if parts else rows).persist()
     counts = {(r["calibrate"], r["label"]): r["count"] for r in rows.groupBy("calibrate", "label").count().collect()}
     ones, zeros = counts.get((False, 1.0), 0), counts.get((False, 0.0), 0)
     if not ones or not zeros:

@@ -3,7 +3,7 @@
 Mail and network addresses, card and telephone numbers that pass their checks are always
 taken. Further generators, and matches that fail a check, are open candidates. Of them, a
 number behind a telling word and a written address that reads as one are told by
-``likely`` and taken. Trees trained on what it says of a bounded sample's open candidates
+``likely`` and taken. Trees trained on what it says of the open candidates of all texts
 see format and the rest of the context, not the telling words, and add what looks the
 same. Their threshold is the lowest score that keeps the asked-for precision over open
 candidates on rows held out from the trees.
@@ -53,8 +53,6 @@ CONTEXT = 30
 
 @dataclass(frozen=True)
 class Choice:
-    #: Texts whose candidates the trees learn from, at most about so many, by hash.
-    texts: int = 50_000
     #: Share of the selected candidates that must pass their check on held-out rows.
     precision: float = 0.99
 
@@ -241,14 +239,11 @@ def _marked(docs: DataFrame, choice: Choice, carried: list[str]) -> DataFrame:
     rows = docs.select(F.struct(*carried).alias("_doc"), candidates(text).alias("_all"))
     rows = rows.withColumns({"_row": F.monotonically_increasing_id(), "_some": F.size("_all") > 0})
     rows = work_table(rows, "privacy-rows")
-    n = rows.count()
-    share = min(1.0, choice.texts / n) if n else 1.0
     each = work_table(places(rows.filter("_some")), "privacy-candidates")
-    learned = F.pmod(F.xxhash64("_row"), F.lit(1_000_000)) < int(share * 1_000_000)
     calibrate = F.pmod(F.xxhash64("_row", F.lit("calibrate")), F.lit(3)) == 0
     open_ = each.filter("open")
-    shown = open_.filter(learned).select("features", F.col("likely").cast("int").alias("label"), calibrate.alias("calibrate"))
-    model = fit(shown)
+    shown = open_.select("features", F.col("likely").cast("int").alias("label"), calibrate.alias("calibrate"))
+    model = fit(shown, parts=None)
     if model.trees is None:
         extra = open_.filter("likely")
     else:
@@ -272,7 +267,7 @@ def personal_spans(docs: DataFrame, choice: Choice = Choice(), keep: tuple[str,
     what spans cover, overlapping ones as one. A null text is empty and has
     no spans. Repeated rows each keep their own row; null ids, clashing names of other
     columns and an empty table are fine. Time and memory grow with a text's candidates in proportion.
-    Where a sample holds too few candidates to learn from, only the likely ones are added.
+    Where the texts hold too few candidates to learn from, only the likely ones are added.
     """
     marked = _marked(docs, choice, list(dict.fromkeys(["doc_id", *keep])))
     return marked.select("_doc.doc_id", *[F.col("_doc")[c].alias(c) for c in keep], "base", "spans", "stretches")

@@ -483,6 +483,16 @@ def test_local_numbers_and_written_addresses_are_selected(spark):
     assert got[603] == [("number", "0151 2345678"), ("phone", "+1 (222) 333-4444"), ("written_email", "jo[at]x[dot]org")]
 
 
+def test_all_open_candidates_are_learned_from(spark, monkeypatch):
+    """More texts than a sample of 50,000 would hold: trees and threshold see each candidate."""
+    seen = []
+    fit = privacy.fit
+    monkeypatch.setattr(privacy, "fit", lambda shown, **kw: seen.append(shown.count()) or fit(shown, **kw))
+    docs = spark.range(0, 60_000, numPartitions=4).select(F.col("id").alias("doc_id"), F.concat(F.lit("order 7000"), F.col("id") + 100_000).alias("text"))
+    assert privacy.personal_spans(docs).filter("size(spans) = 0").count() == 60_000
+    assert seen == [60_000]
+
+
 def test_privacy_odd_rows(odd, none):
     rows = privacy.personal_spans(odd, keep=("source", "size", "score")).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(r[0] for r in ODD)
