@@ -24,6 +24,7 @@ from opinio.plans.base import (
     words_sql,
 )
 from opinio.plans.rows import CODE
+from opinio.session import keep
 
 
 def documents(spark, sf):
@@ -86,9 +87,10 @@ def lemma_rule(column):
           ' ') as lemmas from documents""",
 )
 def lemmatize(spark, sf):
-    docs = documents(spark, sf).select("doc_id", text.words(text.clean_text("text")).alias("tokens"))
+    docs = keep(documents(spark, sf).select("doc_id", text.words(text.clean_text("text")).alias("tokens")))
     forms = tokens.one_per_row(docs, "tokens", "form").distinct()
-    table_ = forms.select("form", lemma_rule("form").alias("lemma")).filter("form <> lemma")
+    table_ = keep(forms.select("form", lemma_rule("form").alias("lemma")).filter("form <> lemma"))
+    table_.count()
     rows = tokens.lemmatize_tokens(docs, "doc_id", "tokens", table_)
     return rows.select("doc_id", F.array_join("lemmas", " ").alias("lemmas"))
 
@@ -100,7 +102,9 @@ def dictionary(spark, sf):
 
 
 def rule_lemmas(spark, sf):
-    words = dictionary(spark, sf)
+    # Each text is taken apart once; forms and dictionary are both read from these words.
+    words = keep(dictionary(spark, sf))
+    words.count()
     irregular = spark.createDataFrame(sorted(IRREGULAR.items()), "form string, lemma string")
     return tokens.lemmas_by_rule(words.withColumnRenamed("lemma", "form"), words, irregular)
 
