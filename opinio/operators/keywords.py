@@ -104,6 +104,8 @@ def keywords(
     ``frequency`` counts white-space tokens equal to the keyword; ``doc_count`` counts
     documents holding it as a whole word in any case; the share is over all rows.
     """
+    # Texts are worked out once, for their number, terms and words.
+    df = keep(df.select(key, column))
     n = df.count()
     weights = tfidf(df, key, column, stops, documents=n, **limits)
     scored = weights.groupBy("term").agg(
@@ -111,7 +113,7 @@ def keywords(
     )
     top = top_k(scored, k, F.desc(F.round("score", 6)), F.asc("term"))
     frequency = (
-        one_per_row(laid_out(df, key, column), text.words(column), "term")
+        one_per_row(df, text.words(column), "term")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("frequency"))
     )
