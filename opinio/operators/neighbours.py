@@ -10,6 +10,7 @@ broadcast by its size, a large one is shuffled.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -25,6 +26,12 @@ from opinio.session import scratch_path
 #: Bytes of vectors in one block.
 BLOCK_BYTES = 512 << 10
 
+#: Blocks of queries that one task holds against its part of the collection.
+CELL_BLOCKS = 128
+
+#: Pairs compared exactly at once; neighbours a task holds before it passes them on.
+COMPARED, HELD = 1 << 15, 1 << 22
+
 #: Decimals of a distance: equal rows stay equal whatever the order of summation.
 DECIMALS = 12
 
@@ -116,34 +123,86 @@ def blocks(rows: DataFrame) -> DataFrame:
     return rows.select("list", "entry", "vector").mapInArrow(pack, packed)
 
 
-def _nearest(query: np.ndarray, rows: np.ndarray, order: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query the places of its ``k`` nearest rows and their squared distances.
+class _Best:
+    """The nearest rows met so far of the queries of one block.
 
-    The expanded square finds who may be among them; differences, exact for near-identical
-    vectors, settle it.
+    ``bound`` is the score of each query's ``k``-th: what is further need not be looked at.
     """
-    of_query, of_rows = (query * query).sum(axis=1), (rows * rows).sum(axis=1)
-    rough = of_query[:, None] + of_rows[None, :] - 2 * (query @ rows.T)
-    slack = 8 * (query.shape[1] + 4) * np.finfo(float).eps * (of_query + of_rows.max(initial=0)) + 10.0**-DECIMALS
-    for i, vector in enumerate(query):
-        near = np.arange(len(rows))
-        if len(rows) > k:
-            near = np.flatnonzero(rough[i] <= np.partition(rough[i], k - 1)[k - 1] + 2 * slack[i])
-        diff = rows[near] - vector
-        score = np.round(np.einsum("ij,ij->i", diff, diff), DECIMALS)
-        first = np.lexsort((order[near], score))[:k]
-        yield i, near[first], score[first]
+
+    def __init__(self, asked: pa.Array, k: int) -> None:
+        self.asked, self.k = asked, k
+        self.scores = np.full((len(asked), k), np.inf)
+        self.bound = self.scores[:, -1]
+        self.held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+        self.rows = 0
+
+    def meet(self, query: np.ndarray, rows: np.ndarray, entries: pa.Array, order: np.ndarray) -> None:
+        """The expanded square finds who may be near; differences, exact for near-identical
+        vectors, settle it."""
+        k = self.k
+        of_query, of_rows = (query * query).sum(axis=1), (rows * rows).sum(axis=1)
+        rough = of_query[:, None] + of_rows[None, :] - 2 * (query @ rows.T)
+        slack = 8 * (query.shape[1] + 4) * np.finfo(float).eps * (of_query + of_rows.max(initial=0)) + 10.0**-DECIMALS
+        limit = self.bound
+        if len(rows) > k and np.isinf(limit).any():
+            limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1] + slack)
+        near = rough <= (limit + slack)[:, None]
+        upto = np.cumsum(near.sum(axis=1))
+        for part in np.split(np.arange(len(query)), np.flatnonzero(np.diff(upto // COMPARED)) + 1):
+            of, at = np.nonzero(near[part])
+            of = part[of]
+            diff = rows[at] - query[of]
+            score = np.round(np.einsum("ij,ij->i", diff, diff), DECIMALS)
+            first = np.lexsort((order[at], score, of))
+            of, at, score = of[first], at[first], score[first]
+            place = np.arange(len(of)) - np.searchsorted(of, of)
+            kept = (place < k) & (score <= self.bound[of])
+            of, at, score, place = of[kept], at[kept], score[kept], place[kept]
+            if not len(of):
+                continue
+            new = np.full((len(part), k), np.inf)
+            new[of - part[0], place] = score
+            both = np.concatenate([self.scores[part], new], axis=1)
+            self.scores[part] = np.sort(both, axis=1)[:, :k]
+            self.held.append((of, entries.take(pa.array(at)), score))
+            self.rows += len(of)
+        self.bound = self.scores[:, -1]
+        if self.rows > 8 * self.scores.size:
+            self.held = [self.best()]
+            self.rows = len(self.held[0][0])
+
+    def best(self) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        of, score = (np.concatenate([h[i] for h in self.held]) for i in (0, 2))
+        entries = pa.concat_arrays([h[1] for h in self.held])
+        table = pa.table({"of": of, "score": score, "id": entries.field(0)})
+        first = pc.sort_indices(table, [(c, "ascending") for c in ("of", "score", "id")]).to_numpy()
+        sorted_ = of[first]
+        first = first[np.arange(len(of)) - np.searchsorted(sorted_, sorted_) < self.k]
+        return of[first], entries.take(pa.array(first)), score[first]
 
 
 def _scored(pairs: DataFrame, k: int) -> DataFrame:
-    """``(asked, entry, score)`` of joined blocks: the ``k`` nearest of each pair of blocks."""
+    """``(asked, entry, score)`` of joined blocks: the ``k`` nearest of all that a task meets.
+
+    ``_block`` tells blocks of queries apart.
+    """
     asked_type, entry_type = (pairs.schema[c].dataType.elementType for c in ("asked", "entries"))
     schema = pa.schema([("asked", to_arrow_type(asked_type)), ("entry", to_arrow_type(entry_type)), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: dict[int, _Best] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for found in open_.values():
+                if found.held:
+                    of, entries, score = found.best()
+                    columns = [found.asked.take(pa.array(of)), entries, pa.array(score)]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+            open_.clear()
+
         for batch in batches:
             for at in range(batch.num_rows):
-                dims = batch.column(0)[at].as_py()
+                dims, block = batch.column(0)[at].as_py(), batch.column(5)[at].as_py()
                 sides = []
                 for entries, vectors in ((1, 2), (3, 4)):
                     sides.append(batch.column(entries)[at].values)
@@ -151,15 +210,15 @@ def _scored(pairs: DataFrame, k: int) -> DataFrame:
                 asked, query, entries, rows = sides
                 order = np.empty(len(rows), dtype=np.int64)
                 order[pc.sort_indices(entries.field(0)).to_numpy()] = np.arange(len(rows))
-                found = list(_nearest(query, rows, order, k))
-                of = np.concatenate([np.full(len(p), i) for i, p, _ in found])
-                places = np.concatenate([p for _, p, _ in found])
-                score = np.concatenate([s for _, _, s in found])
-                columns = [asked.take(pa.array(of)), entries.take(pa.array(places)), pa.array(score)]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+                if block not in open_:
+                    open_[block] = _Best(asked, k)
+                open_[block].meet(query, rows, entries, order)
+            if sum(found.rows for found in open_.values()) > HELD:
+                yield from out()
+        yield from out()
 
     kinds = f"asked {asked_type.simpleString()}, entry {entry_type.simpleString()}, score double"
-    return pairs.select("dims", "asked", "asked_vectors", "entries", "vectors").mapInArrow(run, kinds)
+    return pairs.select("dims", "asked", "asked_vectors", "entries", "vectors", "_block").mapInArrow(run, kinds)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -198,12 +257,19 @@ def nearest_join(
     """
     asked = blocks(_queries(queries).withColumn("list", F.lit(0)))
     asked = _stored(asked.withColumn("_block", F.monotonically_increasing_id()), "query-blocks")
-    cells = max(1, asked.count())
+    # A grid of cells: queries by rows. Each side is sent as often as the other has parts, so
+    # that what is moved grows with the rows, not with their square.
+    n = max(1, asked.count())
+    tasks = 4 * collection.sparkSession.sparkContext.defaultParallelism
+    cells = min(n, max(math.ceil(n / CELL_BLOCKS), math.ceil(tasks**0.5)))
+    parts = math.ceil(tasks / cells)
     cell = F.pmod(F.xxhash64("_block"), F.lit(cells)).cast("int")
-    asked = asked.select("dims", cell.alias("cell"), F.col("entries").alias("asked"), F.col("vectors").alias("asked_vectors"))
+    asked = asked.select("dims", "_block", cell.alias("cell"), F.col("entries").alias("asked"), F.col("vectors").alias("asked_vectors"))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     rows = blocks(_entries(collection.filter(matches(criteria)), id_column, keep, F.lit(0).alias("list")))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("entries"), F.lit(parts)).cast("int"))
     dealt = rows.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    return _ranked(_scored(dealt.join(asked, ["dims", "cell"]), k), k)
+    return _ranked(_scored(dealt.join(asked, ["dims", "cell", "part"]), k), k)
 
 
 # --- inverted index ----------------------------------------------------------------
@@ -361,4 +427,7 @@ def search_index(
         stored = stored.filter(F.col("list").isin(wanted)) if wanted else stored.limit(0)
     spread = asked.repartitionByRange("list", "entry._row").sortWithinPartitions("list")
     packed = blocks(spread).withColumnsRenamed({"entries": "asked", "vectors": "asked_vectors"})
-    return _ranked(_scored(blocks(stored).join(packed, ["list", "dims"]), k), k)
+    packed = packed.withColumn("_block", F.monotonically_increasing_id())
+    # A query is there once for each list it looks at. Stored, these repeats take next to no
+    # room, so the planner would take them for few and send all of them to the driver.
+    return _ranked(_scored(blocks(stored).join(packed.hint("merge"), ["list", "dims"]), k), k)

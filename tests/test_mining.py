@@ -1,11 +1,13 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from opinio.operators import analysis, clusters, keywords, neighbours, prompts, sampling, sentiment, topics, vectors
+from opinio.operators import analysis, clusters, keywords, neighbours, prompts, sampling, sentiment, tokens, topics, vectors
 from opinio.functions import lexicon as lex
+from opinio.functions import text
 from opinio.session import scratch_path
 
 TEXTS = ["battery drains fast battery", "battery drains overnight", "login screen crash", "login crash again", ""]
@@ -368,3 +370,56 @@ def test_token_estimate(spark):
     assert rows["gpt-4"]["status"] == "Exceeds limit" and rows["gpt-4o"]["status"] == "Within limit"
     assert rows["gpt-4"]["total_tokens"] == 7500 + 10 + 1800
     assert rows["gpt-4o"]["estimated_cost"] == pytest.approx(7510 / 1000 * 0.01 + 1.8 * 0.02, abs=1e-4)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_worked_out_once(spark):
+    """The filter on a computed text is not pushed below what computes it."""
+    docs = spark.createDataFrame([(1, "a text"), (2, ""), (3, None)], "id int, text string")
+    cleaned = docs.select("id", text.clean_text("text").alias("c"))
+    got = tokens.with_text(cleaned, "c", "id")
+    assert [tuple(r) for r in got.collect()] == [(1, "a text")]
+    assert plan_of(got).count("(?:http|www)") == 1 < plan_of(cleaned.filter("length(c) > 0")).count("(?:http|www)")
+
+
+def test_word_lists_have_a_known_size(spark):
+    for table in (lex.word_table(spark), lex.phrase_table(spark, {"of the": 1})):
+        assert plan_of(table).startswith("LocalRelation") and dict(table.dtypes)["valence"] == "double"
+
+
+def test_stems_are_looked_up_by_distinct_token(spark):
+    rows = [(1, ["Running", "cats", "relational", "Is"]), (2, []), (3, None), (4, ["cats", "cats"])]
+    df = spark.createDataFrame(rows, "id int, t array<string>")
+    got = tokens.stem_tokens(df, "id", "t")
+    assert {r["id"]: r["stems"] for r in got.collect()} == {1: ["run", "cat", "relat", "Is"], 2: [], 3: [], 4: ["cat", "cat"]}
+    # Stemming stands before the join, over distinct tokens: nothing of it is in the plan of the rows.
+    assert "ational" not in plan_of(got).split("InMemoryRelation")[0]
+
+
+def test_a_task_holds_the_nearest_of_all_blocks_it_meets():
+    rng = np.random.default_rng(1)
+    query, rows = rng.integers(0, 3, (40, 4)).astype(float), rng.integers(0, 3, (3000, 4)).astype(float)
+    best = neighbours._Best(pa.array(range(40)), 3)
+    for i in range(0, 3000, 100):
+        ids = pa.array(np.arange(i, i + 100))
+        entries = pa.StructArray.from_arrays([ids], names=["id"])
+        best.meet(query, rows[i : i + 100], entries, np.arange(100))
+        assert best.rows <= 9 * 40 * 3
+    of, entries, score = best.best()
+    for q in range(40):
+        distance = ((rows - query[q]) ** 2).sum(axis=1)
+        first = np.lexsort((np.arange(3000), distance))[:3]
+        mine = of == q
+        assert entries.field(0).to_numpy()[mine].tolist() == first.tolist() and score[mine].tolist() == distance[first].tolist()
+
+
+def test_queries_of_an_index_are_not_sent_to_the_driver(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i)]) for i in range(60)], "id int, embedding array<double>")
+    path = neighbours.build_index(rows, scratch_path(spark, "merge-index"))
+    asked = rows.select(F.col("id").alias("query_id"), "embedding")
+    found = neighbours.search_index(spark, path, asked, 3)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert found.count() == 180
