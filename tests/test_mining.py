@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from opinio.operators import analysis, clusters, keywords, neighbours, prompts, sampling, sentiment, tokens, topics, vectors
+from opinio.operators import analysis, blocks, clusters, keywords, neighbours, prompts, sampling, sentiment, tokens, topics, vectors
 from opinio.functions import lexicon as lex
 from opinio.functions import text
 from opinio.session import scratch_path
@@ -114,6 +114,55 @@ def test_nmf_separates_disjoint_subjects(corpus):
     assert all(r["primary_topic"] is None for r in rows if not r["text"])
 
 
+def test_nmf_takes_rows_that_share_a_key_as_one_document(spark):
+    once = [(i, f"{'battery drains' if i % 2 else 'login screen'} w{i} w{i + 2}") for i in range(20)]
+    halves = [(i, half) for i, t in once for half in (t.rsplit(" ", 2)[0], " ".join(t.split()[-2:]))]
+    fits = []
+    for rows in (once, halves):
+        df = spark.createDataFrame([*rows, (None, "battery login")], "review_id int, text string")
+        found = topics.nmf_topics(df, k=2, stops=(), iterations=20).documents.distinct()
+        fits.append({r[0]: r[1:] for r in found.collect()})
+    assert fits[0].keys() == fits[1].keys() and fits[0][None] == (None, None)
+    assert all(fits[0][i] == pytest.approx(fits[1][i]) for i in range(20))
+
+
+def test_passes_move_blocks_in_as_many_tasks_as_there_are_cores_for(spark):
+    """Not a task for each of many partitions, and no row per number that is added up."""
+    rows = [(i, [f"w{j}" for j in range(i % 7)], i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>, grp int").select("id", "grp", "tokens").repartition(40)
+    places = [{f"w{j}": (j, 1.0 + j) for j in range(5)}, {"w3": (0, 2.0)}]
+    packed = df.mapInArrow(blocks.packed(places, unit=False), blocks.block_schema("int"))
+    dealt = blocks.dealt(packed)
+    assert dealt.rdd.getNumPartitions() <= blocks.TASKS_PER_CORE * spark.sparkContext.defaultParallelism < 40
+    got = {r["id"]: (r["grp"], list(r["at"]), list(r["weight"])) for r in blocks.unpacked(dealt, "id", "int").collect()}
+    assert got == {
+        i: (g, [0], [2.0]) if g and "w3" in t else (g, [], []) if g else (g, list(range(min(len(t), 5))), [1.0 + j for j in range(min(len(t), 5))])
+        for i, t, g in rows
+    }
+
+    def sums(batches):
+        total = np.zeros(20_000)
+        for batch in batches:
+            for group, lengths, at, weight in blocks.entries(batch):
+                np.add.at(total, 10_000 * group + at, weight)
+                total[-1] += len(lengths)
+        yield from blocks.pieces(total)
+
+    parts = dealt.mapInArrow(sums, blocks.PIECES)
+    # Two of the three pieces hold anything but zeros.
+    assert parts.count() <= 3 * blocks.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    whole = blocks.added(parts, 20_000)
+    assert whole[-1] == 400 and whole[10_000] == 2.0 * sum(g and "w3" in t for _, t, g in rows)
+    assert whole[4] == 5.0 * sum(not g and "w4" in t for _, t, g in rows)
+
+
+def test_terms_are_counted_by_group(spark):
+    rows = [(0, ["a", "b", "a"]), (0, ["a"]), (1, ["b"]), (1, []), (1, ["b", "b"])]
+    df = spark.createDataFrame(rows, "grp int, tokens array<string>").coalesce(1)
+    got = {tuple(r) for r in df.mapInArrow(blocks.counted, blocks.COUNTS).collect()}
+    assert got == {(0, "a", 3, 2), (0, "b", 1, 1), (1, "b", 3, 2)}
+
+
 def test_clusters_and_their_keywords(corpus):
     out = clusters.cluster_reviews(corpus, k=2, include_keywords=True, starts=2)
     rows = out.join(corpus, "review_id").collect()
