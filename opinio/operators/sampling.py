@@ -128,7 +128,7 @@ def cluster_sample(
         fits = fit_groups(vectors, key, k, starts, seed)
         found = keep(assigned(vectors, key, fits).select(key, "cluster"))
         found.count()
-        vectors.rows.unpersist()
+        vectors.blocks.unpersist()
         ids = ids.join(found, key, "left").fillna({"cluster": -1})
     else:
         ids = ids.withColumn("cluster", F.lit(-1))
