@@ -141,14 +141,21 @@ def basic_clean(c: Column | str) -> Column:
 
 def words(c: Column | str) -> Column:
     """White-space words of any text; null and blank give an empty array."""
-    line = squeeze(F.coalesce(_col(c), F.lit("")))
+    return _split(squeeze(F.coalesce(_col(c), F.lit(""))))
+
+
+def _split(line: Column) -> Column:
     # One plain blank between words: the split needs no regular expression.
     return F.array_remove(F.split(line, " "), "")
 
 
-def tokenize(c: Column | str) -> Column:
-    """Word tokens of cleaned text, with joined contractions split."""
-    return words(_replace(_col(c), _SPLIT_POINT, "$0 ", *_JOINED))
+def tokenize(c: Column | str, squeezed: bool = False) -> Column:
+    """Word tokens of cleaned text, with joined contractions split.
+
+    In text that is ``squeezed``, as ``clean_text`` gives it, blanks need no second look.
+    """
+    line = _replace(_col(c), _SPLIT_POINT, "$0 ", *_JOINED)
+    return _split(F.coalesce(line, F.lit(""))) if squeezed else words(line)
 
 
 def terms(c: Column | str) -> Column:
@@ -204,9 +211,10 @@ def normalize_text(
     stops: Iterable[str],
     lemmas: Mapping[str, str] | None = None,
     shortest: int = 3,
+    squeezed: bool = False,
 ) -> Column:
     """Tokenise, drop stop words (exact), lemmatise, drop short tokens, join."""
-    tokens = remove_stopwords(tokenize(c), stops, exact=True)
+    tokens = remove_stopwords(tokenize(c, squeezed), stops, exact=True)
     if lemmas:
         tokens = lemmatize(tokens, lemmas)
     return F.array_join(drop_short(tokens, shortest), " ")

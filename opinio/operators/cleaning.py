@@ -67,7 +67,7 @@ def preprocess(
     stops = text.chosen_stops(stops)
     out = df.withColumn("cleaned_text", text.clean_text(column))
     if isinstance(lemmas, DataFrame) or stem:
-        tokens = text.remove_stopwords(text.tokenize("cleaned_text"), stops, exact=True)
+        tokens = text.remove_stopwords(text.tokenize("cleaned_text", squeezed=True), stops, exact=True)
         rows = out.select(key, tokens.alias("_tokens"))
         if isinstance(lemmas, DataFrame):
             rows = lemmatize_tokens(rows, key, "_tokens", lemmas).withColumnRenamed("lemmas", "_tokens")
@@ -80,7 +80,7 @@ def preprocess(
         rows = rows.select(F.col(key).alias("_key"), joined)
         out = out.join(rows, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
     else:
-        out = out.withColumn("normalized_text", text.normalize_text("cleaned_text", stops, lemmas))
+        out = out.withColumn("normalized_text", text.normalize_text("cleaned_text", stops, lemmas, squeezed=True))
     if include_tokens:
         out = out.withColumn("tokens", text.tokenize("normalized_text"))
     return out

@@ -193,3 +193,14 @@ def test_preprocessing_with_lemmas_keeps_a_null_key(spark):
     lemmas = spark.createDataFrame([("dogs", "dog")], "form string, lemma string")
     got = {r["review_id"]: r["normalized_text"] for r in cleaning.preprocess(df, stops=(), lemmas=lemmas).collect()}
     assert got == {"a": "big dog bark", None: "two dog", "c": ""}
+
+
+def test_cleaned_texts_are_not_squeezed_again(spark):
+    odd = ["Wanna  go\t\u2028now", " gimme\xa0it \x1c!", "a . b -- cannot", "", None, "\u3000", "x\u200by \x85 Gotta"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "review_id int, text string")
+    out = cleaning.preprocess(df, stops=())
+    plan = out.select("normalized_text")._jdf.queryExecution().optimizedPlan().toString()
+    # Once, by the cleaning itself.
+    assert plan.count(text.BLANKS) == 1
+    want = text.normalize_text("cleaned_text", ())
+    assert out.filter(~F.col("normalized_text").eqNullSafe(want)).count() == 0
