@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable
+from functools import lru_cache
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinio.columns import has_text
 from opinio.session import keep
 
+#: Rows of a table of replacements that tasks look words up in; a larger one is joined.
+LOOKED_UP = 1 << 18
+
+#: Stems that a task's process remembers.
+STEMS_AT_HAND = 1 << 16
+
 
 def one_per_row(df: DataFrame, array: Column | str, name: str, *kept: Column | str) -> DataFrame:
     """One row per array entry with the kept columns.
@@ -47,15 +59,80 @@ def regroup_tokens(rows: DataFrame, key: str, token: Column, name: str) -> DataF
     return rows.groupBy(key).agg(F.transform(ordered, lambda t: t["token"]).alias(name))
 
 
+def together(lists: Column, tokens: str) -> dict[str, Column]:
+    """Of the token lists of the rows that share a key one list, and its tokens' places if there are several."""
+    places = F.flatten(F.transform(lists, lambda l: F.transform(l, lambda t, i: i)))
+    return {tokens: F.flatten(lists), "_places": F.when(F.size(lists) > 1, places)}
+
+
+def in_order(tokens: str) -> Column:
+    """What ``together`` gave: tokens of several rows by place, then by word."""
+    placed = F.zip_with("_places", tokens, lambda i, t: F.struct(i.alias("pos"), t.alias("token")))
+    several = F.transform(F.sort_array(placed), lambda t: t["token"])
+    return F.when(F.col("_places").isNull(), F.col(tokens)).otherwise(several)
+
+
+def change_tokens(df: DataFrame, key: str, tokens: str, change: Callable[[str], Column], name: str) -> DataFrame:
+    """``(key, name)`` with changed tokens, one row per key. Lists move whole: a token is never a row.
+
+    Nothing moves in a frame that is laid out by key.
+    """
+    lists = df.select(key, F.col(tokens).alias("_tokens")).groupBy(key).agg(F.collect_list("_tokens").alias("_lists"))
+    rows = lists.withColumns(together(F.col("_lists"), "_tokens")).withColumn("_tokens", change("_tokens"))
+    return rows.select(key, in_order("_tokens").alias(name))
+
+
+def each_distinct(change: Callable[[pa.Array], pa.Array]):
+    """A function of a token list that changes its words, each different one of a batch once."""
+
+    @F.arrow_udf("array<string>")
+    def changed(tokens: pa.Array) -> pa.Array:
+        coded = tokens.flatten().dictionary_encode()
+        words = change(coded.dictionary)
+        ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(tokens), 0).cast(pa.int32()))
+        upto = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+        return pa.ListArray.from_arrays(upto, words.take(coded.indices), mask=tokens.is_null())
+
+    return changed
+
+
+def lookup(mapping: DataFrame):
+    """A function of a token list that maps every token through ``(token, replacement)``.
+
+    None if the table has more than ``LOOKED_UP`` rows or a token twice: then it is joined.
+    """
+    known = mapping.select("token", "replacement").filter("token is not null and replacement is not null")
+    # At most LOOKED_UP rows and one.
+    table = known.limit(LOOKED_UP + 1).toArrow()
+    forms, others = (pa.array(table.column(c).to_pylist(), pa.string()) for c in ("token", "replacement"))
+    if len(forms) > LOOKED_UP or len(forms.unique()) < len(forms):
+        return None
+    return each_distinct(lambda words: pc.coalesce(others.take(pc.index_in(words, value_set=forms)), words))
+
+
 def replace_tokens(df: DataFrame, key: str, tokens: str, mapping: DataFrame, name: str) -> DataFrame:
     """Map every token through ``(token, replacement)``; unmapped tokens stay.
 
+    In a small table tasks look the words up, document by document. A large one is joined:
     Spark picks the join by the table's measured size and splits a frequent token's rows.
     """
+    mapping = keep(mapping.select("token", "replacement"))
+    replaced = lookup(mapping)
+    if replaced is not None:
+        return change_tokens(df, key, tokens, replaced, name)
+    return join_tokens(df, key, tokens, mapping, name)
+
+
+def join_tokens(df: DataFrame, key: str, tokens: str, mapping: DataFrame, name: str) -> DataFrame:
+    """``replace_tokens`` for a table of any size."""
     rows = explode_tokens(df, key, tokens).join(mapping.select("token", "replacement"), "token", "left")
     return regroup_tokens(rows, key, F.coalesce("replacement", "token"), name)
 
 
+def lemma_mapping(lemmas: DataFrame) -> DataFrame:
+    return lemmas.select(F.col("form").alias("token"), F.col("lemma").alias("replacement"))
+
+
 # Endings of inflected nouns and what stands in their place.
 ENDINGS = (
     ("s", ""),
@@ -98,22 +175,21 @@ def lemmas_by_rule(forms: DataFrame, dictionary: DataFrame, exceptions: DataFram
 
 def lemmatize_tokens(df: DataFrame, key: str, tokens: str, lemmas: DataFrame) -> DataFrame:
     """Lemmas from a table ``(form, lemma)``, one row per form."""
-    mapping = lemmas.select(F.col("form").alias("token"), F.col("lemma").alias("replacement"))
-    return replace_tokens(df, key, tokens, mapping, "lemmas")
+    return replace_tokens(df, key, tokens, lemma_mapping(lemmas), "lemmas")
 
 
-# --- Porter (1980) suffix stripping as column expressions ----------------------------
+# --- Porter (1980) suffix stripping --------------------------------------------------
 
 # Shapes of the published algorithm. A stem's measure counts its
 # vowel-consonant groups; y is a vowel after a consonant.
 _C = r"[^aeiou][^aeiouy]*"
 _V = r"[aeiouy][aeiou]*"
-_MEASURE_1 = rf"^(?:{_C})?{_V}{_C}"
-_MEASURE_EXACT_1 = rf"^(?:{_C})?{_V}{_C}(?:{_V})?$"
-_MEASURE_2 = rf"^(?:{_C})?{_V}{_C}{_V}{_C}"
-_HAS_VOWEL = rf"^(?:{_C})?[aeiouy]"
-_DOUBLE = r"([^aeiouylsz])\1$"
-_SHORT = rf"^{_C}[aeiouy][^aeiouwxy]$"
+_MEASURE_1 = re.compile(rf"(?:{_C})?{_V}{_C}").match
+_MEASURE_EXACT_1 = re.compile(rf"(?:{_C})?{_V}{_C}(?:{_V})?$").match
+_MEASURE_2 = re.compile(rf"(?:{_C})?{_V}{_C}{_V}{_C}").match
+_HAS_VOWEL = re.compile(rf"(?:{_C})?[aeiouy]").match
+_DOUBLE = re.compile(r"([^aeiouylsz])\1$").search
+_SHORT = re.compile(rf"{_C}[aeiouy][^aeiouwxy]$").match
 
 # Suffix tables of steps 2, 3 and 4.
 _STEP_2 = (
@@ -170,105 +246,76 @@ _STEP_4 = (
 )
 
 
-def _without(w: Column, suffix: str) -> Column:
-    """The word less a suffix it is known to end in."""
-    return F.left(w, F.length(w) - len(suffix))
-
-
-def _ends(w: Column, *suffixes: str) -> Column:
-    out = F.lit(False)
-    for suffix in suffixes:
-        out = out | w.endswith(suffix)
-    return out
-
-
-def _suffix_step(w: Column, table: tuple[tuple[str, str], ...], condition: str) -> Column:
-    """Apply the longest matching suffix; replace it when the stem meets the condition."""
-    longest_first = sorted(table, key=lambda p: -len(p[0]))
-    out = None
-    for suffix, replacement in longest_first:
-        stem = _without(w, suffix)
-        done = F.when(stem.rlike(condition), F.concat(stem, F.lit(replacement))).otherwise(w)
-        hit = w.endswith(suffix)
-        out = F.when(hit, done) if out is None else out.when(hit, done)
-    return out.otherwise(w)
+_STEP_2, _STEP_3 = dict(_STEP_2), dict(_STEP_3)
 
 
-def with_stem(df: DataFrame, token: str = "token") -> DataFrame:
-    """Add ``stem``, all inside the JVM and without moving a row.
+def _suffix(w: str, suffixes: Iterable[str], longest: int) -> str | None:
+    """The longest of the suffixes that the word ends in."""
+    return next((w[-n:] for n in range(longest, 1, -1) if w[-n:] in suffixes), None)
 
-    Words of one or two letters are left alone. Stepwise columns keep each step's input
-    a plain reference, so the plan stays small.
-    """
-    w = F.col("stem")
-    df = df.withColumn("stem", F.lower(token))
 
+@lru_cache(maxsize=STEMS_AT_HAND)
+def stem(w: str) -> str:
+    """The stem of a lower-case word; words of one or two letters are left alone."""
+    if len(w) <= 2:
+        return w
     # Step 1a: plurals.
-    df = df.withColumn(
-        "stem",
-        F.when(_ends(w, "sses", "ies"), _without(w, "es"))
-        .when(w.endswith("s") & ~w.endswith("ss") & (F.length(w) > 1), _without(w, "s"))
-        .otherwise(w),
-    )
+    if w.endswith(("sses", "ies")):
+        w = w[:-2]
+    elif w.endswith("s") and not w.endswith("ss"):
+        w = w[:-1]
     # Step 1b: past tense and gerund.
-    bare = F.when(w.endswith("ed"), _without(w, "ed")).when(w.endswith("ing"), _without(w, "ing"))
-    cut = _ends(w, "ed", "ing") & ~w.endswith("eed")
-    df = df.withColumn("_bare", F.when(cut, bare))
-    df = df.withColumn("_cut", F.coalesce(F.col("_bare").rlike(_HAS_VOWEL), F.lit(False)))
-    eed = F.when(_without(w, "eed").rlike(_MEASURE_1), _without(w, "d")).otherwise(w)
-    df = df.withColumn(
-        "stem", F.when(w.endswith("eed"), eed).when(F.col("_cut"), F.col("_bare")).otherwise(w)
-    )
-    df = df.withColumn(
-        "stem",
-        F.when(~F.col("_cut"), w)
-        .when(_ends(w, "at", "bl", "iz"), F.concat(w, F.lit("e")))
-        .when(w.rlike(_DOUBLE), F.left(w, F.length(w) - 1))
-        .when(w.rlike(_SHORT) & w.rlike(_MEASURE_EXACT_1), F.concat(w, F.lit("e")))
-        .otherwise(w),
-    )
+    if w.endswith("eed"):
+        w = w[:-1] if _MEASURE_1(w[:-3]) else w
+    elif w.endswith(("ed", "ing")):
+        bare = w[:-2] if w.endswith("ed") else w[:-3]
+        if _HAS_VOWEL(bare):
+            w = bare
+            if w.endswith(("at", "bl", "iz")):
+                w += "e"
+            elif _DOUBLE(w):
+                w = w[:-1]
+            elif _SHORT(w) and _MEASURE_EXACT_1(w):
+                w += "e"
     # Step 1c: final y.
-    df = df.withColumn(
-        "stem",
-        F.when(
-            w.endswith("y") & _without(w, "y").rlike(_HAS_VOWEL), F.concat(_without(w, "y"), F.lit("i"))
-        ).otherwise(w),
-    )
-    df = df.withColumn("stem", _suffix_step(w, _STEP_2, _MEASURE_1))
-    df = df.withColumn("stem", _suffix_step(w, _STEP_3, _MEASURE_1))
+    if w.endswith("y") and _HAS_VOWEL(w[:-1]):
+        w = w[:-1] + "i"
+    # Steps 2 and 3: the longest suffix becomes another where the stem is long enough.
+    for table, longest in ((_STEP_2, 7), (_STEP_3, 5)):
+        suffix = _suffix(w, table, longest)
+        if suffix and _MEASURE_1(w[: -len(suffix)]):
+            w = w[: -len(suffix)] + table[suffix]
     # Step 4: suffix removal for longer stems; "ion" only after s or t.
-    out = None
-    for suffix in sorted(_STEP_4, key=lambda s: -len(s)):
-        stem = _without(w, suffix)
-        fits = stem.rlike(_MEASURE_2)
-        if suffix == "ion":
-            fits = _ends(stem, "s", "t") & fits
-        done = F.when(fits, stem).otherwise(w)
-        out = F.when(w.endswith(suffix), done) if out is None else out.when(w.endswith(suffix), done)
-    df = df.withColumn("stem", out.otherwise(w))
+    suffix = _suffix(w, _STEP_4, 5)
+    if suffix:
+        bare = w[: -len(suffix)]
+        if _MEASURE_2(bare) and (suffix != "ion" or bare.endswith(("s", "t"))):
+            w = bare
     # Step 5: final e and double l.
-    lean = _without(w, "e")
-    df = df.withColumn(
-        "stem",
-        F.when(
-            w.endswith("e")
-            & (lean.rlike(_MEASURE_2) | (lean.rlike(_MEASURE_EXACT_1) & ~lean.rlike(_SHORT))),
-            lean,
-        ).otherwise(w),
-    )
-    df = df.withColumn(
-        "stem",
-        F.when(w.endswith("ll") & _without(w, "l").rlike(_MEASURE_2), _without(w, "l")).otherwise(w),
-    )
-    stem = F.when(F.length(token) <= 2, F.col(token)).otherwise(w)
-    return df.withColumn("stem", stem).drop("_cut", "_bare")
+    if w.endswith("e") and (_MEASURE_2(w[:-1]) or _MEASURE_EXACT_1(w[:-1]) and not _SHORT(w[:-1])):
+        w = w[:-1]
+    if w.endswith("ll") and _MEASURE_2(w[:-1]):
+        w = w[:-1]
+    return w
+
+
+def _stemmed(words: pa.Array) -> pa.Array:
+    return pa.array([None if w is None else stem(w) for w in words.to_pylist()], pa.string())
+
+
+def stems(tokens: Column | str) -> Column:
+    """The stems of a token list. Every distinct token of a batch is stemmed once."""
+    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
+    # Lower case is Spark's; what is left alone keeps its own.
+    lowered = F.transform(tokens, lambda t: F.when(F.length(t) <= 2, t).otherwise(F.lower(t)))
+    return each_distinct(_stemmed)(lowered)
+
+
+def with_stem(df: DataFrame, token: str = "token") -> DataFrame:
+    """Add ``stem`` without moving a row."""
+    return df.withColumn("stem", F.get(stems(F.array(token)), F.lit(0)))
 
 
 def stem_tokens(df: DataFrame, key: str, tokens: str) -> DataFrame:
-    """``(key, stems)``. Every distinct token is stemmed once, the others look it up."""
-    df = keep(df.select(key, tokens))
-    distinct = one_per_row(df, tokens, "token").distinct()
-    stems = keep(with_stem(distinct).select("token", F.col("stem").alias("replacement")))
-    # A table that is counted is joined by its size: no token rows are shuffled to find it small.
-    stems.count()
-    return replace_tokens(df, key, tokens, stems.filter("replacement <> token"), "stems")
+    """``(key, stems)``, document by document: what a task holds does not grow with the words."""
+    return change_tokens(df, key, tokens, stems, "stems")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opinio.functions import rates, text, versions
-from opinio.operators import cleaning, prompts, tokens
+from opinio.operators import cleaning, keywords, prompts, tokens
 from opinio.plans.base import (
     basic_sql,
     clean_sql,
@@ -136,7 +136,9 @@ def lemmas_by_rule(spark, sf):
 
 @query("T7_porter_stems")
 def porter_stems(spark, sf):
-    docs = documents(spark, sf).select("doc_id", text.words(text.clean_text("text")).alias("tokens"))
+    # Texts are laid out before they are taken apart: they are smaller than their words.
+    docs = keywords.laid_out(documents(spark, sf), "doc_id", "text")
+    docs = docs.select("doc_id", text.words(text.clean_text("text")).alias("tokens"))
     rows = tokens.stem_tokens(docs, "doc_id", "tokens")
     return rows.select("doc_id", F.array_join("stems", " ").alias("stems"))
 

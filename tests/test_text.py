@@ -204,3 +204,25 @@ def test_cleaned_texts_are_not_squeezed_again(spark):
     assert plan.count(text.BLANKS) == 1
     want = text.normalize_text("cleaned_text", ())
     assert out.filter(~F.col("normalized_text").eqNullSafe(want)).count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+REPEATED = [(1, ["mice", "eat", "mice"]), (1, ["cats"]), (None, ["eats"]), (None, ["mice", None]), (2, None), (3, [])]
+
+
+def test_stems_of_documents_never_become_token_rows(spark):
+    docs = spark.createDataFrame(REPEATED, "id int, t array<string>")
+    got = tokens.stem_tokens(docs, "id", "t")
+    assert "Generate" not in plan_of(got) and "InMemoryRelation" not in plan_of(got)
+    # Rows that share a key are one document, by place and then by word.
+    out = {r["id"]: r["stems"] for r in got.collect()}
+    assert out == {1: ["cat", "mice", "eat", "mice"], None: ["eat", "mice", None], 2: [], 3: []}
+
+
+def test_stem_of_a_word_column(spark):
+    words = ["Hopping", "SKY", "Is", None, "", "ponies"]
+    out = [r["stem"] for r in tokens.with_stem(spark.createDataFrame([(w,) for w in words], "token string")).collect()]
+    assert out == ["hop", "sky", "Is", None, "", "poni"]
