@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinio.columns import METADATA_FIELDS, require, with_aliases
 from opinio.functions import dates, rates, text, versions
 from opinio.operators.ranking import first_per_key
-from opinio.operators.tokens import lemmatize_tokens, stem_tokens
+from opinio.operators.tokens import in_order, join_tokens, lemma_mapping, lookup, stems, together
+from opinio.session import keep
 
 # What a missing field reads as after cleaning.
 FILLS = {"text": "", "author": "Anonymous", "version": versions.UNKNOWN}
@@ -60,25 +61,31 @@ def preprocess(
     """Add ``cleaned_text`` and ``normalized_text`` (and ``tokens``).
 
     Narrow steps, unless lemmas come as a frame ``(form, lemma)`` of any size or stems are
-    asked for: then tokens are joined or stemmed by document and put back by ``key``, which
-    must be unique.
+    asked for: then rows are laid out by ``key``, which must be unique, as one with several
+    rows gives them all one text. Words are looked up in a small frame; with a large one they are joined.
     """
     require(df, column)
     stops = text.chosen_stops(stops)
     out = df.withColumn("cleaned_text", text.clean_text(column))
     if isinstance(lemmas, DataFrame) or stem:
         tokens = text.remove_stopwords(text.tokenize("cleaned_text", squeezed=True), stops, exact=True)
-        rows = out.select(key, tokens.alias("_tokens"))
-        if isinstance(lemmas, DataFrame):
-            rows = lemmatize_tokens(rows, key, "_tokens", lemmas).withColumnRenamed("lemmas", "_tokens")
-        elif lemmas:
-            rows = rows.withColumn("_tokens", text.lemmatize("_tokens", lemmas))
-        if stem:
-            rows = stem_tokens(rows, key, "_tokens").withColumnRenamed("stems", "_tokens")
-        joined = F.array_join(text.drop_short("_tokens"), " ").alias("normalized_text")
-        # A null key is one key.
-        rows = rows.select(F.col(key).alias("_key"), joined)
-        out = out.join(rows, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+        mapping = keep(lemma_mapping(lemmas)) if isinstance(lemmas, DataFrame) else None
+        replaced = lookup(mapping) if mapping is not None else None
+        out = out.withColumn("_tokens", text.lemmatize(tokens, lemmas) if mapping is None and lemmas else tokens)
+        if mapping is not None and replaced is None:
+            rows = join_tokens(out.select(key, "_tokens"), key, "_tokens", mapping, "lemmas")
+            rows = rows.select(F.col(key).alias("_key"), F.col("lemmas").alias("_tokens"))
+            # A null key is one key.
+            out = out.drop("_tokens").join(rows, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+            out = out.withColumn("_tokens", stems("_tokens") if stem else F.col("_tokens"))
+        else:
+            out = out.withColumn("_lists", F.collect_list("_tokens").over(Window.partitionBy(key)))
+            out = out.withColumns(together(F.col("_lists"), "_tokens")).drop("_lists")
+            out = out.withColumn("_tokens", (replaced or stems)("_tokens"))
+            out = out.withColumn("_tokens", in_order("_tokens")).drop("_places")
+            if replaced is not None and stem:
+                out = out.withColumn("_tokens", stems("_tokens"))
+        out = out.withColumn("normalized_text", F.array_join(text.drop_short("_tokens"), " ")).drop("_tokens")
     else:
         out = out.withColumn("normalized_text", text.normalize_text("cleaned_text", stops, lemmas, squeezed=True))
     if include_tokens:

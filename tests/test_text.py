@@ -226,3 +226,34 @@ def test_stem_of_a_word_column(spark):
     words = ["Hopping", "SKY", "Is", None, "", "ponies"]
     out = [r["stem"] for r in tokens.with_stem(spark.createDataFrame([(w,) for w in words], "token string")).collect()]
     assert out == ["hop", "sky", "Is", None, "", "poni"]
+
+
+def test_lemmas_are_looked_up_as_they_would_be_joined(spark, monkeypatch):
+    docs = spark.createDataFrame(REPEATED, "id int, t array<string>")
+    lemmas = spark.createDataFrame([("mice", "mouse"), ("eats", "eat"), ("cats", None), (None, "none")], "form string, lemma string")
+    looked_up = tokens.lemmatize_tokens(docs, "id", "t", lemmas)
+    assert "Generate" not in plan_of(looked_up) and "Join" not in plan_of(looked_up)
+    twice = tokens.lemmatize_tokens(docs, "id", "t", lemmas.unionByName(lemmas.filter("form = 'mice'")))
+    assert "Join" in plan_of(twice)
+    monkeypatch.setattr(tokens, "LOOKED_UP", 1)
+    joined = tokens.lemmatize_tokens(docs, "id", "t", lemmas)
+    assert "Join" in plan_of(joined)
+    out = [{r["id"]: r["lemmas"] for r in df.collect()} for df in (looked_up, joined)]
+    assert out[0] == out[1] == {1: ["cats", "mouse", "eat", "mouse"], None: ["eat", "mouse", None], 2: [], 3: []}
+
+
+@pytest.mark.parametrize("stem", [False, True])
+def test_preprocess_with_lemmas_moves_rows_once(spark, monkeypatch, stem):
+    rows = [(1, "The mice eats"), (1, "Cats running"), (None, "mice"), (None, "a cat"), (2, None), (3, "eats")]
+    docs = spark.createDataFrame(rows, "review_id int, text string")
+    lemmas = spark.createDataFrame([("mice", "mouse"), ("eats", "eat")], "form string, lemma string")
+    got = cleaning.preprocess(docs, stops=["the"], lemmas=lemmas, stem=stem)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan and "Join" not in plan
+    monkeypatch.setattr(tokens, "LOOKED_UP", 1)
+    joined = cleaning.preprocess(docs, stops=["the"], lemmas=lemmas, stem=stem)
+    assert "Join" in plan_of(joined)
+    out = [sorted(map(str, df.select("review_id", "cleaned_text", "normalized_text").collect())) for df in (got, joined)]
+    assert out[0] == out[1] and len(out[0]) == 6
+    both = {r["normalized_text"] for r in got.filter("review_id = 1").collect()}
+    assert both == ({"cat mous eat run"} if stem else {"cats mouse eat running"})
