@@ -472,3 +472,33 @@ def test_queries_of_an_index_are_not_sent_to_the_driver(spark):
     found = neighbours.search_index(spark, path, asked, 3)
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
     assert found.count() == 180
+
+
+CORPUS = [(i, f"word{i % 7} term{i % 3} term{i % 3} rare{i} common") for i in range(40)] + [(40, ""), (41, None)]
+
+
+def test_count_features_keep_texts_and_no_token_lists(spark):
+    df = spark.createDataFrame(CORPUS, "id int, t string")
+    features, vocabulary = topics.count_features(df, "id", "t", ["the"])
+    held = plan_of(features).split("InMemoryRelation [")[1].split("]")[0]
+    assert "tokens" not in held and "StorageLevel(disk, 1 replicas)" in plan_of(features)
+    # In all texts is too many, in one too few; by count, then by word.
+    assert vocabulary == ["term0", "term1", "term2", *[f"word{i}" for i in range(7)]]
+    assert sorted(r["id"] for r in features.collect()) == list(range(40))
+    assert {r["id"]: r["features"].toArray().tolist() for r in features.collect()}[8] == [0, 0, 2, 0, 1, 0, 0, 0, 0, 0]
+
+
+def test_texts_of_a_kept_frame_are_not_kept_again(spark):
+    df = spark.createDataFrame(CORPUS, "id int, t string").cache()
+    assert tokens.kept_texts(df, "t", "id").storageLevel.useDisk is False
+    df.unpersist()
+    assert tokens.kept_texts(df, "t", "id").storageLevel.useMemory is False
+
+
+def test_settled_topics_let_go_of_their_features(spark):
+    rows = [(i, "good nice great" if i % 2 else "crash bug broken") for i in range(12)]
+    result = topics.lda_topics(spark.createDataFrame(rows, "review_id int, normalized_text string"), k=2)
+    assert result.features.storageLevel.useMemory
+    result.settled()
+    assert not result.features.storageLevel.useMemory and result.assigned.storageLevel.useMemory
+    assert result.documents.filter("primary_topic is not null").count() == 12
