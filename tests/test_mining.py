@@ -502,3 +502,40 @@ def test_settled_topics_let_go_of_their_features(spark):
     result.settled()
     assert not result.features.storageLevel.useMemory and result.assigned.storageLevel.useMemory
     assert result.documents.filter("primary_topic is not null").count() == 12
+
+
+def test_tokens_are_taken_apart_a_bounded_number_at_a_time(monkeypatch):
+    lists = [["a", "b", "a"], ["b"], [], ["c"] * 9, [], ["a", "c"], ["b"]]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(7)), pa.array([0] * 7, pa.int32()), pa.array(lists, pa.list_(pa.string()))], names=["id", "grp", "tokens"]
+    )
+    places = [{"a": (0, 1.0), "b": (1, 1.0), "c": (2, 1.0)}]
+
+    def results():
+        found = pa.Table.from_batches(list(blocks.counted(iter([batch.select(["grp", "tokens"])])))).to_pylist()
+        rows = []
+        for part in blocks.packed(places, unit=False)(iter([batch])):
+            for i, (_, lengths, at, weight) in enumerate(blocks.entries(part)):
+                ends = np.cumsum(lengths)
+                keys = part.column("keys").slice(i, 1).flatten().to_pylist()
+                rows += [(k, at[e - n : e].tolist(), weight[e - n : e].tolist()) for k, n, e in zip(keys, lengths, ends)]
+        return sorted((r["term"], r["cf"], r["df"]) for r in found), rows
+
+    whole = results()
+    assert whole[0] == [("a", 3, 2), ("b", 3, 3), ("c", 10, 2)] and [r[0] for r in whole[1]] == list(range(7))
+    monkeypatch.setattr(blocks, "TOKENS_AT_ONCE", 4)
+    parts = list(blocks._parts(iter([batch]), 2))
+    assert [p.num_rows for p in parts] == [3, 1, 3]
+    assert results() == whole
+
+
+def test_factors_keep_no_token_lists_and_count_rows_that_share_a_key_as_one(spark):
+    rows = [(i, "good nice great" if i % 2 else "crash bug broken") for i in range(12)]
+    split = [(i, w) for i, t in rows for w in (t.split(" ", 1))] + [(90, "")]
+    results = []
+    for given in (rows, split):
+        result = topics.nmf_topics(spark.createDataFrame(given, "review_id int, normalized_text string"), k=2)
+        results.append({r["review_id"]: round(r["topic_confidence"], 6) for r in result.documents.collect() if r["review_id"] != 90})
+        held = [part.split("]")[0] for part in plan_of(result.documents).split("InMemoryRelation [")[1:]]
+        assert held and not any("tokens" in columns for columns in held)
+    assert results[0] == results[1] and len(results[0]) == 12
