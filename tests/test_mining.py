@@ -539,3 +539,17 @@ def test_factors_keep_no_token_lists_and_count_rows_that_share_a_key_as_one(spar
         held = [part.split("]")[0] for part in plan_of(result.documents).split("InMemoryRelation [")[1:]]
         assert held and not any("tokens" in columns for columns in held)
     assert results[0] == results[1] and len(results[0]) == 12
+
+
+def test_analysis_keeps_what_several_analyses_read_on_disk_and_once(spark):
+    rows = [(i, f"c{i} good app", "good nice great" if i % 2 else "crash bug broken") for i in range(12)]
+    df = spark.createDataFrame(rows, "review_id int, cleaned_text string, normalized_text string")
+    out = analysis.analyze(df, ("sentiment", "topics", "clusters", "keywords"), n_topics=2, n_clusters=2)
+    texts = df.select("review_id", "normalized_text")
+    assert texts.storageLevel.useDisk and not texts.storageLevel.useMemory
+    assert not df.select("review_id", "cleaned_text", "normalized_text").storageLevel.useDisk
+    # Beside it results alone are kept: neither features nor blocks.
+    assert "features" not in plan_of(out["reviews"]).split("InMemoryRelation [")[1].split("]")[0]
+    got = out["reviews"].collect()
+    assert len(got) == 12 and all(r["sentiment"] == "positive" and r["primary_topic"] is not None and r["cluster"] is not None for r in got)
+    assert out["keywords"].count() == 6
